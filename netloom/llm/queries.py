@@ -7,6 +7,7 @@ import importlib
 #: Query name: its module. Each module has a function of the query's name and may have ``ORACLES``.
 MODULES = {
     "op1_substring_dedup": "substring_dedup",
+    "op6_ngram_jaccard_join": "ngram_join",
 }
 
 
