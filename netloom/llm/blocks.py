@@ -69,8 +69,9 @@ def decode(payload) -> pa.Table:
     return pa.ipc.open_stream(payload).read_all()
 
 
-def write_blocks(scratch: Scratch, docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``docs`` (a text column and small ones) as rows block, bytes, payload; where each row stands is fixed from here on."""
+def write_blocks(scratch: Scratch, docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES, convert: Callable | None = None) -> DataFrame:
+    """``docs`` (a text column and small ones) as rows block, bytes, payload; where each row stands is fixed from here on.
+    ``convert`` may turn a block's table into another with the same rows."""
     number = int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,7 +79,8 @@ def write_blocks(scratch: Scratch, docs: DataFrame, text: str = "text", block_by
 
         def block() -> pa.RecordBatch:
             nonlocal held, size, rows, k
-            payload, k = encode(pa.Table.from_batches(held)), k + 1
+            table = pa.Table.from_batches(held)
+            payload, k = encode(convert(table) if convert else table), k + 1
             out = pa.RecordBatch.from_pydict({"block": pa.array([(part << 20) + k - 1], pa.int64()), "bytes": pa.array([size], pa.int64()), "payload": pa.array([payload], pa.binary())})
             held, size, rows = [], 0, 0
             return out

@@ -8,6 +8,7 @@ import importlib
 MODULES = {
     "op1_substring_dedup": "substring_dedup",
     "op6_ngram_jaccard_join": "ngram_join",
+    "op8_suffix_tree_lm": "suffix_tree_lm",
 }
 
 
