@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from netloom.llm.scratch import Scratch
 
 #: Bytes of text in a block, and of text per range of keys. A longer text is a block of its own.
-BLOCK_BYTES, RANGE_BYTES = 8 << 20, 8 << 20
+BLOCK_BYTES, RANGE_BYTES = 4 << 20, 8 << 20
 #: A row's number is its block's times this, plus its place there; a block has fewer rows.
 ROWS = 1 << 20
 
@@ -58,6 +58,12 @@ def slices(batch: pa.RecordBatch, text: str, most: int) -> Iterator[pa.RecordBat
             yield batch.slice(c, min(ROWS - 1, int(b) - c))
 
 
+def rows_of(batch: pa.RecordBatch) -> Iterator[dict]:
+    """A batch's rows, one after another in memory."""
+    for i in range(len(batch)):
+        yield {c: batch.column(j)[i].as_py() for j, c in enumerate(batch.schema.names)}
+
+
 def encode(table: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 1))) as writer:
@@ -125,8 +131,7 @@ def answers(scratch: Scratch, rows: DataFrame, n_ranges: int, ask: Callable, kin
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("range", pa.int32()), ("block", pa.int64()), ("n", pa.int32()), ("keys", pa.binary()), *((f"v{i}", pa.binary()) for i in range(n))])
         for batch in batches:
-            for i in range(len(batch)):
-                row = {c: batch.column(j)[i].as_py() for j, c in enumerate(batch.schema.names)}
+            for row in rows_of(batch):
                 keys, values = ask(row)
                 if out := list(asked(keys, values, row["block"], n_ranges)):
                     yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)

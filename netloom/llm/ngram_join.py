@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm.blocks import ROWS, answered, answers, decode, ranges, summed, write_blocks
+from netloom.llm.blocks import ROWS, answered, answers, decode, ranges, rows_of, summed, write_blocks
 from netloom.llm.components import components
 from netloom.llm.scratch import Scratch
 from netloom.llm.words import Words, mix, windows
@@ -98,7 +98,7 @@ def document_sets(scratch: Scratch, docs: DataFrame, shingle: int, percent: int)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in rows_of(batch):
                 table = decode(row["payload"])
                 sets = _Sets(table.column("text"), shingle)
                 _, _, which = sets.keys()

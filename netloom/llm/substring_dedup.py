@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm.blocks import answered, answers, decode, ranges, summed, write_blocks
+from netloom.llm.blocks import answered, answers, decode, ranges, rows_of, summed, write_blocks
 from netloom.llm.scratch import Scratch
 from netloom.llm.words import Words, extended, windows
 
@@ -107,7 +107,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = 35, with_
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in rows_of(batch):
                 table = decode(row["payload"])
                 levels = _climbed(row, lengths, len(lengths) - 1)
                 _, _, which = levels.keys()
