@@ -7,20 +7,24 @@ import importlib
 #: Query name: its module. Each module has a function of the query's name and may have ``ORACLES``.
 MODULES = {
     "op1_substring_dedup": "substring_dedup",
+    "op2_decontamination": "decontamination",
+    "op3_chat_format": "chat_format",
+    "op4_token_counts": "token_counts",
+    "op5_packing": "packing",
     "op6_ngram_jaccard_join": "ngram_join",
+    "op7_secret_scan": "secret_scan",
     "op8_suffix_tree_lm": "suffix_tree_lm",
+    "op9_quality_rules": "quality_rules",
+    "op10_language_id": "language_id",
 }
 
 
 def queries() -> dict:
-    found = {}
-    for name, module in MODULES.items():
-        found[name] = getattr(importlib.import_module(f"netloom.llm.{module}"), name)
-    return found
+    return {name: getattr(importlib.import_module(f"netloom.llm.{module}"), name) for name, module in MODULES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {}
-    for name, module in MODULES.items():
-        found |= {k: v for k, v in getattr(importlib.import_module(f"netloom.llm.{module}"), "ORACLES", {}).items() if k == name}
+    found: dict[str, str] = {}
+    for module in dict.fromkeys(MODULES.values()):
+        found |= getattr(importlib.import_module(f"netloom.llm.{module}"), "ORACLES", {})
     return found
