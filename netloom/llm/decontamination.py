@@ -148,21 +148,23 @@ def leaks(bench: Benchmark, ids: list, texts) -> list[tuple]:
     return [(ids[k], bench.ids[x], v[1], v[2], v[3], v[4], v[0]) for (k, x), v in sorted(best.items())]
 
 
-def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, span: int = SPAN, rate: float = RATE) -> DataFrame:
-    """A row for each document and the item that it leaks: where in the item (bytes, normalised), between which bytes of the normalised
-    text, how many q-grams are shared, and the edits."""
+def _parts(spark: SparkSession, benchmark: DataFrame) -> Iterator:
+    """Broadcasts of the benchmark's items, each of bounded size."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null and octet_length(text) > 0")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = 1 + int(total) // MOST_BYTES
+    for part in range(parts):
+        held = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).orderBy("item_id", "text").collect()
+        yield spark.sparkContext.broadcast(([r["item_id"] for r in held], [r["text"] for r in held]))
+
+
+def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, span: int = SPAN, rate: float = RATE) -> DataFrame:
+    """A row for each document and the item that it leaks: where in the item (bytes, normalised), between which bytes of the normalised
+    text, how many q-grams are shared, and the edits."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = pa.schema([(c.split()[0], pa.int64()) for c in LEAKS.split(", ")])
 
-    def search(part: int) -> DataFrame:
-        held = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).orderBy("item_id", "text").toPandas()
-        ids = [None if x != x else int(x) for x in held["item_id"].astype(object).tolist()]
-        texts = held["text"].tolist()
-        shared = spark.sparkContext.broadcast((ids, texts))
-
+    def search(shared) -> DataFrame:
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bench = Benchmark(*shared.value, span, rate)
             for batch in batches:
@@ -172,7 +174,23 @@ def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, span:
 
         return rows.mapInArrow(scan, LEAKS)
 
-    return reduce(DataFrame.union, [search(k) for k in range(parts)])
+    return reduce(DataFrame.union, [search(x) for x in _parts(spark, benchmark)])
+
+
+def without_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, span: int = SPAN, rate: float = RATE) -> DataFrame:
+    """The rows of ``docs`` that leak no item."""
+
+    def sieve(docs: DataFrame, shared) -> DataFrame:
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bench = Benchmark(*shared.value, span, rate)
+            for batch in batches:
+                for piece in slices(batch, "text", 2 << 20):
+                    found = {x[0] for x in leaks(bench, list(range(len(piece))), piece.column(piece.schema.get_field_index("text")))}
+                    yield piece.filter(pa.array([i not in found for i in range(len(piece))], pa.bool_()))
+
+        return docs.mapInArrow(scan, docs.schema)
+
+    return reduce(sieve, _parts(spark, benchmark), docs)
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -83,9 +83,8 @@ def chosen(n: int, alone: int, df: np.ndarray, percent: int) -> tuple[int, int]:
     return int(ells[best]), int(sizes[best])
 
 
-def document_sets(scratch: Scratch, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+def document_sets(scratch: Scratch, blocks: DataFrame, shingle: int, percent: int) -> DataFrame:
     """A row per document; ``prefix`` and ``shared`` are null where no partner can be found."""
-    blocks = write_blocks(scratch, docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
 
     def ask(row: dict) -> tuple:
         keys, counts, _ = _Sets(decode(row["payload"]).column("text"), shingle).keys()
@@ -123,7 +122,7 @@ def document_sets(scratch: Scratch, docs: DataFrame, shingle: int, percent: int)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(rid, pa.int64()),
-                        table.column("doc_id").combine_chunks(),
+                        table.column("doc_id").cast(pa.int64()).combine_chunks(),
                         pa.array(sets.n, pa.int64()),
                         pa.array(np.diff(a).view(np.int64)),
                         pa.array(np.diff(b).view(np.int64)),
@@ -148,10 +147,9 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 5, percent: int = 75) -> DataFrame:
-    """doc_id, n_shingles, component_id: the smallest doc_id that links lead to."""
-    scratch = Scratch(spark, "ngram_join")
-    sets = document_sets(scratch, docs, shingle, percent)
+def grouped(scratch: Scratch, blocks: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """rid, doc_id, n, comp (of documents that have words; a number of the group) of all documents of the blocks."""
+    sets = document_sets(scratch, blocks, shingle, percent)
 
     # equal sets: the signature tells them apart from others
     key = ["n", "sig_a", "sig_b"]
@@ -194,11 +192,36 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 5, perc
 
     # back to all documents
     named = classes.join(last.withColumnRenamed("node", "rep"), "rep", "left").select(*key, F.coalesce("comp", "rep").alias("comp"))
-    rows = scratch.keep(sets.select("rid", "doc_id", *key).join(named, key, "left"), "named")
+    return scratch.keep(sets.select("rid", "doc_id", *key).join(named, key, "left").select("rid", "doc_id", "n", "comp"), "named")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 5, percent: int = 75) -> DataFrame:
+    """doc_id, n_shingles, component_id: the smallest doc_id that links lead to."""
+    scratch = Scratch(spark, "ngram_join")
+    blocks = write_blocks(scratch, docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    rows = grouped(scratch, blocks, shingle, percent)
     lowest = rows.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("lowest"))
     result = rows.join(lowest, "comp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("lowest")).alias("component_id"))
     return scratch.close(result)
 
 
+def keep_one(spark: SparkSession, docs: DataFrame, shingle: int = 5, percent: int = 75) -> DataFrame:
+    """The rows of ``docs``, whole, but of each group of near duplicates only that of the smallest doc_id (null last; of equal ids the
+    first written). Documents without words have no duplicates. The blocks that were compared are read again for the answer."""
+    scratch = Scratch(spark, "keep_one")
+    blocks = write_blocks(scratch, docs)
+    rows = grouped(scratch, blocks, shingle, percent)
+    best = rows.where("comp is not null").groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("best")).select("best.rid")
+    kept = best.union(rows.where("comp is null").select("rid"))
+    kept = kept.select(F.floor(F.col("rid") / ROWS).alias("block"), F.pmod("rid", F.lit(ROWS)).cast("int").alias("at")).groupBy("block").agg(F.sort_array(F.collect_list("at")).alias("kept"))
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in rows_of(batch):
+                yield from decode(row["payload"]).take(pa.array(row["kept"], pa.int64())).to_batches()
+
+    return scratch.close(blocks.join(kept, "block").mapInArrow(answer, docs.schema))
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=5, percent=75)

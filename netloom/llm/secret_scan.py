@@ -84,6 +84,26 @@ def scan_secrets(spark: SparkSession, docs: DataFrame, owner: str = "source", re
     return scratch.close(result)
 
 
+def redacted(spark: SparkSession, docs: DataFrame, owner: str = "source", repository: str = "doc_id", max_owners: int = MAX_OWNERS) -> DataFrame:
+    """``docs`` with what looks like a live secret overwritten in the texts, character by character, with ``*``. Only texts with a candidate
+    are written out and joined; the others pass as they are."""
+    scratch = Scratch(spark, "redacted")
+    some = F.coalesce(F.col("text").rlike("|".join(f"(?:{pattern})" for pattern, _, _ in KINDS.values())), F.lit(False))
+    rows = scratch.keep(docs.where(some).withColumn("_at", F.monotonically_increasing_id()), "candidates")
+    names = list(dict.fromkeys(["_at", "text", owner, repository]))
+    live = scan_secrets(spark, rows.select(*names), owner, repository, max_owners).where("live_spans <> ''").select("_at", F.split("live_spans", ",").alias("_live"))
+    bound = lambda x, i: F.split(x, ":")[i].cast("int")
+
+    def cover(s: Column, x: Column) -> Column:
+        start, end = F.greatest(bound(x, 1), s["at"]), bound(x, 2)
+        more = F.struct(end.alias("at"), F.concat(s["out"], F.substring("text", s["at"] + 1, start - s["at"]), F.repeat(F.lit("*"), end - start)).alias("out"))
+        return F.when(end > s["at"], more).otherwise(s)
+
+    text = F.aggregate("_live", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), cover, lambda s: F.concat(s["out"], F.substring("text", s["at"] + 1, F.length("text"))))
+    changed = rows.join(live, "_at", "left").withColumn("text", F.when(F.col("_live").isNull(), F.col("text")).otherwise(text))
+    return changed.select(*docs.columns).union(docs.where(~some))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(spark, spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source"))
     return found.drop("source")
