@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from netloom.llm.decontamination import without_leaks
-from netloom.llm.language_id import fit, predict
+from netloom.llm.language_id import fit, recognised
 from netloom.llm.ngram_join import keep_one
 from netloom.llm.packing import pack_documents
 from netloom.llm.scratch import Scratch
@@ -19,7 +19,7 @@ from netloom.llm.token_counts import tokenizer_path
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; null texts and those without a letter go, and those that the model rejects."""
-    return predict(docs, fit(docs)).where("not rejected").select(*docs.columns)
+    return recognised(docs, fit(docs))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

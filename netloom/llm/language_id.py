@@ -1,8 +1,8 @@
 """Language identification: averaged hashed subword embeddings under a linear softmax.
 
 A text is the mean of the embeddings of its words' character n-grams (UTF-8 bytes of each lower-cased word between marks, n of 1 to 4, hashed to
-``BUCKETS``); a linear layer and a softmax give the language. Both layers are trained by stochastic gradient descent in numpy on at most
-``max_rows`` labelled texts, those of least hash of doc_id. A quarter of these is set aside to calibrate: a temperature for the scores, and a
+``BUCKETS``); a linear layer and a softmax give the language. Both layers are trained by stochastic gradient descent in numpy on about
+``max_rows`` labelled texts (``bounded_sample``, by a hash). A quarter of these is set aside to calibrate: a temperature for the scores, and a
 score below which a text is rejected, set so that next to none of the texts recognised there are.
 
 As the mean and the layers are linear, the two are multiplied out into one small table (BUCKETS x languages, of fixed size) for the tasks that
@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from netloom.llm.blocks import slices
+from netloom.llm.sampling import bounded_sample
 from netloom.llm.words import Words, mix
 
 BUCKETS, DIMENSIONS, ORDERS, MAX_ROWS = 1 << 14, 16, (1, 2, 3, 4), 2000
@@ -32,6 +33,7 @@ EPOCHS, BATCH, RATE, SEED = 12, 16, 20.0, 7
 #: Share of the recognised texts set aside that the rejection may cost, and the highest score it may ask for.
 LOSS, MOST_ASKED = 0.001, 0.5
 _K = np.uint64(0x9E3779B97F4A7C15)
+RESULTS = ["lang_pred", "score", "rejected"]
 
 
 def subwords(words: Words, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -73,7 +75,7 @@ class Languages:
 
     def scores(self, words: Words) -> np.ndarray:
         n, m = len(words.counts), len(self.names)
-        if not len(words):
+        if not len(words) or not m:
             return np.full((n, m), 1.0 / max(m, 1))
         index, which = distinct(words)
         at, bucket = subwords(words, index)
@@ -167,8 +169,9 @@ def has_letter(words: Words, texts) -> np.ndarray:
 
 
 def predict(docs: DataFrame, model: Languages) -> DataFrame:
-    """All columns of ``docs``, and lang_pred, score, rejected."""
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
+    """All columns of ``docs`` but those named as results, and lang_pred, score, rejected."""
+    docs = docs.select(*(c for c in docs.columns if c not in RESULTS))
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(c, t()) for c, t in zip(RESULTS, (T.StringType, T.DoubleType, T.BooleanType), strict=True))])
 
     def guess(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,18 +184,24 @@ def predict(docs: DataFrame, model: Languages) -> DataFrame:
                 score = np.where(letters, p.max(axis=1, initial=0.0), 0.0)
                 names = [model.names[b] if ok else "und" for b, ok in zip(best, letters, strict=True)]
                 extra = [pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(~letters | (score < model.least))]
-                yield pa.RecordBatch.from_arrays([*piece.columns, *extra], names=[*piece.schema.names, "lang_pred", "score", "rejected"])
+                yield pa.RecordBatch.from_arrays([*piece.columns, *extra], names=[*piece.schema.names, *RESULTS])
 
     return docs.mapInArrow(guess, schema)
 
 
+def recognised(docs: DataFrame, model: Languages) -> DataFrame:
+    """The rows of ``docs`` that the model doesn't reject."""
+    given = docs.select(F.struct("*").alias("given"), F.col("text").cast("string").alias("text"))
+    return predict(given, model).where("not rejected").select("given.*")
+
+
 def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
 
 
 def fit(docs: DataFrame, max_rows: int = MAX_ROWS) -> Languages:
     rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sample = rows.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(max_rows)
+    sample = bounded_sample(rows, max_rows, "doc_id", "text")
     return train(bags(sample.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))).toArrow())
 
 

@@ -27,6 +27,7 @@ KINDS = {
 }
 BASE = ["assign", "access", "hex"]
 MAX_OWNERS = 2
+RESULTS = ["n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_live", "n_examples", "live_spans"]
 SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 
 
@@ -53,27 +54,31 @@ def _joined(found: Column, keep) -> Column:
     return F.array_join(F.transform(F.array_sort(F.filter(found, keep)), lambda x: F.concat_ws(":", F.element_at(names, x["kind"] + 1), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def scan_secrets(spark: SparkSession, docs: DataFrame, owner: str = "source", repository: str = "doc_id", max_owners: int = MAX_OWNERS) -> DataFrame:
-    """All columns of ``docs`` but text, and n_assign, n_access, n_hex, base_sha256, spans, n_live, n_examples, live_spans."""
-    scratch = Scratch(spark, "secrets")
+def _judged(spark: SparkSession, scratch: Scratch, rows: DataFrame, max_owners: int) -> DataFrame:
+    """``rows`` (key, given, owner, repository, text) as key, given, found: its spans, each with whether it looks live, its owners and
+    repositories."""
+    based = F.concat(*(F.col(k) for k in BASE))
+    apart = F.filter("opaque", lambda x: ~F.exists(F.col("based"), lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"])))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    others = [c for c in docs.columns if c != "text"]
-    # each kind in a column of its own: one pass over the text
-    rows = docs.select(*others, F.monotonically_increasing_id().alias("_row"), *(spans(text, k).alias(f"_{k}") for k in KINDS))
-    based = F.concat(*(F.col(f"_{k}") for k in BASE))
-    apart = F.filter("_opaque", lambda x: ~F.exists(F.col("_based"), lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"])))
-    rows = rows.withColumn("_based", based).withColumn("_found", F.concat("_based", F.when(F.size("_opaque") > 0, apart).otherwise(F.col("_opaque"))))
-    rows = scratch.keep(rows.select(*others, "_row", "_found"), "found")
-
-    each = rows.where(F.size("_found") > 0).select("_row", F.col(owner).alias("owner"), F.col(repository).alias("repository"), F.explode("_found").alias("x"))
-    each = each.select("_row", "owner", "repository", F.sha2(F.col("x.value"), 256).alias("digest"), F.col("x.start").alias("start"), F.col("x.kind").alias("kind"), F.col("x.end").alias("end"))
+    spanned = rows.select("key", "given", "owner", "repository", *(spans(text, k).alias(k) for k in KINDS)).withColumn("based", based)
+    spanned = scratch.keep(spanned.select("key", "given", "owner", "repository", F.concat("based", F.when(F.size("opaque") > 0, apart).otherwise(F.col("opaque"))).alias("found")), "found")
+    each = spanned.where(F.size("found") > 0).select("key", "owner", "repository", F.explode("found").alias("x"))
+    each = each.select("key", "owner", "repository", F.sha2(F.col("x.value"), 256).alias("digest"), "x.start", "x.kind", "x.end")
     owned = each.groupBy("digest", "owner", "repository").agg(F.lit(1).alias("one")).groupBy("digest", "owner").agg(F.count("one").alias("n")).groupBy("digest").agg(F.count("n").alias("owners"), F.sum("n").alias("repositories"))
-    judged = each.join(owned, "digest").groupBy("_row").agg(F.collect_list(F.struct("start", "kind", "end", (F.col("owners") <= max_owners).alias("live"), "owners", "repositories")).alias("_judged"))
-    judged = rows.select(*others, "_row").join(judged, "_row", "left").withColumn("_judged", F.coalesce("_judged", F.array().cast("array<struct<start:int,kind:int,end:int,live:boolean,owners:bigint,repositories:bigint>>")))
-    found, opaque = F.col("_judged"), list(KINDS).index("opaque")
+    judged = each.join(owned, "digest").groupBy("key").agg(F.collect_list(F.struct("start", "kind", "end", (F.col("owners") <= max_owners).alias("live"), "owners", "repositories")).alias("found"))
+    none = F.array().cast("array<struct<start:int,kind:int,end:int,live:boolean,owners:bigint,repositories:bigint>>")
+    return spanned.select("key", "given").join(judged, "key", "left").select("key", "given", F.coalesce("found", none).alias("found"))
+
+
+def scan_secrets(spark: SparkSession, docs: DataFrame, owner: str = "source", repository: str = "doc_id", max_owners: int = MAX_OWNERS) -> DataFrame:
+    """All columns of ``docs`` but text and those named as results, and RESULTS."""
+    scratch, opaque = Scratch(spark, "secrets"), list(KINDS).index("opaque")
+    given = F.struct(*(c for c in docs.columns if c not in ("text", *RESULTS)))  # in one column, so that no name can clash
+    judged = _judged(spark, scratch, docs.select(F.monotonically_increasing_id().alias("key"), given.alias("given"), F.col(owner).alias("owner"), F.col(repository).alias("repository"), "text"), max_owners)
+    found = F.col("found")
     count = lambda k: F.size(F.filter(found, lambda x: x["kind"] == list(KINDS).index(k))).cast("long").alias(f"n_{k}")
     result = judged.select(
-        *others,
+        "given.*",
         *(count(k) for k in BASE),
         F.sha2(_joined(found, lambda x: x["kind"] != opaque), 256).alias("base_sha256"),
         _joined(found, lambda x: (x["kind"] != opaque) | x["live"]).alias("spans"),
@@ -89,19 +94,20 @@ def redacted(spark: SparkSession, docs: DataFrame, owner: str = "source", reposi
     are written out and joined; the others pass as they are."""
     scratch = Scratch(spark, "redacted")
     some = F.coalesce(F.col("text").rlike("|".join(f"(?:{pattern})" for pattern, _, _ in KINDS.values())), F.lit(False))
-    rows = scratch.keep(docs.where(some).withColumn("_at", F.monotonically_increasing_id()), "candidates")
-    names = list(dict.fromkeys(["_at", "text", owner, repository]))
-    live = scan_secrets(spark, rows.select(*names), owner, repository, max_owners).where("live_spans <> ''").select("_at", F.split("live_spans", ",").alias("_live"))
-    bound = lambda x, i: F.split(x, ":")[i].cast("int")
+    rows = scratch.keep(docs.where(some).select(F.struct("*").alias("given"), F.monotonically_increasing_id().alias("key")), "candidates")
+    part = lambda c: F.col("given").getField(c)
+    judged = _judged(spark, scratch, rows.select("key", F.lit(0).alias("given"), part(owner).alias("owner"), part(repository).alias("repository"), part("text").alias("text")), max_owners)
+    live = judged.select("key", F.array_sort(F.filter("found", lambda x: x["live"])).alias("live")).where(F.size("live") > 0)
+    text = part("text")
 
     def cover(s: Column, x: Column) -> Column:
-        start, end = F.greatest(bound(x, 1), s["at"]), bound(x, 2)
-        more = F.struct(end.alias("at"), F.concat(s["out"], F.substring("text", s["at"] + 1, start - s["at"]), F.repeat(F.lit("*"), end - start)).alias("out"))
+        start, end = F.greatest(x["start"], s["at"]), x["end"]
+        more = F.struct(end.alias("at"), F.concat(s["out"], F.substring(text, s["at"] + 1, start - s["at"]), F.repeat(F.lit("*"), end - start)).alias("out"))
         return F.when(end > s["at"], more).otherwise(s)
 
-    text = F.aggregate("_live", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), cover, lambda s: F.concat(s["out"], F.substring("text", s["at"] + 1, F.length("text"))))
-    changed = rows.join(live, "_at", "left").withColumn("text", F.when(F.col("_live").isNull(), F.col("text")).otherwise(text))
-    return changed.select(*docs.columns).union(docs.where(~some))
+    covered = F.aggregate("live", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), cover, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+    changed = rows.join(live, "key", "left").withColumn("text", F.when(F.col("live").isNull(), text).otherwise(covered))
+    return changed.select(*((F.col("text") if c == "text" else part(c)).alias(c) for c in docs.columns)).union(docs.where(~some))
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
