@@ -28,7 +28,7 @@ def scale_free(spark: SparkSession, nodes: int, edges: int, seed: int = SEED) ->
     check_spec(nodes, edges)
     per = max(1, edges // nodes)
     # edge e belongs to node 1 + e // per, and the last ones to any node
-    ids = with_draw(with_draw(with_draw(spark.range(edges).select(F.col("id").alias("seq")), seed, F.col("id") * 3, "u"), seed, F.col("seq") * 3 + 1, "v"), seed, F.col("seq") * 3 + 2, "w")
+    ids = with_draw(with_draw(with_draw(spark.range(edges).select(F.col("id").alias("seq")), seed, F.col("seq") * 3, "u"), seed, F.col("seq") * 3 + 1, "v"), seed, F.col("seq") * 3 + 2, "w")
     ids = ids.withColumn("src", F.when(F.col("seq") < per * (nodes - 1), 1 + F.floor(F.col("seq") / per)).otherwise(F.floor(F.col("w") * nodes)).cast("long"))
     copies = (F.col("u") < ATTACHED) & (F.col("seq") > 0)
     other = F.floor(F.col("v") * F.greatest(F.col("src"), F.lit(1))).cast("long")
