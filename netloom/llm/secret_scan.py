@@ -23,6 +23,7 @@ KINDS = {
     "assign": (r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
     "access": (r"AKIA[A-Z0-9]+", 0, 16),
     "hex": (r"[0-9a-f]{32,}", 0, 32),
+    # a whole run of 20 or more with a digit and a letter
     "opaque": (r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{20,}", 0, 20),
 }
 BASE = ["assign", "access", "hex"]
@@ -113,3 +114,34 @@ def redacted(spark: SparkSession, docs: DataFrame, owner: str = "source", reposi
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(spark, spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source"))
     return found.drop("source")
+
+
+def _oracle() -> str:
+    """The spans by splitting and extracting as above; RE2 has no look-around, so opaque runs are filtered after the match."""
+    patterns = {k: p for k, (p, _, _) in KINDS.items()} | {"opaque": "[A-Za-z0-9+/_-]+"}
+    test = {k: f"length(value) >= {n}" for k, (_, _, n) in KINDS.items()}
+    test["opaque"] += " AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]')"
+    parts = []
+    for i, (k, p) in enumerate(patterns.items()):
+        p = p.replace("'", "''")
+        parts.append(
+            f"""SELECT doc_id, source, {i} AS kind, '{k}' AS name, start, start + length(hit) AS stop, value FROM (
+SELECT doc_id, source, hits[i] AS hit, vals[i] AS value, CAST(list_sum(list_transform(parts[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS start FROM (
+SELECT doc_id, source, hits, vals, parts, unnest(range(1, len(hits) + 1)) AS i FROM (
+SELECT doc_id, source, regexp_extract_all(t, '{p}') AS hits, regexp_extract_all(t, '{p}', {KINDS[k][1]}) AS vals, string_split_regex(t, '{p}') AS parts FROM texts WHERE regexp_matches(t, '{p}')))) WHERE {test[k]}"""
+        )
+    return (
+        "WITH texts AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents), every AS ("
+        + " UNION ALL ".join(parts)
+        + f"""), found AS (SELECT * FROM every e WHERE kind < 3 OR NOT EXISTS (SELECT 1 FROM every b WHERE b.kind < 3 AND b.doc_id = e.doc_id AND b.start < e.stop AND e.start < b.stop)),
+owned AS (SELECT value, count(DISTINCT coalesce(source, chr(0))) <= {MAX_OWNERS} AS live FROM found GROUP BY value),
+judged AS (SELECT f.*, o.live, name || ':' || start || ':' || stop AS label FROM found f JOIN owned o ON f.value = o.value)
+SELECT t.doc_id, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex,
+sha256(coalesce(string_agg(label, ',' ORDER BY start, kind) FILTER (WHERE kind < 3), '')) AS base_sha256,
+coalesce(string_agg(label, ',' ORDER BY start, kind) FILTER (WHERE kind < 3 OR live), '') AS spans,
+count(*) FILTER (WHERE live) AS n_live, count(*) FILTER (WHERE NOT live) AS n_examples, coalesce(string_agg(label, ',' ORDER BY start, kind) FILTER (WHERE live), '') AS live_spans
+FROM texts t LEFT JOIN judged j ON t.doc_id = j.doc_id GROUP BY t.doc_id"""
+    )
+
+
+ORACLES = {"op7_secret_scan": _oracle()}
