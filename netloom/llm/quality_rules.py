@@ -1,6 +1,6 @@
 """Quality rules: learned decision lists over text statistics.
 
-Statistics of every whole text come from one pass over the documents; labelled ones (at most ``max_rows``, those of least hash of doc_id)
+Statistics of every whole text come from one pass over the documents; labelled ones (about ``max_rows``, a ``bounded_sample`` by a hash)
 train rules by sequential covering: a rule, a conjunction of thresholds that rejects, grows by the condition of highest information gain on
 two thirds of the rows, once from each statistic, and is pruned from its end on the other third; of those precise enough there the one that
 covers the most is taken, what it covers is set aside and the next one grows. The list becomes ordered Spark conditional expressions; a document that no rule rejects is kept.
@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netloom.llm.blocks import slices
+from netloom.llm.sampling import bounded_sample
 from netloom.llm.scratch import Scratch
 from netloom.llm.words import Words, mix, windows
 
@@ -215,7 +216,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_r
     of = features()
     labelled = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
     rows = counts.join(labelled, "doc_id").select("doc_id", (F.col("quality") == 0).alias("bad"), *(v.alias(f"f_{k}") for k, v in of.items()))
-    sample = rows.orderBy(F.xxhash64("doc_id"), *rows.columns).limit(max_rows).toPandas()
+    sample = bounded_sample(scratch.keep(rows, "labelled"), max_rows, *rows.columns).toPandas()
+    sample = sample.sort_values(list(sample.columns), ignore_index=True).sample(frac=1.0, random_state=1)  # the same rows in the same order
     rules = learn({k: sample[f"f_{k}"].to_numpy(float) for k in of}, sample["bad"].to_numpy(bool)) if len(sample) else []
     failed = (F.col("n_words") < 20) | (F.lit(100) * F.col("n_repeat_words") > F.lit(30) * F.col("n_words"))
     out = counts.withColumn("base_failed", failed).withColumn("rule", verdict(rules))
