@@ -106,10 +106,10 @@ def write_blocks(scratch: Scratch, docs: DataFrame, text: str = "text", block_by
     return scratch.bucketed(docs.mapInArrow(gather, "block long, bytes long, payload binary"), "blocks", "block", number)
 
 
-def ranges(blocks: DataFrame) -> int:
+def ranges(blocks: DataFrame, range_bytes: int = RANGE_BYTES) -> int:
     """The number of key ranges, a power of two, from the bytes of the corpus (a read of one small column)."""
     total = blocks.agg(F.sum("bytes")).first()[0] or 0
-    return 1 << max(2, (int(total) // RANGE_BYTES).bit_length())
+    return 1 << max(2, (int(total) // range_bytes).bit_length())
 
 
 def asked(keys: np.ndarray, values: list[np.ndarray], block: int, n_ranges: int) -> Iterator[tuple]:

@@ -11,8 +11,9 @@ empty, and linked with nothing, without words or text. Two texts link when 100 *
 3. Documents with equal sets are one class from here on; only a representative goes on.
 4. Stars first: for each prefix shingle the representatives are verified against one of them, the one whose shingles are the most common in
    the mean (in a group of edited copies, the one nearest the original), so a group of g copies costs g pairs. Connected ones are joined.
-5. All pairs that are left (they share enough prefix shingles and lie in different components) are then verified, and joined. Nothing is
-   capped: pairs inside a component can't change it, and all others are tested.
+5. All pairs that are left, in different components, are then joined by prefix shingles, the smaller's prefix cut to what partners of its size
+   need. Those that share enough of them, and have enough left after the last for the threshold, are verified. Nothing is capped: pairs
+   inside a component can't change it, and all others are tested.
 
 Rows come back as they went in: nulls in any column, repeated rows and repeated ids are rows of their own, a null doc_id counts as no id when
 the smallest of a component is taken, an empty table gives an empty result, other columns are ignored. Shingles are compared by 48-bit hashes.
@@ -33,9 +34,11 @@ from netloom.llm.scratch import Scratch
 from netloom.llm.words import Words, mix, windows
 
 #: The longest multi-match considered, and what verifying a candidate costs against reading a posting.
-MOST_MATCHES, VERIFY_COST = 8, 6
+MOST_MATCHES, VERIFY_COST = 8, 0.25
+#: Smaller than elsewhere: a block's sets, frequencies and prefixes are in memory together.
+BLOCK_BYTES, RANGE_BYTES = 2 << 20, 4 << 20
 GIVES = [np.uint32]
-TABLE = "rid long, doc_id long, n long, sig_a long, sig_b long, central float, matches int, prefix array<long>, shared array<long>"
+TABLE = "rid long, doc_id long, n long, sig_a long, sig_b long, central float, matches int, indexed int, prefix array<long>, shared array<long>"
 
 
 class _Sets:
@@ -71,16 +74,16 @@ def _whole(h: np.ndarray) -> np.uint64:
     return out[0]
 
 
-def chosen(n: int, alone: int, df: np.ndarray, percent: int) -> tuple[int, int]:
+def chosen(n: int, alone: int, df: np.ndarray, percent: int) -> tuple[int, int, int]:
     """For a set of n shingles, ``alone`` of them in no other document and the rest with sorted frequencies ``df``: how many matches to
-    ask for, and how many of the rest are in the prefix for that."""
+    ask for, how many of the rest are in the prefix for that, and how many for partners that are not smaller."""
     least = -(-percent * n // 100)
-    base = n - least + 1
+    of_equals = -(-2 * percent * n // (100 + percent))
     ells = np.arange(1, max(1, min(MOST_MATCHES, least)) + 1)
-    sizes = np.minimum(np.maximum(base + ells - 1 - alone, 0), len(df))
+    sizes = np.clip(n - least + ells - alone, 0, len(df))
     reads = np.concatenate([[0], np.cumsum(df - 1.0)])[sizes]
     best = int(np.argmin(reads + VERIFY_COST * reads / ells))
-    return int(ells[best]), int(sizes[best])
+    return int(ells[best]), int(sizes[best]), int(np.clip(n - of_equals + ells[best] - alone, 0, len(df)))
 
 
 def document_sets(scratch: Scratch, blocks: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -93,7 +96,7 @@ def document_sets(scratch: Scratch, blocks: DataFrame, shingle: int, percent: in
     def merge(keys: np.ndarray, values: list, _) -> list:
         return [summed(keys, values[0])]
 
-    df = answers(scratch, blocks, ranges(blocks), ask, [np.uint32], "df", merge, GIVES)
+    df = answers(scratch, blocks, ranges(blocks, RANGE_BYTES), ask, [np.uint32], "df", merge, GIVES)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,12 +113,13 @@ def document_sets(scratch: Scratch, blocks: DataFrame, shingle: int, percent: in
                 tokens = (h >> np.uint64(16)).astype(np.int64)
                 central = np.concatenate([[0.0], np.cumsum(np.log2(freq.astype(float)))])[first]
                 alone = np.concatenate([[0], np.cumsum(freq < 2)])[first]
-                matches, prefix, shared = [], [], []
+                matches, indexed, prefix, shared = [], [], [], []
                 for i, n in enumerate(sets.n.tolist()):
                     own = int(alone[i + 1] - alone[i])
                     x, y = int(first[i]) + own, int(first[i + 1])
-                    ell, size = chosen(n, own, freq[x:y], percent) if n else (0, 0)
+                    ell, size, index = chosen(n, own, freq[x:y], percent) if n else (0, 0, 0)
                     matches.append(ell)
+                    indexed.append(index)
                     prefix.append(tokens[x : x + size] if size else None)
                     shared.append(tokens[x:y] if size else None)
                 rid = row["block"] * ROWS + np.arange(len(sets.n))
@@ -128,6 +132,7 @@ def document_sets(scratch: Scratch, blocks: DataFrame, shingle: int, percent: in
                         pa.array(np.diff(b).view(np.int64)),
                         pa.array((np.diff(central) / np.maximum(sets.n, 1)).astype(np.float32)),
                         pa.array(matches, pa.int32()),
+                        pa.array(indexed, pa.int32()),
                         pa.array(prefix, pa.list_(pa.int64())),
                         pa.array(shared, pa.list_(pa.int64())),
                     ],
@@ -154,16 +159,17 @@ def grouped(scratch: Scratch, blocks: DataFrame, shingle: int, percent: int) ->
     # equal sets: the signature tells them apart from others
     key = ["n", "sig_a", "sig_b"]
     classes = scratch.keep(sets.where("n > 0").groupBy(*key).agg(F.min("rid").alias("rep")), "classes")
-    reps = scratch.keep(sets.where("prefix is not null").join(classes.select(F.col("rep").alias("rid")), "rid", "left_semi").select("rid", "n", "central", "matches", "prefix", "shared"), "reps")
+    reps = scratch.keep(sets.where("prefix is not null").join(classes.select(F.col("rep").alias("rid")), "rid", "left_semi").select("rid", "n", "central", "matches", "indexed", "prefix", "shared"), "reps")
     full = reps.select("rid", "n", "shared")
-    postings = scratch.keep(reps.select("rid", "n", "central", "matches", F.explode("prefix").alias("token")), "postings")
+    postings = scratch.keep(reps.select("rid", "n", F.size("shared").alias("held"), "central", "matches", "indexed", F.posexplode("prefix").alias("pos", "token")), "postings")
 
     # stars
-    near = lambda x, y: (F.lit(100) * F.least(x, y) >= F.lit(percent) * F.greatest(x, y))
-    hubs = postings.groupBy("token").agg(F.max(F.struct("central", F.col("n").alias("hub_n"), F.col("rid").alias("hub"))).alias("h"), F.count(F.lit(1)).alias("held")).where("held > 1").select("token", "h.hub", "h.hub_n")
+    # sizes n of which ``most`` at most are common can link
+    near = lambda n_a, n_b, most: (F.lit(100 + percent) * most >= F.lit(percent) * (n_a + n_b))
+    hubs = postings.groupBy("token").agg(F.max(F.struct("central", "rid", F.col("n").alias("hub_n"), F.col("held").alias("hub_held"))).alias("h"), F.count(F.lit(1)).alias("size")).where("size > 1").select("token", F.col("h.rid").alias("hub"), "h.hub_n", "h.hub_held")
     stars = (
         postings.join(hubs, "token")
-        .where((F.col("hub") != F.col("rid")) & near(F.col("n"), F.col("hub_n")))
+        .where((F.col("hub") != F.col("rid")) & near(F.col("n"), F.col("hub_n"), F.least("held", "hub_held")))
         .select(F.least("hub", "rid").alias("a"), F.greatest("hub", "rid").alias("b"))
         .distinct()
     )
@@ -176,15 +182,22 @@ def grouped(scratch: Scratch, blocks: DataFrame, shingle: int, percent: int) ->
     placed = scratch.keep(placed, "placed")
     open_tokens = placed.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token")
     still = placed.join(open_tokens, "token", "left_semi")
-    one = still.select("token", *(F.col(c).alias(f"{c}_a") for c in ("rid", "n", "matches", "comp")))
-    two = still.select("token", *(F.col(c).alias(f"{c}_b") for c in ("rid", "n", "matches", "comp")))
+    # the smaller of a pair shares within the shorter prefix that suffices for partners of its size or more
+    columns = ("rid", "n", "held", "pos", "matches", "comp")
+    one = still.where("pos < indexed").select("token", *(F.col(c).alias(f"{c}_a") for c in columns))
+    two = still.select("token", *(F.col(c).alias(f"{c}_b") for c in columns))
+    # after the last match of the prefixes no more can be common than either has left
+    left = F.least(F.col("held_a") - F.col("pos_a"), F.col("held_b") - F.col("pos_b")) - 1
+    # of sets of these sizes, each match lies in the prefixes that this pair needs
+    within = [F.col(f"held_{x}") - F.col(f"pos_{x}") + F.col(f"matches_{x}") - 1 for x in "ab"] + [F.col("held_a"), F.col("held_b")]
+    smaller = F.struct("n_a", "rid_a") < F.struct(F.col("n_b").alias("n_a"), F.col("rid_b").alias("rid_a"))
     rest = (
         one.join(two, "token")
-        .where((F.col("rid_a") < F.col("rid_b")) & (F.col("comp_a") != F.col("comp_b")) & near(F.col("n_a"), F.col("n_b")))
-        .groupBy(F.col("rid_a").alias("a"), F.col("rid_b").alias("b"))
-        .agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("matches_a", "matches_b")).alias("least"))
-        .where("shared >= least")
-        .select("a", "b")
+        .where(smaller & (F.col("comp_a") != F.col("comp_b")) & near(F.col("n_a"), F.col("n_b"), F.least(*within)))
+        .groupBy(F.col("rid_a").alias("x"), F.col("rid_b").alias("y"), "n_a", "n_b")
+        .agg(F.count(F.lit(1)).alias("common"), F.min(F.least("matches_a", "matches_b")).alias("least"), F.min(left).alias("left"))
+        .where((F.col("common") >= F.col("least")) & near(F.col("n_a"), F.col("n_b"), F.col("common") + F.col("left")))
+        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         .join(tried, ["a", "b"], "left_anti")
     )
     more = scratch.keep(verified(rest, full, percent), "more_edges")
@@ -198,7 +211,7 @@ def grouped(scratch: Scratch, blocks: DataFrame, shingle: int, percent: int) ->
 def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 5, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest doc_id that links lead to."""
     scratch = Scratch(spark, "ngram_join")
-    blocks = write_blocks(scratch, docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    blocks = write_blocks(scratch, docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), block_bytes=BLOCK_BYTES)
     rows = grouped(scratch, blocks, shingle, percent)
     lowest = rows.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("lowest"))
     result = rows.join(lowest, "comp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("lowest")).alias("component_id"))
@@ -209,7 +222,7 @@ def keep_one(spark: SparkSession, docs: DataFrame, shingle: int = 5, percent: in
     """The rows of ``docs``, whole, but of each group of near duplicates only that of the smallest doc_id (null last; of equal ids the
     first written). Documents without words have no duplicates. The blocks that were compared are read again for the answer."""
     scratch = Scratch(spark, "keep_one")
-    blocks = write_blocks(scratch, docs)
+    blocks = write_blocks(scratch, docs, block_bytes=BLOCK_BYTES)
     rows = grouped(scratch, blocks, shingle, percent)
     best = rows.where("comp is not null").groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("best")).select("best.rid")
     kept = best.union(rows.where("comp is null").select("rid"))
