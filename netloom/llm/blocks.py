@@ -20,6 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from netloom.llm.memory import tidy, tidy_group
 from netloom.llm.scratch import Scratch
 
 #: Bytes of text in a block, and of text per range of keys. A longer text is a block of its own.
@@ -103,7 +104,7 @@ def write_blocks(scratch: Scratch, docs: DataFrame, text: str = "text", block_by
         if held:
             yield block()
 
-    return scratch.bucketed(docs.mapInArrow(gather, "block long, bytes long, payload binary"), "blocks", "block", number)
+    return scratch.bucketed(docs.mapInArrow(tidy(gather), "block long, bytes long, payload binary"), "blocks", "block", number)
 
 
 def ranges(blocks: DataFrame, range_bytes: int = RANGE_BYTES) -> int:
@@ -146,8 +147,8 @@ def answers(scratch: Scratch, rows: DataFrame, n_ranges: int, ask: Callable, kin
         return pa.table({"block": pa.array(d["block"], pa.int64()), "range": pa.array(d["range"], pa.int32()), "n": pa.array(d["n"], pa.int32()), **{f"r{i}": pa.array(p, pa.binary()) for i, p in enumerate(packed)}})
 
     back = ", ".join(f"r{i} binary" for i in range(len(gives)))
-    sent = rows.mapInArrow(send, "range int, block long, n int, keys binary" + (f", {columns}" if n else ""))
-    summed = sent.groupBy("range").applyInArrow(add, f"block long, range int, n int, {back}")
+    sent = rows.mapInArrow(tidy(send), "range int, block long, n int, keys binary" + (f", {columns}" if n else ""))
+    summed = sent.groupBy("range").applyInArrow(tidy_group(add), f"block long, range int, n int, {back}")
     return scratch.keep(summed.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("range", "n", *(f"r{i}" for i in range(len(gives)))))).alias(name)), name)
 
 

@@ -23,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from netloom.llm.token_counts import tokenizer_path
+from netloom.llm.memory import tidy
+from netloom.llm.token_counts import load_tokenizer, tokenizer_path
 
 START, STOP = "<|im_start|>", "<|im_end|>"
 _ESCAPE, _UNESCAPE = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
@@ -52,12 +53,8 @@ class Codec:
     _of: dict[str, Codec] = {}
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.model = Tokenizer.from_file(path)
+        self.model = load_tokenizer(path)
         self.model.encode_special_tokens = True
-        self.model.no_padding()
-        self.model.no_truncation()
         self.start = self.model.get_vocab_size()
         self.stop = self.start + 1
         self.newline = self.encode(["\n"])[0]
@@ -101,7 +98,7 @@ def format_conversations(conversations: DataFrame, path: str) -> DataFrame:
                     masks.append(mask)
                 yield pa.RecordBatch.from_arrays([*(piece.column(piece.schema.get_field_index(c)) for c in ("conv_id", "turn", "role", "text")), pa.array(ids, schema.field("ids").type), pa.array(masks, schema.field("loss_mask").type)], schema=schema)
 
-    made = rows.mapInArrow(encode, "conv_id long, turn long, role string, text string, ids array<int>, loss_mask array<byte>")
+    made = rows.mapInArrow(tidy(encode), "conv_id long, turn long, role string, text string, ids array<int>, loss_mask array<byte>")
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     return made.select("conv_id", "turn", (F.row_number().over(order) - 1).cast("long").alias("place"), F.coalesce(F.sum(F.size("ids").cast("long")).over(before), F.lit(0)).alias("token_offset"), "ids", "loss_mask")
@@ -151,7 +148,7 @@ def read_back(formatted: DataFrame, path: str) -> DataFrame:
         if done:
             yield flush()
 
-    return formatted.repartition(parts, "conv_id").sortWithinPartitions("conv_id", "place").mapInArrow(read, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long")
+    return formatted.repartition(parts, "conv_id").sortWithinPartitions("conv_id", "place").mapInArrow(tidy(read), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long")
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netloom.llm.blocks import slices
+from netloom.llm.memory import tidy
 from netloom.llm.words import _LOWER, _SPACE, mix, utf8
 
 Q, SPAN, RATE, MOST_BYTES = 12, 80, 0.05, 16 << 20
@@ -172,7 +173,7 @@ def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, span:
                     if found := leaks(bench, piece.column("doc_id").to_pylist(), piece.column("text")):
                         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], schema=schema)
 
-        return rows.mapInArrow(scan, LEAKS)
+        return rows.mapInArrow(tidy(scan), LEAKS)
 
     return reduce(DataFrame.union, [search(x) for x in _parts(spark, benchmark)])
 
@@ -188,7 +189,7 @@ def without_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, sp
                     found = {x[0] for x in leaks(bench, list(range(len(piece))), piece.column(piece.schema.get_field_index("text")))}
                     yield piece.filter(pa.array([i not in found for i in range(len(piece))], pa.bool_()))
 
-        return docs.mapInArrow(scan, docs.schema)
+        return docs.mapInArrow(tidy(scan), docs.schema)
 
     return reduce(sieve, _parts(spark, benchmark), docs)
 

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from netloom.llm.blocks import slices
+from netloom.llm.memory import tidy
 from netloom.llm.sampling import bounded_sample
 from netloom.llm.words import Words, mix
 
@@ -120,7 +121,7 @@ def bags(rows: DataFrame) -> DataFrame:
                     weights.append((count[held] / count.sum()).astype(np.float32))
                 yield pa.RecordBatch.from_pydict({"lang": piece.column("lang"), "buckets": pa.array(buckets, pa.list_(pa.int32())), "weights": pa.array(weights, pa.list_(pa.float32()))})
 
-    return rows.mapInArrow(fold, "lang string, buckets array<int>, weights array<float>")
+    return rows.mapInArrow(tidy(fold), "lang string, buckets array<int>, weights array<float>")
 
 
 def train(rows: pa.Table, seed: int = SEED) -> Languages:
@@ -186,7 +187,7 @@ def predict(docs: DataFrame, model: Languages) -> DataFrame:
                 extra = [pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(~letters | (score < model.least))]
                 yield pa.RecordBatch.from_arrays([*piece.columns, *extra], names=[*piece.schema.names, *RESULTS])
 
-    return docs.mapInArrow(guess, schema)
+    return docs.mapInArrow(tidy(guess), schema)
 
 
 def recognised(docs: DataFrame, model: Languages) -> DataFrame:

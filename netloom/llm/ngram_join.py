@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from netloom.llm.blocks import ROWS, answered, answers, decode, ranges, rows_of, summed, write_blocks
 from netloom.llm.components import components
+from netloom.llm.memory import tidy
 from netloom.llm.scratch import Scratch
 from netloom.llm.words import Words, mix, windows
 
@@ -139,7 +140,7 @@ def document_sets(scratch: Scratch, blocks: DataFrame, shingle: int, percent: in
                     names=[c.split()[0] for c in TABLE.split(", ")],
                 )
 
-    return scratch.keep(blocks.join(df, "block", "left").mapInArrow(rows, TABLE), "sets")
+    return scratch.keep(blocks.join(df, "block", "left").mapInArrow(tidy(rows), TABLE), "sets")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -233,7 +234,7 @@ def keep_one(spark: SparkSession, docs: DataFrame, shingle: int = 5, percent: in
             for row in rows_of(batch):
                 yield from decode(row["payload"]).take(pa.array(row["kept"], pa.int64())).to_batches()
 
-    return scratch.close(blocks.join(kept, "block").mapInArrow(answer, docs.schema))
+    return scratch.close(blocks.join(kept, "block").mapInArrow(tidy(answer), docs.schema))
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,12 +21,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netloom.llm.blocks import slices
-from netloom.llm.token_counts import tokenizer_path
+from netloom.llm.memory import tidy, tidy_group
+from netloom.llm.token_counts import load_tokenizer, tokenizer_path
 from netloom.llm.words import Words
 
 WINDOW, END, SHARD_BYTES = 2048, 1, 16 << 20
 #: Words a worker remembers the ids of; beyond that it forgets all and begins anew.
 REMEMBERED = 1_500_000
+#: Words handed to the tokenizer at once.
+AT_ONCE = 4000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -36,11 +39,7 @@ class WordIds:
     _of: dict[str, WordIds] = {}
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.model = Tokenizer.from_file(path)
-        self.model.no_padding()
-        self.model.no_truncation()
+        self.model = load_tokenizer(path)
         self.forget()
 
     @classmethod
@@ -63,7 +62,7 @@ class WordIds:
         if unknown.any():
             body, which = words.body.tobytes(), index[unknown]
             texts = [body[a:b].decode() for a, b in zip(words.start[which].tolist(), words.end[which].tolist(), strict=True)]
-            lists = [x.ids for part in range(0, len(texts), 20_000) for x in self.model.encode_batch(texts[part : part + 20_000], add_special_tokens=False)]
+            lists = [x.ids for part in range(0, len(texts), AT_ONCE) for x in self.model.encode_batch(texts[part : part + AT_ONCE], add_special_tokens=False)]
             size = np.array([len(x) for x in lists], np.int32)
             first = len(self.ids) + np.cumsum(size) - size
             self.ids = np.concatenate([self.ids, np.array([i for x in lists for i in x], np.uint32)])
@@ -100,7 +99,7 @@ def tokenised(docs: DataFrame, path: str, shards: int) -> DataFrame:
 
     shard = F.pmod(F.xxhash64(F.col("doc_id"), F.xxhash64("text")), F.lit(shards)).cast("int")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("shard", shard)
-    return rows.mapInArrow(encode, "shard int, doc_id long, width int, ids binary")
+    return rows.mapInArrow(tidy(encode), "shard int, doc_id long, width int, ids binary")
 
 
 class Windows:
@@ -195,7 +194,7 @@ def pack_documents(spark: SparkSession, docs: DataFrame, path: str, window: int
         columns = [doc_ids.take(pa.array(doc)), start, length, crc, sizes[doc], sequence, offset]
         return pa.table(dict(zip(names, [c if isinstance(c, pa.ChunkedArray) else pa.array(c) for c in columns], strict=True)))
 
-    return tokenised(docs, path, shards).groupBy("shard").applyInArrow(pack, PIECES)
+    return tokenised(docs, path, shards).groupBy("shard").applyInArrow(tidy_group(pack), PIECES)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netloom.llm.blocks import slices
+from netloom.llm.memory import tidy
 from netloom.llm.sampling import bounded_sample
 from netloom.llm.scratch import Scratch
 from netloom.llm.words import Words, mix, windows
@@ -89,7 +90,7 @@ def statistics(docs: DataFrame) -> DataFrame:
                 }
                 yield pa.RecordBatch.from_pydict({k: v if isinstance(v, pa.Array) else pa.array(v, pa.int64()) for k, v in columns.items()})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(count, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(count), "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
 def features() -> dict[str, Column]:

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netloom.llm.blocks import answered, answers, decode, ranges, rows_of, summed, write_blocks
+from netloom.llm.memory import tidy
 from netloom.llm.scratch import Scratch
 from netloom.llm.words import Words, extended, windows
 
@@ -129,7 +130,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = 35, with_
                 yield pa.RecordBatch.from_pydict(out)
 
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
-    return scratch.close(rows.mapInArrow(clean, schema))
+    return scratch.close(rows.mapInArrow(tidy(clean), schema))
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

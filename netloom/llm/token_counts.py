@@ -11,6 +11,7 @@ reaches a task once per partition. Repeated rows and ids are rows of their own,
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netloom.llm.blocks import slices
+from netloom.llm.memory import tidy
 from netloom.llm.scratch import Scratch
 
 LIMIT = 4096
@@ -32,6 +34,17 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def load_tokenizer(path: str):
+    """A tokenizer that neither pads nor truncates and runs in the task's own thread; others' stacks and heaps would outlive it."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(path)
+    model.no_padding()
+    model.no_truncation()
+    return model
+
+
 def counter(path: str) -> Callable[[list[str]], list[int]]:
     """A function from texts to their numbers of tokens; one tokenizer per worker process."""
     if path not in _LOADED:
@@ -41,11 +54,7 @@ def counter(path: str) -> Callable[[list[str]], list[int]]:
             model = sentencepiece.SentencePieceProcessor(model_file=path)
             _LOADED[path] = lambda texts: [len(x) for x in model.encode(texts, num_threads=1)]
         else:
-            from tokenizers import Tokenizer
-
-            model = Tokenizer.from_file(path)
-            model.no_padding()
-            model.no_truncation()
+            model = load_tokenizer(path)
             _LOADED[path] = lambda texts: [len(x.ids) for x in model.encode_batch(texts, add_special_tokens=False)]
     return _LOADED[path]
 
@@ -59,7 +68,7 @@ def encoded(texts: DataFrame, path: str) -> DataFrame:
             for piece in slices(batch, "text", 1 << 20):
                 yield pa.RecordBatch.from_pydict({"digest": piece.column("digest"), "n_tokens": pa.array(np.array(count(piece.column("text").to_pylist()), np.int64))})
 
-    return texts.select("digest", "text").mapInArrow(encode, "digest binary, n_tokens long")
+    return texts.select("digest", "text").mapInArrow(tidy(encode), "digest binary, n_tokens long")
 
 
 def token_counts(spark: SparkSession, docs: DataFrame, path: str, cache: str | None = None, limit: int = LIMIT) -> DataFrame:
