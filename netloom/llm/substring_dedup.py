@@ -135,3 +135,17 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = 35, with_
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), window=35)
+
+
+ORACLES = {
+    "op1_substring_dedup": r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS l FROM documents),
+starts AS (SELECT doc_id, i, md5(array_to_string(l[i : i + 34], ' ')) AS h FROM (SELECT doc_id, l, unnest(range(1, len(l) - 33)) AS i FROM w)),
+hit AS (SELECT doc_id, i FROM starts WHERE h IN (SELECT h FROM starts GROUP BY h HAVING count(*) > 1)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS j FROM hit),
+tokens AS (SELECT doc_id, unnest(l) AS word, generate_subscripts(l, 1) AS j FROM w),
+kept AS (SELECT t.doc_id, count(*) AS n, string_agg(t.word, ' ' ORDER BY t.j) AS text FROM tokens t LEFT JOIN gone g ON t.doc_id = g.doc_id AND t.j = g.j WHERE g.j IS NULL GROUP BY t.doc_id)
+SELECT w.doc_id, CAST(len(l) AS BIGINT) AS n_words, CAST(len(l) - coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM w LEFT JOIN kept k ON w.doc_id = k.doc_id
+"""
+}
