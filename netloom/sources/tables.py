@@ -43,5 +43,5 @@ def web(spark: SparkSession, sf_dir: str) -> Graph:
 
 
 def part_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Attributes of the parts of ``supply``; one part in 97 has two rows and one in 89 is of no graph."""
+    """Attributes of the parts of ``supply``, a row per part."""
     return table(spark, sf_dir, "part").select(F.concat(F.lit("p"), "p_partkey").alias("id"), "p_brand", "p_type", "p_size", "p_retailprice")
