@@ -123,10 +123,11 @@ def asked(keys: np.ndarray, values: list[np.ndarray], block: int, n_ranges: int)
             yield (i, block, b - a, pack(delta(keys[a:b])), *(pack(v[a:b]) for v in values))
 
 
-def answers(scratch: Scratch, rows: DataFrame, n_ranges: int, ask: Callable, kinds: list, name: str, merge: Callable, gives: list) -> DataFrame:
+def answers(scratch: Scratch, rows: DataFrame, n_ranges: int, ask: Callable, kinds: list, name: str, merge: Callable, gives: list, stay: bool = False) -> DataFrame:
     """One round: ``ask(row)`` (a dict of a block's columns) gives sorted distinct uint64 keys and value arrays (``kinds``, their dtypes);
     ``merge(keys, values, sizes)`` gets those of one range from all blocks, one after another, and gives arrays (``gives``) in that order.
-    Returns block, ``name``: the list of answers by range, for ``answered``."""
+    Returns block, ``name``: the list of answers by range, for ``answered``; with ``stay`` bucketed as the blocks are, so that rounds to come
+    don't move them again."""
     n, columns = len(kinds), ", ".join(f"v{i} binary" for i in range(len(kinds)))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,7 +150,8 @@ def answers(scratch: Scratch, rows: DataFrame, n_ranges: int, ask: Callable, kin
     back = ", ".join(f"r{i} binary" for i in range(len(gives)))
     sent = rows.mapInArrow(tidy(send), "range int, block long, n int, keys binary" + (f", {columns}" if n else ""))
     summed = sent.groupBy("range").applyInArrow(tidy_group(add), f"block long, range int, n int, {back}")
-    return scratch.keep(summed.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("range", "n", *(f"r{i}" for i in range(len(gives)))))).alias(name)), name)
+    each = summed.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("range", "n", *(f"r{i}" for i in range(len(gives)))))).alias(name))
+    return scratch.bucketed(each, name, "block", int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))) if stay else scratch.keep(each, name)
 
 
 def answered(found: list | None, gives: list) -> list[np.ndarray]:

@@ -1,8 +1,8 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
 Symbols are the lower-cased (A-Z) words of a text, then one end. A context is up to ``depth`` preceding words of the same text. Level by level,
-a retained context (and the empty one) is extended by one more word where the longer one makes up ``min_share`` of the training symbols, and
-``min_count`` of them at least; the longer one is retained if it tells more than its suffix: the leave-one-out gain
+a retained context (and the empty one) is extended by one more word where the training texts hold the longer one ``min_count`` times, and
+the longer one is retained if it tells more than its suffix: the leave-one-out gain
 
     sum over its next symbols w of c(s w) * log(((c(s w) - 1 + k q(w)) / (c(s) - 1 + k)) / q(w)),   q(w) = c(suffix w) / c(suffix)
 
@@ -20,7 +20,6 @@ table gives an empty result, other columns are ignored.
 
 from __future__ import annotations
 
-import math
 import zlib
 from collections.abc import Iterator
 
@@ -34,7 +33,7 @@ from netloom.llm.memory import tidy
 from netloom.llm.scratch import Scratch
 from netloom.llm.words import Words, mix
 
-DEPTH, MIN_COUNT, MIN_SHARE, SMOOTH, MIN_GAIN = 2, 16, 1e-6, 8.0, 4.0
+DEPTH, MIN_COUNT, SMOOTH, MIN_GAIN = 2, 16, 8.0, 4.0
 FOLDS, HELD = 7, 2
 _END = np.uint64(0x1D8AF06C3F5B9E27)
 _K = np.uint64(0xD6E8FEB86659FD93)
@@ -42,7 +41,7 @@ _K = np.uint64(0xD6E8FEB86659FD93)
 BLOCK_BYTES, RANGE_BYTES = 2 << 20, 4 << 20
 #: Gains are summed as integers of this unit, so that the order of adding doesn't matter.
 UNIT = 1 << 16
-COUNTS, GAINS = [np.uint32, np.uint8], [np.int64]
+COUNTS, KEPT = [np.uint32, np.uint8], [np.uint8]
 
 
 def held_out(ids: list) -> np.ndarray:
@@ -130,19 +129,19 @@ class _Tree:
         self.contexts, self.context_order, self.which = contexts, order, which
         return h[order], whole[order]
 
-    def retain(self, found: list, min_gain: float) -> None:
-        gain = np.empty(len(self.contexts), np.int64)
-        gain[self.context_order] = answered(found, GAINS)[0]
+    def retain(self, found: list) -> None:
+        retained = np.empty(len(self.contexts), bool)
+        retained[self.context_order] = answered(found, KEPT)[0]
         kept = np.zeros(len(self.number), bool)
-        kept[self.at] = (gain > min_gain * UNIT)[self.which][self.gram[self.at]]
+        kept[self.at] = retained[self.which][self.gram[self.at]]
         self.kept = kept
 
 
 class Model:
     """The rounds: 0 counts the symbols; for each level d, round 2 d - 1 counts its n-grams and round 2 d adds up its contexts' gains."""
 
-    def __init__(self, depth: int, min_count: int, smooth: float, min_gain: float):
-        self.depth, self.min_count, self.smooth, self.min_gain = depth, min_count, smooth, min_gain
+    def __init__(self, depth: int, min_count: int, smooth: float):
+        self.depth, self.min_count, self.smooth = depth, min_count, smooth
         self.total = self.distinct = 0
 
     def grown(self, row: dict, answered_rounds: int) -> _Tree:
@@ -164,7 +163,7 @@ class Model:
             tree.gains(self.smooth)
             if answered_rounds < 2 * d + 1:
                 break
-            tree.retain(row[f"round{2 * d}"], self.min_gain)
+            tree.retain(row[f"round{2 * d}"])
             at = np.flatnonzero(tree.kept)
             tree.in_context[at] = True
             tree.p[at] = (tree.count[tree.gram[at]] + self.smooth * tree.p[at]) / (tree.suffix_counts[at] + self.smooth)
@@ -187,13 +186,18 @@ def _count(keys: np.ndarray, values: list, _) -> list:
     return [whole, credit]
 
 
-def _add(keys: np.ndarray, values: list, _) -> list:
-    return [summed(keys, values[0])]
+def _tells(min_gain: float):
+    """Whether the sum of a context's gains exceeds ``min_gain``: all that a block needs to know of it."""
 
+    def add(keys: np.ndarray, values: list, _) -> list:
+        return [summed(keys, values[0]) > min_gain * UNIT]
 
-def suffix_tree_scores(spark: SparkSession, docs: DataFrame, depth: int = DEPTH, min_count: int = MIN_COUNT, smooth: float = SMOOTH, min_gain: float = MIN_GAIN, min_share: float = MIN_SHARE) -> DataFrame:
+    return add
+
+
+def suffix_tree_scores(spark: SparkSession, docs: DataFrame, depth: int = DEPTH, min_count: int = MIN_COUNT, smooth: float = SMOOTH, min_gain: float = MIN_GAIN) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_in_context (symbols scored in a retained context)."""
-    scratch, model = Scratch(spark, "suffix_tree"), Model(depth, min_count, smooth, min_gain)
+    scratch, model = Scratch(spark, "suffix_tree"), Model(depth, min_count, smooth)
     blocks = write_blocks(scratch, docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), block_bytes=BLOCK_BYTES, convert=numbered)
     n_ranges, rows = ranges(blocks, RANGE_BYTES), blocks
 
@@ -206,11 +210,10 @@ def suffix_tree_scores(spark: SparkSession, docs: DataFrame, depth: int = DEPTH,
 
     for k in range(2 * depth + 1):
         counts = k == 0 or k % 2 == 1
-        found = answers(scratch, rows, n_ranges, model.ask(k), [np.uint32] if counts else [np.int64], f"round{k}", _count if counts else _add, COUNTS if counts else GAINS)
+        found = answers(scratch, rows, n_ranges, model.ask(k), [np.uint32] if counts else [np.int64], f"round{k}", _count if counts else _tells(min_gain), COUNTS if counts else KEPT, stay=True)
         if k == 0:
             n, v = found.mapInArrow(tidy(totals), "n long, v long").agg(F.sum("n"), F.sum("v")).first()
             model.total, model.distinct = int(n or 0), int(v or 0)
-            model.min_count = max(min_count, math.ceil(min_share * model.total))
         rows = rows.join(found, "block", "left")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,4 +239,4 @@ def suffix_tree_scores(spark: SparkSession, docs: DataFrame, depth: int = DEPTH,
 
 
 def op8_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_tree_scores(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), depth=2, min_count=16, smooth=8.0, min_gain=4.0, min_share=1e-6)
+    return suffix_tree_scores(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), depth=2, min_count=16, smooth=8.0, min_gain=4.0)

@@ -315,6 +315,16 @@ def test_suffix_tree(spark, docs, nothing):
     assert suffix_tree_scores(spark, nothing).count() == 0
 
 
+def test_suffix_tree_threshold_is_the_same_at_every_size(spark):
+    from netloom.llm.suffix_tree_lm import suffix_tree_scores
+
+    small = spark.createDataFrame([(2, "a b c")], "doc_id long, text string")
+    large = small.union(spark.createDataFrame([(3, "x " * 1_100_000)], "doc_id long, text string"))
+    for table in (small, large):
+        found = {r["doc_id"]: r["n_in_context"] for r in suffix_tree_scores(spark, table, 1, 1, 8.0, -1.0).collect()}
+        assert found[2] == 3
+
+
 def test_quality_rules(spark, docs, nothing):
     from netloom.llm.quality_rules import Condition, learn, quality_rules
 
