@@ -160,7 +160,7 @@ def contract_clusters(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def hierarchy_levels(spark: SparkSession, d: str) -> DataFrame:
     g = tables.geography(spark, d)
-    levels = coarsen.build_hierarchy(g.edges, g.nodes, target=200, sweeps=1, max_levels=4)
+    levels = coarsen.build_hierarchy(g.edges, g.nodes, target=200)
     parts = [x["sym"].agg(F.lit(i).alias("level"), F.lit(x["n"]).alias("nodes"), F.count(F.lit(1)).alias("arcs")) for i, x in enumerate(levels)]
     out = parts[0]
     for p in parts[1:]:
@@ -392,7 +392,7 @@ def separation(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def multilevel_layout_health(spark: SparkSession, d: str) -> DataFrame:
     g = tables.geography(spark, d)
-    return layout.health(layout.layout(g.edges, g.nodes, SEED, steps=1, target=200, sweeps=1, max_levels=3))
+    return layout.health(layout.layout(g.edges, g.nodes, SEED, target=200))
 
 
 @query()

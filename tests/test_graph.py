@@ -84,6 +84,34 @@ def test_labels_and_hierarchy(spark):
         assert again.exceptAll(coarse["sym"]).isEmpty()
 
 
+def test_registered_hierarchies_keep_the_operators_rounds(monkeypatch):
+    import inspect
+    from types import SimpleNamespace
+
+    from netloom.plans import catalogue
+
+    class Asked(Exception):
+        pass
+
+    def asked(f):
+        def spy(*args, **named):
+            bound = inspect.signature(f).bind(*args, **named)
+            bound.apply_defaults()
+            raise Asked(bound.arguments)
+
+        return spy
+
+    monkeypatch.setattr(catalogue.tables, "geography", lambda *_: SimpleNamespace(edges=None, nodes=None))
+    monkeypatch.setattr(coarsen, "build_hierarchy", asked(coarsen.build_hierarchy))
+    monkeypatch.setattr(layout, "layout", asked(layout.layout))
+    with pytest.raises(Asked) as found:
+        catalogue.hierarchy_levels(None, "")
+    assert (found.value.args[0]["sweeps"], found.value.args[0]["max_levels"]) == (coarsen.SWEEPS, coarsen.MAX_LEVELS)
+    with pytest.raises(Asked) as found:
+        catalogue.multilevel_layout_health(None, "")
+    assert found.value.args[0]["steps"] is None and found.value.args[0]["hierarchy"] == {"target": 200}
+
+
 def test_draws(spark):
     rows = with_draw(spark.range(4), 42, F.col("id"), "u").orderBy("id").collect()
     assert [r["u"] for r in rows] == [0.6011037519201636, 0.44829055899754167, 0.8524657934904099, 0.6697340414393693]
