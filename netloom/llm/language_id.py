@@ -2,7 +2,7 @@
 
 A text is the mean of the embeddings of its words' character n-grams (UTF-8 bytes of each lower-cased word between marks, n of 1 to 4, hashed to
 ``BUCKETS``); a linear layer and a softmax give the language. Both layers are trained by stochastic gradient descent in numpy on about
-``max_rows`` labelled texts (``bounded_sample``, by a hash). A quarter of these is set aside to calibrate: a temperature for the scores, and a
+``max_rows`` labelled texts (``bounded_by_class``, by a hash), and ``LEAST_ROWS`` of a rarer language. A quarter of these is set aside to calibrate: a temperature for the scores, and a
 score below which a text is rejected, set so that next to none of the texts recognised there are.
 
 As the mean and the layers are linear, the two are multiplied out into one small table (BUCKETS x languages, of fixed size) for the tasks that
@@ -26,10 +26,10 @@ from pyspark.sql import types as T
 
 from netloom.llm.blocks import slices
 from netloom.llm.memory import tidy
-from netloom.llm.sampling import bounded_sample
+from netloom.llm.sampling import bounded_by_class
 from netloom.llm.words import Words, mix
 
-BUCKETS, DIMENSIONS, ORDERS, MAX_ROWS = 1 << 14, 16, (1, 2, 3, 4), 2000
+BUCKETS, DIMENSIONS, ORDERS, MAX_ROWS, LEAST_ROWS = 1 << 14, 16, (1, 2, 3, 4), 2000, 50
 EPOCHS, BATCH, RATE, SEED = 12, 16, 20.0, 7
 #: Share of the recognised texts set aside that the rejection may cost, and the highest score it may ask for.
 LOSS, MOST_ASKED = 0.001, 0.5
@@ -134,6 +134,7 @@ def train(rows: pa.Table, seed: int = SEED) -> Languages:
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(y))
     aside, fit = (order[::4], np.setdiff1d(order, order[::4])) if len(y) >= 8 else (order, order)
+    fit = np.union1d(fit, np.flatnonzero(np.isin(y, np.setdiff1d(y, y[fit]))))  # a language that is set aside whole is learned as well
     e = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float32)
     w = rng.normal(0, 0.1, (DIMENSIONS, len(names))).astype(np.float32)
     bias = np.zeros(len(names), np.float32)
@@ -202,8 +203,9 @@ def held_out():
 
 def fit(docs: DataFrame, max_rows: int = MAX_ROWS) -> Languages:
     rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sample = bounded_sample(rows, max_rows, "doc_id", "text")
-    return train(bags(sample.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))).toArrow())
+    rows = rows.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    sample = bounded_by_class(rows, max_rows, LEAST_ROWS, "lang", "doc_id", "text")
+    return train(bags(sample.select("lang", "text")).toArrow())
 
 
 def language_id(spark: SparkSession, docs: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:

@@ -16,3 +16,19 @@ def bounded_sample(rows: DataFrame, most: int, *keys: str) -> DataFrame:
         return rows
     hashed = F.pmod(F.xxhash64(*keys), F.lit(_WIDTH))
     return rows.where(hashed < F.lit(_WIDTH * most // n)).limit(most + most // 4)
+
+
+def bounded_by_class(rows: DataFrame, most: int, least: int, by: str, *keys: str) -> DataFrame:
+    """``bounded_sample`` with a bound for each value of ``by`` (not null) from its own number of rows: about its share of ``most``, and about
+    ``least`` rows where that is fewer. Rows with equal keys are taken together or not at all."""
+    counts = {r[by]: r["count"] for r in rows.groupBy(by).count().collect()}
+    n = sum(counts.values())
+    if n <= most:
+        return rows
+    bounds = {c: min(_WIDTH, max(_WIDTH * most // n, _WIDTH * least // k)) for c, k in counts.items()}
+    expected = sum(k * bounds[c] for c, k in counts.items()) // _WIDTH + 1
+    rare = {c: b for c, b in bounds.items() if b > _WIDTH * most // n}
+    bound = F.lit(_WIDTH * most // n)
+    if rare:
+        bound = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in rare.items() for x in pair)), F.col(by)), bound)
+    return rows.where(F.pmod(F.xxhash64(*keys), F.lit(_WIDTH)) < bound).limit(expected + expected // 4 + least)

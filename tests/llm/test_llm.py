@@ -378,6 +378,13 @@ def test_language_id(spark, docs, nothing):
     assert predict(docs, fit(table)).columns == [*docs.columns, "lang_pred", "score", "rejected"]
 
 
+def test_language_id_learns_rare_languages(spark):
+    from netloom.llm.language_id import fit
+
+    table = spark.createDataFrame([(i, "abc de fgh", "xx") for i in range(4000)] + [(i, "日本 語", "rr") for i in range(9000, 9008)], "doc_id long, text string, lang string")
+    assert fit(table, 20).names == ["rr", "xx"]
+
+
 def test_long_texts_and_blocks(spark):
     """A text longer than a block, and blocks of one document each."""
     from netloom.llm.blocks import decode, write_blocks
