@@ -2,15 +2,18 @@
 
 Texts and benchmark items are compared as UTF-8 bytes, A-Z lower-cased and white space (``[\\x20\\x09-\\x0D]+``) as one space. A document leaks
 an item if a stretch of ``span`` bytes of the item (all of it where it is shorter) occurs in the text within an edit distance of ``rate`` of
-the stretch, its budget e. By the q-gram lemma such an occurrence shares span - q + 1 - q * e q-grams with the stretch, all within a band of e
+the stretch, its budget e (less where so short a stretch needn't share a q-gram then). By the q-gram lemma such an occurrence shares span - q + 1 - q * e q-grams with the stretch, all within a band of e
 diagonals. So the q-grams that a text shares with items are put into diagonal bands of width 2 e + 1 or more that overlap by half; a region
-of a band with as many hits within a stretch's length is retained, and verified by alignment within the band. Nothing else is looked at.
+of a band with as many hits within a stretch's length is retained, and verified by alignment within the band. Nothing else is looked at. A run
+of one repeated character is one run of places, a place of the text counts once in a band, and a region is aligned at few of its begins, as
+each distance excludes those near it. Items under q bytes are leaked where their words stand in the text, one after another.
 
 The benchmark's q-grams go to every task. They are of bounded size: a benchmark of more than ``MOST_BYTES`` is searched in parts, one after
-another. Items shorter than q bytes would match by chance and are not searched for. Each document is handled where it is read, with no shuffle.
+another. Each document is handled where it is read, with no shuffle; a text's hits are expanded a stretch at a time.
 
 Null and empty texts leak nothing and null or empty items are not searched for. Repeated rows, ids and items are rows of their own, empty tables
-give an empty result, other columns are ignored.
+give an empty result, other columns are ignored or kept as they are. Of several regions of a document that leak an item, one is reported: the
+first without edits, or else of the fewest edits among those that were aligned together. Long texts are read whole.
 """
 
 from __future__ import annotations
@@ -24,11 +27,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netloom.llm.blocks import slices
-from netloom.llm.memory import tidy
-from netloom.llm.words import _LOWER, _SPACE, mix, utf8
+from netloom.llm.memory import release, tidy
+from netloom.llm.words import _LOWER, _SPACE, Words, mix, utf8, windows
 
-Q, SPAN, RATE, MOST_BYTES = 12, 80, 0.05, 16 << 20
+Q, SPAN, RATE, MOST_BYTES = 12, 80, 0.05, 8 << 20
+#: Hits of a stretch of text that are expanded together.
+MOST_HITS = 1 << 20
 _BITS = 22
+#: Bytes of text that a task looks at together.
+AT_ONCE = 1 << 20
 LEAKS = "doc_id long, item_id long, item_start long, doc_start long, doc_end long, shared long, edits long"
 
 
@@ -59,94 +66,209 @@ def grams(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 class Benchmark:
-    """Items and their q-grams, sorted by hash, behind a table of bits."""
+    """Items and their q-grams: ``hash`` and ``item`` of each group of equal q-grams of one item, sorted, ``first:last`` the runs of places
+    ``low`` to ``high`` at which it stands; in front of them a table of bits. Items under q bytes are held as word sequences."""
 
     def __init__(self, item_ids: list, texts: list[str], span: int, rate: float):
         body, offsets = normalised(pa.array(texts, pa.string()))
         self.ids, raw = item_ids, body.tobytes()
         self.items = [raw[a:b].strip() for a, b in zip(offsets, offsets[1:], strict=False)]
-        body = np.frombuffer(b"".join(self.items), np.uint8)
-        offsets = np.concatenate([[0], np.cumsum([len(x) for x in self.items])]).astype(np.int64)
-        h, ok = grams(body, offsets)
+        self.body = np.frombuffer(b"".join(self.items), np.uint8)
+        self.base = np.concatenate([[0], np.cumsum([len(x) for x in self.items])]).astype(np.int64)
+        self.grams, ok = grams(self.body, self.base)
         at = np.flatnonzero(ok)
-        order = np.argsort(h[at], kind="stable")
-        self.hash = h[at][order]
-        self.item = np.searchsorted(offsets, at[order], side="right") - 1
-        self.place = at[order] - offsets[self.item]
+        item = np.searchsorted(self.base, at, side="right") - 1
+        order = np.lexsort((at, item, self.grams[at]))
+        h, item = self.grams[at][order], item[order]
+        place = at[order] - self.base[item]
+        group, run = np.ones(len(h), bool), np.ones(len(h), bool)
+        group[1:] = (h[1:] != h[:-1]) | (item[1:] != item[:-1])
+        run[1:] = group[1:] | (place[1:] != place[:-1] + 1)
+        runs, group = np.flatnonzero(run), np.flatnonzero(group)
+        self.hash, self.item = h[group], item[group].astype(np.int32)
+        self.low, self.high = place[runs].astype(np.int32), place[np.append(runs[1:], len(h)) - 1].astype(np.int32)
+        self.first = np.searchsorted(runs, group)
+        self.last = np.append(self.first[1:], len(runs))
+        self.size = np.diff(self.base)
+        self.span = np.minimum(self.size, span)
+        self.budget = np.minimum((self.span * rate).astype(np.int64), np.maximum(self.span - Q, 0) // Q)
+        bands = (self.high - self.low) // (self.budget[item[runs]] + 1) + 2
+        self.cost = np.add.reduceat(bands, self.first) if len(runs) else bands  # rows that a hit of the group becomes
         self.bits = np.zeros(1 << _BITS, bool)
         self.bits[(self.hash >> np.uint64(64 - _BITS)).astype(np.int64)] = True
-        size = np.array([len(x) for x in self.items], np.int64)
-        self.span = np.minimum(size, span)
-        self.budget = (self.span * rate).astype(np.int64)
         self.least = np.maximum(self.span - Q + 1 - Q * self.budget, 1)
-
-
-def band_distance(pattern: bytes, text: bytes, most: int) -> int:
-    """The least edit distance between the pattern and any stretch of the text, or most + 1 if above ``most``. The text is the pattern's
-    length and a few bytes more, so that the rows are the band."""
-    if pattern in text:
-        return 0
-    p, t = np.frombuffer(pattern, np.uint8), np.frombuffer(text, np.uint8)
-    row, along = np.zeros(len(t) + 1, np.int64), np.arange(len(t) + 1)
-    for i, c in enumerate(p, 1):
-        new = np.empty_like(row)
-        new[0] = i
-        new[1:] = np.minimum(row[1:] + 1, row[:-1] + (t != c))
-        row = np.minimum.accumulate(new - along) + along
-        if row.min() > most:
-            return most + 1
-    return int(min(row.min(), most + 1))
+        short = [i for i, x in enumerate(self.items) if 0 < len(x) < Q]
+        words = Words(pa.array([self.items[i].decode(errors="replace") for i in short], pa.string()))
+        whole, self.short = words.hashes(), {}
+        for n in np.unique(words.counts).tolist():
+            own = np.flatnonzero(words.counts == n)
+            h = windows(whole, n)[words.first[own]] if n else np.zeros(0, np.uint64)
+            order = np.argsort(h, kind="stable")
+            self.short[n] = (h[order], np.array(short, np.int64)[own[order]] if n else order)
+
+
+def spread(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of ranges low:high, one after another: which range, and the number in it."""
+    times = high - low
+    which = np.repeat(np.arange(len(low)), times)
+    return which, np.arange(len(which)) + np.repeat(low - (np.cumsum(times) - times), times)
+
+
+def band_distances(patterns: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """For each row the least edit distance between the pattern (m bytes) and a stretch of the text (m + w bytes) whose diagonals lie in the
+    band of w: row i of the matrix holds the ends i .. i + w in the text."""
+    m, w = patterns.shape[1], texts.shape[1] - patterns.shape[1]
+    along = np.arange(w + 1, dtype=np.int16)
+    row = np.zeros((len(patterns), w + 1), np.int16)
+    for i in range(m):
+        new = row + 1
+        new[:, :w] = np.minimum(row[:, :w] + (texts[:, i : i + w] != patterns[:, i : i + 1]), row[:, 1:] + 1)
+        row = np.minimum.accumulate(new - along, axis=1) + along
+    return row.min(axis=1)
+
+
+class _Search:
+    """One piece of the corpus against the benchmark: of each document and item the first region found within the budget."""
+
+    def __init__(self, bench: Benchmark, texts):
+        self.bench = bench
+        self.body, self.offsets = normalised(texts)
+        self.found: dict[tuple[int, int], tuple] = {}
+        self.whole_words(texts)
+        h, ok = grams(self.body, self.offsets)
+        at = np.flatnonzero(bench.bits[(h >> np.uint64(64 - _BITS)).astype(np.int64)] & ok)
+        low, high = np.searchsorted(bench.hash, h[at], side="left"), np.searchsorted(bench.hash, h[at], side="right")
+        which, group = spread(low, high)
+        place, item = at[which], bench.item[group].astype(np.int64)
+        if not len(place):
+            return
+        doc = np.searchsorted(self.offsets, place, side="right") - 1
+        self.exact(h, place, doc, item, bench.low[bench.first[group]].astype(np.int64))
+        # what is found needs no more hits
+        n = len(bench.items)
+        known = np.sort(np.array([k * n + x for k, x in self.found], np.int64))
+        key = doc * n + item
+        open_ = ~np.isin(key, known)
+        place, doc, item, group = place[open_], doc[open_], item[open_], group[open_]
+        cost = np.cumsum(bench.cost[group])
+        # stretches of text, overlapping by more than an occurrence is long, whose hits fit in memory
+        overlap, r = 2 * int(bench.span.max(initial=0)), 0
+        while r < len(place):
+            most = int(np.searchsorted(cost, (cost[r - 1] if r else 0) + MOST_HITS))
+            end = max(most, int(np.searchsorted(place, place[r] + 4 * overlap)))
+            self.regions(place[r:end], doc[r:end], item[r:end], group[r:end])
+            r = end if end >= len(place) else max(r + 1, int(np.searchsorted(place, place[end - 1] - overlap)))
+
+    def whole_words(self, texts) -> None:
+        bench = self.bench
+        if not bench.short:
+            return
+        words = Words(texts, lower=True)
+        h = words.hashes()
+        for n, (hashes, items) in bench.short.items():
+            at = np.flatnonzero(words.left >= n) if len(h) else np.zeros(0, np.int64)
+            own = windows(h, n)[at] if len(h) else h
+            which, k = spread(np.searchsorted(hashes, own, side="left"), np.searchsorted(hashes, own, side="right"))
+            for a, x in zip(at[which].tolist(), items[k].tolist(), strict=True):
+                doc = int(words.doc[a])
+                if (doc, x) not in self.found:
+                    start = int(words.start[a] - words.offsets[doc])
+                    self.found[doc, x] = (0, start, start + len(bench.items[x]), 0, 0)
+
+    def exact(self, h, place, doc, item, begin) -> None:
+        """Whole stretches without an edit, by their chained q-grams: from the first place of a q-gram in an item on."""
+        bench = self.bench
+        fits = (begin + bench.span[item] <= bench.size[item]) & (place + bench.span[item] <= self.offsets[doc + 1])
+        hits, step = np.flatnonzero(fits), 0
+        while len(hits):
+            x = item[hits]
+            ends = bench.span[x] - Q
+            shift = np.minimum(step, ends)
+            same = h[place[hits] + shift] == bench.grams[bench.base[x] + begin[hits] + shift]
+            hits, ends = hits[same], ends[same]
+            done = hits[step >= ends]
+            for k, y, a, b, s in zip(doc[done].tolist(), item[done].tolist(), place[done].tolist(), begin[done].tolist(), bench.span[item[done]].tolist(), strict=True):
+                if (k, y) not in self.found:
+                    a -= int(self.offsets[k])
+                    self.found[k, y] = (0, a, a + s, s - Q + 1, b)
+            hits = hits[step < ends]
+            step += Q
+
+    def regions(self, place, doc, item, group) -> None:
+        """Diagonal bands of these hits; regions with as many shared q-grams as the budget leaves; their alignment."""
+        bench = self.bench
+        place = place - self.offsets[doc]
+        which, run = spread(bench.first[group], bench.last[group])
+        p, half = place[which], bench.budget[item[which]] + 1
+        # bands are 2 * half wide and overlap by half; a place of the text counts once in a band
+        again, b = spread((p - bench.high[run]) // half - 1, (p - bench.low[run]) // half + 1)
+        which, p = which[again], p[again]
+        d, m = doc[which], item[which]
+        order = np.lexsort((p, b, m, d))
+        d, m, b, p = d[order], m[order], b[order], p[order]
+        new = np.ones(len(p), bool)
+        new[1:] = (d[1:] != d[:-1]) | (m[1:] != m[:-1]) | (b[1:] != b[:-1])
+        once = new.copy()
+        once[1:] |= p[1:] != p[:-1]
+        d, m, b, p, new = d[once], m[once], b[once], p[once], new[once]
+        held_in = np.cumsum(new)
+        span, budget, least = bench.span[m], bench.budget[m], bench.least[m]
+        # hit i is the last of an occurrence if the one ``least - 1`` before lies in the same band and near enough
+        back = np.arange(len(p)) - least + 1
+        i = np.flatnonzero((back >= 0) & (held_in[np.maximum(back, 0)] == held_in))
+        i = i[p[i] - p[back[i]] <= (span + budget - Q)[i]]
+        if not len(i):
+            return
+        # the occurrence begins in the text between low and high; overlapping ones of a band are one region
+        low, high, g = p[i] + Q - span[i] - budget[i], p[back[i]], held_in[i]
+        first = np.ones(len(i), bool)
+        first[1:] = (g[1:] != g[:-1]) | (low[1:] > high[:-1] + 1)
+        at = np.flatnonzero(first)
+        last = np.append(at[1:], len(i)) - 1
+        shared = np.diff(np.append(at, len(i))) + least[i[at]] - 1
+        x, doc = m[i[at]], d[i[at]]
+        edge, width = b[i[at]] * (bench.budget[x] + 1), 2 * (bench.budget[x] + 1)
+        most = bench.size[x] - bench.span[x]
+        self.align(doc, x, edge, np.clip(low[at] - edge - width, 0, most), np.clip(high[last] - edge, 0, most), shared)
+
+    def align(self, doc, x, edge, low, high, shared) -> None:
+        """Tries begins in low .. high of each region, the middle first. A stretch that begins d bytes further on has d edits less at the
+        most, so one with too many excludes those around it."""
+        bench = self.bench
+        while len(doc):
+            open_ = np.array([(k, y) not in self.found for k, y in zip(doc.tolist(), x.tolist(), strict=True)], bool)
+            doc, x, edge, low, high, shared = (v[open_] for v in (doc, x, edge, low, high, shared))
+            begin, distance = (low + high) // 2, np.zeros(len(doc), np.int64)
+            for span in np.unique(bench.span[x]).tolist():
+                own = np.flatnonzero(bench.span[x] == span)
+                for part in np.array_split(own, -(-len(own) // 2048)):
+                    distance[part] = self.distances(doc[part], x[part], edge[part], begin[part], span)
+            budget = bench.budget[x]
+            for r in np.flatnonzero(distance <= budget).tolist():
+                key = (int(doc[r]), int(x[r]))
+                if key not in self.found or distance[r] < self.found[key][0]:
+                    a = max(int(begin[r] + edge[r] - budget[r]), 0)
+                    z = min(int(begin[r] + edge[r] + 3 * budget[r] + 2 + bench.span[x[r]]), int(self.offsets[doc[r] + 1] - self.offsets[doc[r]]))
+                    self.found[key] = (int(distance[r]), a, z, int(shared[r]), int(begin[r]))
+            clear = np.maximum(distance - budget, 1)
+            parts = [(low, begin - clear), (begin + clear, high)]
+            keep = [a <= b for a, b in parts]
+            doc, x, edge, shared = (np.concatenate([v[k] for k in keep]) for v in (doc, x, edge, shared))
+            low, high = (np.concatenate([part[j][k] for part, k in zip(parts, keep, strict=True)]) for j in (0, 1))
+
+    def distances(self, doc, x, edge, begin, span: int) -> np.ndarray:
+        bench, budget = self.bench, int(self.bench.budget[x[0]])
+        start = self.offsets[doc] + begin + edge - budget
+        where = start[:, None] + np.arange(span + 2 * (budget + 1) + 2 * budget)
+        inside = (where >= self.offsets[doc][:, None]) & (where < self.offsets[doc + 1][:, None])
+        texts = np.where(inside, self.body[np.clip(where, 0, max(len(self.body) - 1, 0))].astype(np.int16), -1)
+        return band_distances(bench.body[(bench.base[x] + begin)[:, None] + np.arange(span)].astype(np.int16), texts)
 
 
 def leaks(bench: Benchmark, ids: list, texts) -> list[tuple]:
-    """Rows (LEAKS) of a batch; of each document and item the region with the fewest edits."""
-    body, offsets = normalised(texts)
-    h, ok = grams(body, offsets)
-    at = np.flatnonzero(bench.bits[(h >> np.uint64(64 - _BITS)).astype(np.int64)] & ok)
-    low, high = np.searchsorted(bench.hash, h[at], side="left"), np.searchsorted(bench.hash, h[at], side="right")
-    times = high - low
-    place = np.repeat(at, times)
-    if not len(place):
-        return []
-    entry = np.repeat(low - (np.cumsum(times) - times), times) + np.arange(len(place))
-    item, item_place = bench.item[entry], bench.place[entry]
-    doc = np.searchsorted(offsets, place, side="right") - 1
-    diagonal = (place - offsets[doc]) - item_place
-    half = bench.budget[item] + 1
-    # each hit lies in two bands of width 2 * half
-    d, m, p, item_place = (np.concatenate([x, x]) for x in (doc, item, place, item_place))
-    b = np.concatenate([diagonal // half, diagonal // half - 1])
-    order = np.lexsort((p, b, m, d))
-    d, m, b, p, item_place = (x[order] for x in (d, m, b, p, item_place))
-    group = np.concatenate([[0], np.cumsum((d[1:] != d[:-1]) | (m[1:] != m[:-1]) | (b[1:] != b[:-1]))])
-    reach = bench.span[m] - Q + bench.budget[m]  # hits of one occurrence lie so near
-    big = len(body) + 2 * int(bench.span.max()) + 1
-    first = np.searchsorted(group * big + p, group * big + p - reach)
-    shared = np.arange(len(p)) - first + 1
-    held = np.flatnonzero(shared >= bench.least[m])
-    best: dict[tuple[int, int], tuple] = {}
-    raw, tried = body.tobytes(), set()
-    for i in held.tolist():
-        k, x = int(d[i]), int(m[i])
-        if best.get((k, x), (1,))[0] == 0:
-            continue
-        f = int(first[i])
-        span, budget = int(bench.span[x]), int(bench.budget[x])
-        # the stretch begins at the first hit here, or ends with the last, or an edit broke the q-grams of its first bytes
-        last, begin = len(bench.items[x]) - span, int(item_place[f])
-        near = [begin, int(item_place[i]) + Q - span, *range(begin - Q * budget, begin)]
-        edge = int(b[i]) * (budget + 1)
-        for begin in dict.fromkeys(min(max(y, 0), last) for y in near):
-            if (k, x, int(b[i]), begin) in tried:
-                continue
-            tried.add((k, x, int(b[i]), begin))
-            a = max(begin + edge - budget, 0) + int(offsets[k])
-            z = min(int(offsets[k]) + begin + edge + 2 * (budget + 1) + span + budget, int(offsets[k + 1]))
-            edits = band_distance(bench.items[x][begin : begin + span], raw[a:z], budget)
-            if edits <= budget and ((k, x) not in best or edits < best[k, x][0]):
-                best[k, x] = (edits, begin, a - int(offsets[k]), z - int(offsets[k]), int(shared[i]))
-                break
-    return [(ids[k], bench.ids[x], v[1], v[2], v[3], v[4], v[0]) for (k, x), v in sorted(best.items())]
+    """Rows (LEAKS) of a batch, one for each document and the item that it leaks."""
+    found = _Search(bench, texts).found
+    return [(ids[k], bench.ids[x], begin, a, z, shared, edits) for (k, x), (edits, a, z, shared, begin) in sorted(found.items())]
 
 
 def _parts(spark: SparkSession, benchmark: DataFrame) -> Iterator:
@@ -169,7 +291,7 @@ def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, span:
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bench = Benchmark(*shared.value, span, rate)
             for batch in batches:
-                for piece in slices(batch, "text", 2 << 20):
+                for piece in slices(batch, "text", AT_ONCE):
                     if found := leaks(bench, piece.column("doc_id").to_pylist(), piece.column("text")):
                         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], schema=schema)
 
@@ -181,17 +303,24 @@ def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, span:
 def without_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, span: int = SPAN, rate: float = RATE) -> DataFrame:
     """The rows of ``docs`` that leak no item."""
 
-    def sieve(docs: DataFrame, shared) -> DataFrame:
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def leaky(shared):
+        @F.arrow_udf("boolean")
+        def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             bench = Benchmark(*shared.value, span, rate)
-            for batch in batches:
-                for piece in slices(batch, "text", 2 << 20):
-                    found = {x[0] for x in leaks(bench, list(range(len(piece))), piece.column(piece.schema.get_field_index("text")))}
-                    yield piece.filter(pa.array([i not in found for i in range(len(piece))], pa.bool_()))
-
-        return docs.mapInArrow(tidy(scan), docs.schema)
-
-    return reduce(sieve, _parts(spark, benchmark), docs)
+            for texts in batches:
+                found, at = np.zeros(len(texts), bool), 0
+                for piece in slices(pa.RecordBatch.from_arrays([texts], ["text"]), "text", AT_ONCE):
+                    for row in leaks(bench, list(range(at, at + len(piece))), piece.column(0)):
+                        found[row[0]] = True
+                    at += len(piece)
+                yield pa.array(found)
+            release()
+
+        return scan
+
+    for shared in _parts(spark, benchmark):
+        docs = docs.where(~leaky(shared)(F.col("text").cast("string")))
+    return docs
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

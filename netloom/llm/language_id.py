@@ -22,10 +22,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from netloom.llm.blocks import slices
-from netloom.llm.memory import tidy
+from netloom.llm.memory import release, tidy
 from netloom.llm.sampling import bounded_by_class
 from netloom.llm.words import Words, mix
 
@@ -33,6 +32,8 @@ BUCKETS, DIMENSIONS, ORDERS, MAX_ROWS, LEAST_ROWS = 1 << 14, 16, (1, 2, 3, 4), 2
 EPOCHS, BATCH, RATE, SEED = 12, 16, 20.0, 7
 #: Share of the recognised texts set aside that the rejection may cost, and the highest score it may ask for.
 LOSS, MOST_ASKED = 0.001, 0.5
+#: Bytes of text that a task looks at together.
+AT_ONCE = 1 << 20
 _K = np.uint64(0x9E3779B97F4A7C15)
 RESULTS = ["lang_pred", "score", "rejected"]
 
@@ -99,7 +100,7 @@ def bags(rows: DataFrame) -> DataFrame:
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch, "text", 4 << 20):
+            for piece in slices(batch, "text", AT_ONCE):
                 words = Words(piece.column("text"), lower=True)
                 buckets, weights = [], []
                 if len(words):
@@ -170,31 +171,42 @@ def has_letter(words: Words, texts) -> np.ndarray:
     return found
 
 
-def predict(docs: DataFrame, model: Languages) -> DataFrame:
-    """All columns of ``docs`` but those named as results, and lang_pred, score, rejected."""
-    docs = docs.select(*(c for c in docs.columns if c not in RESULTS))
-    schema = T.StructType([*docs.schema.fields, *(T.StructField(c, t()) for c, t in zip(RESULTS, (T.StringType, T.DoubleType, T.BooleanType), strict=True))])
+def guessed(model: Languages):
+    """A column function: text -> RESULTS. Only the texts go to Python, a piece at a time; what else a row holds stays in Spark."""
+    kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())])
 
-    def guess(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece in slices(batch, "text", 4 << 20):
-                texts = piece.column("text")
-                words = Words(texts, lower=True)
-                letters = has_letter(words, texts) & pc.is_valid(texts).to_numpy(zero_copy_only=False) & bool(model.names)
-                p = model.scores(words)
-                best = p.argmax(axis=1) if model.names else np.zeros(len(p), int)
-                score = np.where(letters, p.max(axis=1, initial=0.0), 0.0)
-                names = [model.names[b] if ok else "und" for b, ok in zip(best, letters, strict=True)]
-                extra = [pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(~letters | (score < model.least))]
-                yield pa.RecordBatch.from_arrays([*piece.columns, *extra], names=[*piece.schema.names, *RESULTS])
+    def piece(texts: pa.Array) -> pa.Array:
+        words = Words(texts, lower=True)
+        letters = has_letter(words, texts) & pc.is_valid(texts).to_numpy(zero_copy_only=False) & bool(model.names)
+        p = model.scores(words)
+        best = p.argmax(axis=1) if model.names else np.zeros(len(p), int)
+        score = np.where(letters, p.max(axis=1, initial=0.0), 0.0)
+        names = pa.array(model.names or ["und"]).take(pa.array(best))
+        return pa.StructArray.from_arrays([pc.if_else(pa.array(letters), names, "und"), pa.array(score), pa.array(~letters | (score < model.least))], fields=list(kind))
+
+    @F.arrow_udf("struct<lang_pred:string,score:double,rejected:boolean>")
+    def guess(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            pieces = [piece(x.column(0)) for x in slices(pa.RecordBatch.from_arrays([texts], ["text"]), "text", AT_ONCE)]
+            release()
+            yield pa.concat_arrays(pieces) if pieces else pa.array([], kind)
 
-    return docs.mapInArrow(tidy(guess), schema)
+    return guess
+
+
+def predict(docs: DataFrame, model: Languages) -> DataFrame:
+    """All columns of ``docs`` but those named as results, and lang_pred, score, rejected."""
+    found = guessed(model)(F.col("text").cast("string"))
+    return docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in RESULTS), *(found.getField(c).alias(c) for c in RESULTS))
 
 
 def recognised(docs: DataFrame, model: Languages) -> DataFrame:
-    """The rows of ``docs`` that the model doesn't reject."""
-    given = docs.select(F.struct("*").alias("given"), F.col("text").cast("string").alias("text"))
-    return predict(given, model).where("not rejected").select("given.*")
+    """The rows of ``docs`` that the model doesn't reject. A model that has learned no language can't tell, and rejects none but texts that
+    are null or without a letter."""
+    text = F.col("text").cast("string")
+    if not model.names:
+        return docs.where(F.coalesce(text.rlike(r"\p{L}"), F.lit(False)))
+    return docs.where(~guessed(model)(text).getField("rejected"))
 
 
 def held_out():
