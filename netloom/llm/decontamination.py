@@ -86,9 +86,9 @@ class Benchmark:
         run[1:] = group[1:] | (place[1:] != place[:-1] + 1)
         runs, group = np.flatnonzero(run), np.flatnonzero(group)
         self.hash, self.item = h[group], item[group].astype(np.int32)
-        self.low, self.high = place[runs].astype(np.int32), place[np.append(runs[1:], len(h)) - 1].astype(np.int32)
+        self.low, self.high = place[runs].astype(np.int32), place[np.append(runs[1:], len(h))[: len(runs)] - 1].astype(np.int32)
         self.first = np.searchsorted(runs, group)
-        self.last = np.append(self.first[1:], len(runs))
+        self.last = np.append(self.first[1:], len(runs))[: len(group)]
         self.size = np.diff(self.base)
         self.span = np.minimum(self.size, span)
         self.budget = np.minimum((self.span * rate).astype(np.int64), np.maximum(self.span - Q, 0) // Q)

@@ -1,7 +1,7 @@
 """Intermediate tables of one operator run.
 
 Everything goes to the folder the cluster names in ``spark.checkpoint.dir`` (or to the warehouse, for bucketed tables), so a lost
-executor costs the recomputation of its tasks and nothing else. A folder of our own is made only where the session names none.
+executor costs the recomputation of its tasks and nothing else. A folder of our own is made only in a local session that names none.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
+        if not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="netloom-"))
     return sc.getCheckpointDir()
 
