@@ -11,12 +11,12 @@ from netloom.plans.lineage import cut
 def dense_index(df: DataFrame, order: list[str | Column], name: str) -> DataFrame:
     """``df`` with ``name``: its rows' numbers from 0 in the given order.
 
-    Rows are dealt by ranges of the order, numbered in their range, and moved on by the sizes of the ranges before. Only those sizes, one per
-    partition, meet in one place.
+    Rows are dealt by ranges of the order, sorted and numbered in their range, and moved on by the sizes of the ranges before: one shuffle. Only
+    those sizes, one per partition, meet in one place. The numbered rows are written before they are used, so that ties stay as they fell.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = cut(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
+    dealt = cut(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()))
+    dealt = dealt.withColumn("_part", F.shiftright("_id", 33))
     sizes = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return dealt.withColumn("_place", place).join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_place") - 1).drop("_part", "_place", "_before")
+    return dealt.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_id").bitwiseAND((1 << 33) - 1)).drop("_part", "_id", "_before")

@@ -182,5 +182,7 @@ def separation(positions: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def fingerprint(positions: DataFrame) -> DataFrame:
-    """n, hash: equal for equal positions, whatever the order of rows."""
-    return positions.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("idx", "x", "y")).alias("hash"))
+    """n, hash: equal for equal positions, whatever the order of rows: 60 bits of each row's digest, combined. Positions count in units of 2^-20."""
+    unit = lambda c: F.floor(F.col(c).cast("double") * (1 << 20)).cast("string")
+    row = F.conv(F.substring(F.md5(F.concat_ws(",", F.col("idx").cast("string"), unit("x"), unit("y"))), 1, 15), 16, 10).cast("long")
+    return positions.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(row).alias("hash"))

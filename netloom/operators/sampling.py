@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def sample_edges(edges: DataFrame, k: int, seed: int = 42) -> DataFrame:
     """``k`` distinct edges; a smaller k gives a beginning of the same. Each task keeps k rows, then one keeps k of these."""
-    return edges.orderBy(F.xxhash64(F.lit(seed), "seq"), "seq").limit(k)
+    return edges.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("seq").cast("string"))), "seq").limit(k)
 
 
 def node_rank(nodes: DataFrame, seed: int = 42) -> DataFrame:

@@ -12,6 +12,7 @@ from netloom.operators.attributes import Attributes, OneOf, Range, Style
 from netloom.plans import sql
 from netloom.plans.sql import q
 from netloom.sources import tables
+from netloom.sources.edges import validity
 
 SEED = 42
 QUERIES: dict = {}
@@ -47,8 +48,7 @@ def edge_list_indexed(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(count(*) FILTER (WHERE user_id IS NULL OR event_type IS NULL) AS BIGINT) AS skipped, CAST(count(value) AS BIGINT) AS weighted FROM events")
 def record_validity(spark: SparkSession, d: str) -> DataFrame:
-    e = tables.table(spark, d, "events")
-    return e.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("user_id").isNull() | F.col("event_type").isNull()).alias("skipped"), F.count("value").alias("weighted"))
+    return validity(tables.table(spark, d, "events"), F.col("user_id"), F.col("event_type"), F.col("value"))
 
 
 @query(sql.WEB + "SELECT idx, id FROM nodes")
@@ -304,11 +304,10 @@ def square_positions(spark: SparkSession, d: str) -> DataFrame:
     return layout.square_positions(tables.supply(spark, d).nodes, SEED)
 
 
-@query(q("SELECT idx, round(CAST(2048 + cos(a.u * 2 * pi()) * sqrt(b.u) * 1024 AS DOUBLE), 3) AS x, round(CAST(2048 + sin(a.u * 2 * pi()) * sqrt(b.u) * 1024 AS DOUBLE), 3) AS y FROM nodes n JOIN u a ON a.k = 2 * n.idx JOIN u b ON b.k = 2 * n.idx + 1", sql.draws("SELECT 2 * idx AS k FROM nodes UNION ALL SELECT 2 * idx + 1 FROM nodes", SEED)))
+@query(q("SELECT idx, round(CAST(CAST(2048 + cos(a.u * 2 * pi()) * sqrt(b.u) * 1024 AS FLOAT) AS DOUBLE), 3) AS x, round(CAST(CAST(2048 + sin(a.u * 2 * pi()) * sqrt(b.u) * 1024 AS FLOAT) AS DOUBLE), 3) AS y FROM nodes n JOIN u a ON a.k = 2 * n.idx JOIN u b ON b.k = 2 * n.idx + 1", sql.draws("SELECT 2 * idx AS k FROM nodes UNION ALL SELECT 2 * idx + 1 FROM nodes", SEED)))
 def disc_positions(spark: SparkSession, d: str) -> DataFrame:
-    drawn = with_draw(with_draw(tables.supply(spark, d).nodes.select("idx"), SEED, F.col("idx") * 2, "u"), SEED, F.col("idx") * 2 + 1, "v")
-    at = lambda f: F.round(2048 + f(F.col("u") * 2 * F.pi()) * F.sqrt("v") * 1024, 3)
-    return drawn.select("idx", at(F.cos).alias("x"), at(F.sin).alias("y"))
+    placed = layout.disc_positions(tables.supply(spark, d).nodes, SEED)
+    return placed.select("idx", *(F.round(F.col(c).cast("double"), 3).alias(c) for c in ("x", "y")))
 
 
 @query(q(f"SELECT n.idx, CAST(p.x + (a.u - 0.5) * {2048 / 10.0} AS FLOAT) AS x, CAST(p.y + (b.u - 0.5) * {2048 / 10.0} AS FLOAT) AS y FROM nodes n JOIN pos p ON p.idx = n.idx % 100 JOIN w a ON a.k = 2 * n.idx JOIN w b ON b.k = 2 * n.idx + 1", sql.POSITIONS + sql.draws("SELECT 2 * idx AS k FROM nodes UNION ALL SELECT 2 * idx + 1 FROM nodes", SEED ^ (layout.GOLDEN % (1 << 32)), "w")))
@@ -371,7 +370,7 @@ def force_repulsion(spark: SparkSession, d: str) -> DataFrame:
     return push.select("idx", F.round("fx", 2).alias("fx"), F.round("fy", 2).alias("fy"))
 
 
-@query(q("SELECT idx, round(greatest(0, least(4096, x + tx * m)), 2) AS x, round(greatest(0, least(4096, y + ty * m)), 2) AS y FROM (SELECT *, CASE WHEN sqrt(tx * tx + ty * ty) > 1e-9 THEN least(sqrt(tx * tx + ty * ty), 50.0) / sqrt(tx * tx + ty * ty) ELSE 0 END AS m FROM (SELECT p.idx, CAST(p.x AS DOUBLE) AS x, CAST(p.y AS DOUBLE) AS y, coalesce(a.fx, 0) + b.fx + 0.03 * (2048 - p.x) AS tx, coalesce(a.fy, 0) + b.fy + 0.03 * (2048 - p.y) AS ty FROM pos p LEFT JOIN pull a ON p.idx = a.idx JOIN push b ON p.idx = b.idx))", sql.POSITIONS + sql.SPRINGS + sql.REPULSION))
+@query(q("SELECT idx, round(CAST(CAST(greatest(0, least(4096, x + tx * m)) AS FLOAT) AS DOUBLE), 2) AS x, round(CAST(CAST(greatest(0, least(4096, y + ty * m)) AS FLOAT) AS DOUBLE), 2) AS y FROM (SELECT *, CASE WHEN sqrt(tx * tx + ty * ty) > 1e-9 THEN least(sqrt(tx * tx + ty * ty), 50.0) / sqrt(tx * tx + ty * ty) ELSE 0 END AS m FROM (SELECT p.idx, CAST(p.x AS DOUBLE) AS x, CAST(p.y AS DOUBLE) AS y, coalesce(a.fx, 0) + b.fx + 0.03 * (2048 - p.x) AS tx, coalesce(a.fy, 0) + b.fy + 0.03 * (2048 - p.y) AS ty FROM pos p LEFT JOIN pull a ON p.idx = a.idx JOIN push b ON p.idx = b.idx))", sql.POSITIONS + sql.SPRINGS + sql.REPULSION))
 def force_step(spark: SparkSession, d: str) -> DataFrame:
     g = tables.supply(spark, d)
     moved = layout.force_step(graph.symmetrize(g.edges), layout.square_positions(g.nodes, SEED), g.nodes.count(), 50.0)
@@ -395,7 +394,7 @@ def multilevel_layout_health(spark: SparkSession, d: str) -> DataFrame:
     return layout.health(layout.layout(g.edges, g.nodes, SEED, target=200))
 
 
-@query()
+@query(q("SELECT count(*) AS n, bit_xor(CAST('0x' || substr(md5(idx || ',' || CAST(floor(CAST(x AS DOUBLE) * 1048576) AS BIGINT) || ',' || CAST(floor(CAST(y AS DOUBLE) * 1048576) AS BIGINT)), 1, 15) AS BIGINT)) AS hash FROM pos", sql.POSITIONS))
 def layout_fingerprint(spark: SparkSession, d: str) -> DataFrame:
     return layout.fingerprint(_placed(spark, d))
 
@@ -416,7 +415,7 @@ def screen_coverage(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("idx", F.round(lod.coverage(F.col("degree") / 100.0, F.lit(0.2), F.lit(4096.0), F.lit(4096.0), F.lit(1200), F.lit(800)), 9).alias("coverage"))
 
 
-@query()
+@query(q(f"SELECT seq, src, dst, weight FROM edges ORDER BY md5('{SEED}:' || seq), seq LIMIT 500"))
 def edge_sample(spark: SparkSession, d: str) -> DataFrame:
     return sampling.sample_edges(tables.supply(spark, d).edges, 500, SEED)
 

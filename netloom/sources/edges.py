@@ -63,9 +63,21 @@ def read_multiline(spark: SparkSession, path: str, mapping: Mapping) -> DataFram
     return out.where("source is not null and target is not null" + ("" if mapping.weight is None else " and weight is not null")).select("seq", "source", "target", "weight")
 
 
+def _named(df: DataFrame, source: Column, target: Column, weight: Column | None, *more: Column) -> DataFrame:
+    return df.select(source.cast("string").alias("source"), target.cast("string").alias("target"), (F.lit(None) if weight is None else weight).cast("double").alias("weight"), *more)
+
+
+#: What makes a row of a table a record.
+_VALID = "source is not null and target is not null"
+
+
+def validity(df: DataFrame, source: Column, target: Column, weight: Column | None = None) -> DataFrame:
+    """One row: n_rows of a table, how many of them ``from_table`` skips, and how many have a weight."""
+    return _named(df, source, target, weight).agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(~F.expr(_VALID)).alias("skipped"), F.count("weight").alias("weighted"))
+
+
 def from_table(df: DataFrame, source: Column, target: Column, weight: Column | None = None, order: list[str] | None = None) -> DataFrame:
-    """Records from any table; ``seq`` numbers its rows by ``order``."""
-    named = df.select(source.cast("string").alias("source"), target.cast("string").alias("target"), (F.lit(None) if weight is None else weight).cast("double").alias("weight"), *(F.col(c).alias(f"_o{i}") for i, c in enumerate(order or [])))
-    valid = named.where("source is not null and target is not null")
+    """Records from any table; ``seq`` numbers its rows by ``order``. Rows without a source or target are skipped (``validity`` counts them)."""
+    valid = _named(df, source, target, weight, *(F.col(c).alias(f"_o{i}") for i, c in enumerate(order or []))).where(_VALID)
     keys = [f"_o{i}" for i in range(len(order or []))] or ["source", "target", "weight"]
     return dense_index(valid, keys, "seq").select("seq", "source", "target", "weight")
