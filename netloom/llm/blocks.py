@@ -6,7 +6,8 @@ bucketed by block id; each block sends its distinct keys, sorted and delta-coded
 answers each block with the sums in the order asked; the answers are joined to the blocks by bucket, without moving the blocks.
 
 A key appears once per block however often documents repeat it, so a key that a third of all rows hold costs one entry per block. The
-groups of a key range and the blocks are of a size set here, whatever the corpus: the number of ranges follows the bytes of the corpus.
+groups of a key range and the blocks are of a size set here, whatever the corpus: the number of ranges follows the bytes of the corpus. A
+block sends a row for each range that it has keys of, and the rows of a few keys are coded together, so that rows and time follow the number of keys.
 """
 
 from __future__ import annotations
@@ -29,23 +30,85 @@ BLOCK_BYTES, RANGE_BYTES = 4 << 20, 8 << 20
 ROWS = 1 << 20
 
 
+#: Parts of so many integers are compressed one by one; shorter ones are written all at once, so that the time follows the integers and not the parts.
+ONE_BY_ONE = 128
+
+
 def pack(a: np.ndarray) -> bytes:
     """Integers, byte by byte of equal weight together, compressed."""
-    a = np.ascontiguousarray(a)
-    planes = a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes()
-    return pa.compress(planes, codec="zstd", asbytes=True) if planes else b""
+    return pa.compress(np.ascontiguousarray(a, np.uint64).view(np.uint8).reshape(len(a), 8).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpack(raw: bytes, n: int) -> np.ndarray:
+    planes = pa.decompress(raw, n * 8, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, n).T).view(np.uint64).reshape(n)
+
+
+def parts_of(values: np.ndarray, edges: np.ndarray) -> pa.LargeBinaryArray:
+    """Unsigned integers as one binary for each part edges[i]:edges[i + 1]. Short parts hold the number of bytes of each, then these bytes."""
+    values, size = values.astype(np.uint64), np.diff(edges)
+    long = size >= ONE_BY_ONE
+    short = np.repeat(~long, size)
+    v = values[short]
+    width = np.zeros(len(v), np.int64)
+    for k in range(8):
+        width += v >= np.uint64(1 << 8 * k)
+    part = np.repeat(np.arange(len(size)), size)[short]
+    packed = {int(i): pack(values[edges[i] : edges[i + 1]]) for i in np.flatnonzero(long)}
+    body = np.bincount(part, weights=width, minlength=len(size)).astype(np.int64)
+    whole = np.where(long, 0, size + body)
+    for i, x in packed.items():
+        whole[i] = len(x)
+    offsets = np.concatenate([[0], np.cumsum(whole)])
+    out = np.zeros(int(offsets[-1]), np.uint8)
+    # places of the widths and of the bytes of short parts
+    rank = np.arange(len(v)) - (np.cumsum(np.where(long, 0, size)) - np.where(long, 0, size))[part]
+    out[offsets[part] + rank] = width
+    before = np.cumsum(width) - width
+    at = offsets[part] + size[part] + before - (np.cumsum(body) - body)[part]
+    for k in range(8):
+        own = np.flatnonzero(width > k)
+        out[at[own] + k] = (v[own] >> np.uint64(8 * k)).astype(np.uint8)
+    for i, x in packed.items():
+        out[offsets[i] : offsets[i + 1]] = np.frombuffer(x, np.uint8)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(out)])
+
+
+def values_of(parts: pa.Array, size: np.ndarray) -> np.ndarray:
+    """The integers of all parts, one after another; ``size``: how many each holds."""
+    if isinstance(parts, pa.ChunkedArray):
+        parts = parts.combine_chunks()
+    parts, size = parts.cast(pa.large_binary()), np.asarray(size, np.int64)
+    _, offsets, data = parts.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[parts.offset : parts.offset + len(parts) + 1]
+    raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    edges, long = np.concatenate([[0], np.cumsum(size)]), size >= ONE_BY_ONE
+    out = np.zeros(int(edges[-1]), np.uint64)
+    for i in np.flatnonzero(long).tolist():
+        out[edges[i] : edges[i + 1]] = unpack(raw[offsets[i] : offsets[i + 1]].tobytes(), int(size[i]))
+    few = np.flatnonzero(~long)
+    n = size[few]
+    part = np.repeat(np.arange(len(few)), n)
+    rank = np.arange(len(part)) - (np.cumsum(n) - n)[part]
+    width = raw[offsets[few][part] + rank].astype(np.int64)
+    body = np.bincount(part, weights=width, minlength=len(few)).astype(np.int64)
+    at = (offsets[few] + n)[part] + np.cumsum(width) - width - (np.cumsum(body) - body)[part]
+    v = np.zeros(len(part), np.uint64)
+    for k in range(8):
+        own = np.flatnonzero(width > k)
+        v[own] |= raw[at[own] + k].astype(np.uint64) << np.uint64(8 * k)
+    out[edges[few][part] + rank] = v
+    return out
 
 
-def unpack(raw: bytes, n: int, dtype=np.uint64) -> np.ndarray:
-    dtype = np.dtype(dtype)
-    if not n:
-        return np.zeros(0, dtype)
-    planes = pa.decompress(raw, n * dtype.itemsize, codec="zstd", asbytes=True)
-    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(dtype.itemsize, n).T).view(dtype).reshape(n)
+def signed(a: np.ndarray) -> np.ndarray:
+    """Integers of either sign as unsigned ones, small where these are near 0."""
+    a = a.astype(np.int64)
+    return ((a << 1) ^ (a >> 63)).view(np.uint64)
 
 
-def delta(a: np.ndarray) -> np.ndarray:
-    return np.diff(a, prepend=np.uint64(0))
+def unsigned(a: np.ndarray) -> np.ndarray:
+    return (a >> np.uint64(1)).view(np.int64) ^ -(a & np.uint64(1)).view(np.int64)
 
 
 def slices(batch: pa.RecordBatch, text: str, most: int) -> Iterator[pa.RecordBatch]:
@@ -60,9 +123,9 @@ def slices(batch: pa.RecordBatch, text: str, most: int) -> Iterator[pa.RecordBat
 
 
 def rows_of(batch: pa.RecordBatch) -> Iterator[dict]:
-    """A batch's rows, one after another in memory."""
+    """A batch's rows, one after another in memory; of a list its values, as they lie."""
     for i in range(len(batch)):
-        yield {c: batch.column(j)[i].as_py() for j, c in enumerate(batch.schema.names)}
+        yield {c: x.values if isinstance(x, pa.ListScalar) else x.as_py() for j, c in enumerate(batch.schema.names) for x in (batch.column(j)[i],)}
 
 
 def encode(table: pa.Table) -> bytes:
@@ -76,10 +139,9 @@ def decode(payload) -> pa.Table:
     return pa.ipc.open_stream(payload).read_all()
 
 
-def write_blocks(scratch: Scratch, docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES, convert: Callable | None = None) -> DataFrame:
+def write_blocks(scratch: Scratch, docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES, convert: Callable | None = None, deal: bool = True) -> DataFrame:
     """``docs`` (a text column and small ones) as rows block, bytes, payload; where each row stands is fixed from here on.
-    ``convert`` may turn a block's table into another with the same rows."""
-    number = int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))
+    ``convert`` may turn a block's table into another with the same rows. Without ``deal`` the blocks are written where they are made."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, held, size, rows, k = TaskContext.get().partitionId(), [], 0, 0, 0
@@ -104,7 +166,7 @@ def write_blocks(scratch: Scratch, docs: DataFrame, text: str = "text", block_by
         if held:
             yield block()
 
-    return scratch.bucketed(docs.mapInArrow(tidy(gather), "block long, bytes long, payload binary"), "blocks", "block", number)
+    return scratch.bucketed(docs.mapInArrow(tidy(gather), "block long, bytes long, payload binary"), "blocks", "block", deal)
 
 
 def ranges(blocks: DataFrame, range_bytes: int = RANGE_BYTES) -> int:
@@ -113,51 +175,77 @@ def ranges(blocks: DataFrame, range_bytes: int = RANGE_BYTES) -> int:
     return 1 << max(2, (int(total) // range_bytes).bit_length())
 
 
-def asked(keys: np.ndarray, values: list[np.ndarray], block: int, n_ranges: int) -> Iterator[tuple]:
-    """Rows (range, block, n, keys, values...) of sorted distinct keys; a key's range is its highest bits."""
-    shift = np.uint64(64 - (n_ranges.bit_length() - 1))
-    cuts = np.searchsorted(keys, np.arange(1, n_ranges, dtype=np.uint64) << shift)
-    edges = [0, *cuts.tolist(), len(keys)]
-    for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
-        if b > a:
-            yield (i, block, b - a, pack(delta(keys[a:b])), *(pack(v[a:b]) for v in values))
-
-
-def answers(scratch: Scratch, rows: DataFrame, n_ranges: int, ask: Callable, kinds: list, name: str, merge: Callable, gives: list, stay: bool = False) -> DataFrame:
-    """One round: ``ask(row)`` (a dict of a block's columns) gives sorted distinct uint64 keys and value arrays (``kinds``, their dtypes);
-    ``merge(keys, values, sizes)`` gets those of one range from all blocks, one after another, and gives arrays (``gives``) in that order.
-    Returns block, ``name``: the list of answers by range, for ``answered``; with ``stay`` bucketed as the blocks are, so that rounds to come
-    don't move them again."""
-    n, columns = len(kinds), ", ".join(f"v{i} binary" for i in range(len(kinds)))
+def asked(keys: np.ndarray, values: list[np.ndarray], block: int, n_ranges: int) -> pa.RecordBatch | None:
+    """Rows (range, block, n, keys, v0...) of sorted distinct keys; a key's range is its highest bits. A row for each range that the block has
+    keys of: no more than its keys, however many ranges there are."""
+    if not len(keys):
+        return None
+    part = range_of(keys, n_ranges)
+    begins = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1])
+    edges = np.append(begins, len(keys))
+    steps = np.diff(keys, prepend=np.uint64(0))
+    steps[begins] = keys[begins]
+    rows = {"range": pa.array(part[begins], pa.int32()), "block": pa.array(np.full(len(begins), block), pa.int64()), "n": pa.array(np.diff(edges), pa.int32()), "keys": parts_of(steps, edges)}
+    return pa.RecordBatch.from_pydict(rows | {f"v{i}": parts_of(signed(v), edges) for i, v in enumerate(values)})
+
+
+def merged(table: pa.Table, n_values: int, merge: Callable) -> pa.Table:
+    """Rows (block, range, n, r0...) of the rows that ``asked`` made for one range."""
+    size = np.asarray(table.column("n"), np.int64)
+    steps = values_of(table.column("keys"), size)
+    edges = np.concatenate([[0], np.cumsum(size)])
+    run = np.cumsum(steps, dtype=np.uint64)
+    before = np.where(edges[:-1] > 0, run[edges[:-1] - 1], np.uint64(0))
+    keys = run - np.repeat(before, size)
+    results = merge(keys, [unsigned(values_of(table.column(f"v{i}"), size)) for i in range(n_values)])
+    return pa.table({"block": table.column("block"), "range": table.column("range"), "n": table.column("n"), **{f"r{i}": parts_of(signed(r), edges) for i, r in enumerate(results)}})
+
+
+def answers(scratch: Scratch, rows: DataFrame, n_ranges: int, ask: Callable, n_values: int, name: str, merge: Callable, n_results: int) -> DataFrame:
+    """One round: ``ask(row)`` (a dict of a block's columns) gives sorted distinct uint64 keys and ``n_values`` arrays of integers;
+    ``merge(keys, values)`` gets those of one range from all blocks, one after another, and gives ``n_results`` arrays in that order.
+    Returns block, ``name``: the list of answers by range, for ``answered``; bucketed as the blocks are, so that rounds to come don't move
+    them again."""
+    values, results = "".join(f", v{i} binary" for i in range(n_values)), "".join(f", r{i} binary" for i in range(n_results))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("range", pa.int32()), ("block", pa.int64()), ("n", pa.int32()), ("keys", pa.binary()), *((f"v{i}", pa.binary()) for i in range(n))])
         for batch in batches:
             for row in rows_of(batch):
-                keys, values = ask(row)
-                if out := list(asked(keys, values, row["block"], n_ranges)):
-                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+                keys, found = ask(row)
+                if (out := asked(keys, found, row["block"], n_ranges)) is not None:
+                    yield out.cast(pa.schema([f.with_type(pa.binary()) if f.type == pa.large_binary() else f for f in out.schema]))
 
     def add(table: pa.Table) -> pa.Table:
-        d = table.to_pydict()
-        keys = np.concatenate([np.cumsum(unpack(k, m), dtype=np.uint64) for k, m in zip(d["keys"], d["n"], strict=True)])
-        values = [np.concatenate([unpack(v, m, kind) for v, m in zip(d[f"v{i}"], d["n"], strict=True)]) for i, kind in enumerate(kinds)]
-        results = merge(keys, values, d["n"])
-        edges = np.cumsum([0, *d["n"]])
-        packed = [[pack(r[a:b].astype(t)) for a, b in zip(edges, edges[1:], strict=False)] for r, t in zip(results, gives, strict=True)]
-        return pa.table({"block": pa.array(d["block"], pa.int64()), "range": pa.array(d["range"], pa.int32()), "n": pa.array(d["n"], pa.int32()), **{f"r{i}": pa.array(p, pa.binary()) for i, p in enumerate(packed)}})
-
-    back = ", ".join(f"r{i} binary" for i in range(len(gives)))
-    sent = rows.mapInArrow(tidy(send), "range int, block long, n int, keys binary" + (f", {columns}" if n else ""))
-    summed = sent.groupBy("range").applyInArrow(tidy_group(add), f"block long, range int, n int, {back}")
-    each = summed.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("range", "n", *(f"r{i}" for i in range(len(gives)))))).alias(name))
-    return scratch.bucketed(each, name, "block", int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))) if stay else scratch.keep(each, name)
-
-
-def answered(found: list | None, gives: list) -> list[np.ndarray]:
+        out = merged(table, n_values, merge)
+        return out.cast(pa.schema([f.with_type(pa.binary()) if f.type == pa.large_binary() else f for f in out.schema]))
+
+    sent = rows.mapInArrow(tidy(send), f"range int, block long, n int, keys binary{values}")
+    summed = sent.groupBy("range").applyInArrow(tidy_group(add), f"block long, range int, n int{results}")
+    each = summed.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("range", "n", *(f"r{i}" for i in range(n_results))))).alias(name))
+    return scratch.bucketed(each, name, "block")
+
+
+def answered(found: pa.StructArray | None, n_results: int) -> list[np.ndarray]:
     """The answers to a block's keys, in the order of its sorted keys."""
-    found = sorted(found or [], key=lambda r: r["range"])
-    return [np.concatenate([unpack(r[f"r{i}"], r["n"], t) for r in found]) if found else np.zeros(0, t) for i, t in enumerate(gives)]
+    if found is None or not len(found):
+        return [np.zeros(0, np.int64) for _ in range(n_results)]
+    size = found.field("n").to_numpy()
+    return [unsigned(values_of(found.field(f"r{i}"), size)) for i in range(n_results)]
+
+
+def range_of(keys: np.ndarray, n_ranges: int) -> np.ndarray:
+    return (keys >> np.uint64(64 - (n_ranges.bit_length() - 1))).astype(np.int64)
+
+
+def distinct(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct values, a place of each, and which of them each entry is."""
+    order = np.argsort(a)
+    s = a[order]
+    begins = np.ones(len(s), bool)
+    begins[1:] = s[1:] != s[:-1]
+    which = np.empty(len(s), np.int64)
+    which[order] = np.cumsum(begins) - 1
+    return s[begins], order[begins], which
 
 
 def summed(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:

@@ -3,7 +3,7 @@
 A text's set: the distinct ``shingle``-word shingles of its words (A-Z lower-cased); the whole sequence as one where it has fewer words;
 empty, and linked with nothing, without words or text. Two texts link when 100 * intersection >= ``percent`` * union.
 
-1. Corpus-wide document frequencies of all shingles come back to each block of documents (``blocks``). A shingle of one document alone
+1. Corpus-wide document frequencies of all shingles (by 48 bits of their hashes) come back to each block of documents (``blocks``). A shingle of one document alone
    links nothing; a document keeps its other shingles, rarest first.
 2. Each document chooses the length of its prefix: a prefix lengthened by l - 1 shingles need only be probed for partners that share l of
    them. The choice is the l of least estimated cost, postings read plus candidates to verify, from the frequencies. Of two documents
@@ -16,7 +16,7 @@ empty, and linked with nothing, without words or text. Two texts link when 100 *
    inside a component can't change it, and all others are tested.
 
 Rows come back as they went in: nulls in any column, repeated rows and repeated ids are rows of their own, a null doc_id counts as no id when
-the smallest of a component is taken, an empty table gives an empty result, other columns are ignored. Shingles are compared by 48-bit hashes.
+the smallest of a component is taken, an empty table gives an empty result, other columns are ignored. Shingles are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -38,7 +38,6 @@ from netloom.llm.words import Words, mix, windows
 MOST_MATCHES, VERIFY_COST = 8, 0.25
 #: Smaller than elsewhere: a block's sets, frequencies and prefixes are in memory together.
 BLOCK_BYTES, RANGE_BYTES = 2 << 20, 4 << 20
-GIVES = [np.uint32]
 TABLE = "rid long, doc_id long, n long, sig_a long, sig_b long, central float, matches int, indexed int, prefix array<long>, shared array<long>"
 
 
@@ -53,7 +52,6 @@ class _Sets:
         whole = np.array([_whole(h[words.first[i] : words.first[i + 1]]) for i in short], np.uint64)
         h = np.concatenate([windows(h, shingle)[long], whole]) if len(h) else np.zeros(0, np.uint64)
         doc = np.concatenate([words.doc[long], short]).astype(np.int64)
-        h = h >> np.uint64(16) << np.uint64(16)
         order = np.lexsort((doc, h))
         h, doc = h[order], doc[order]
         once = np.ones(len(h), bool)
@@ -63,9 +61,10 @@ class _Sets:
 
     def keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         begins = np.ones(len(self.h), bool)
-        begins[1:] = self.h[1:] != self.h[:-1]
+        key = self.h >> np.uint64(16) << np.uint64(16)
+        begins[1:] = key[1:] != key[:-1]
         at = np.flatnonzero(begins)
-        return self.h[at], np.diff([*at, len(self.h)]).astype(np.uint32), np.cumsum(begins) - 1
+        return key[at], np.diff([*at, len(self.h)]), np.cumsum(begins) - 1
 
 
 def _whole(h: np.ndarray) -> np.uint64:
@@ -94,10 +93,10 @@ def document_sets(scratch: Scratch, blocks: DataFrame, shingle: int, percent: in
         keys, counts, _ = _Sets(decode(row["payload"]).column("text"), shingle).keys()
         return keys, [counts]
 
-    def merge(keys: np.ndarray, values: list, _) -> list:
+    def merge(keys: np.ndarray, values: list) -> list:
         return [summed(keys, values[0])]
 
-    df = answers(scratch, blocks, ranges(blocks, RANGE_BYTES), ask, [np.uint32], "df", merge, GIVES)
+    df = answers(scratch, blocks, ranges(blocks, RANGE_BYTES), ask, 1, "df", merge, 1)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,13 +104,13 @@ def document_sets(scratch: Scratch, blocks: DataFrame, shingle: int, percent: in
                 table = decode(row["payload"])
                 sets = _Sets(table.column("text"), shingle)
                 _, _, which = sets.keys()
-                freq = answered(row["df"], GIVES)[0][which] if len(which) else np.zeros(0, np.uint32)
+                freq = answered(row["df"], 1)[0][which] if len(which) else np.zeros(0, np.int64)
                 order = np.lexsort((sets.h, freq, sets.doc))
-                h, freq = sets.h[order], freq[order].astype(np.int64)
+                h, freq = sets.h[order], freq[order]
                 first = np.concatenate([[0], np.cumsum(sets.n)])
                 a = np.concatenate([[np.uint64(0)], np.cumsum(mix(h), dtype=np.uint64)])[first]
                 b = np.concatenate([[np.uint64(0)], np.cumsum(mix(h ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64)])[first]
-                tokens = (h >> np.uint64(16)).astype(np.int64)
+                tokens = h.view(np.int64)
                 central = np.concatenate([[0.0], np.cumsum(np.log2(freq.astype(float)))])[first]
                 alone = np.concatenate([[0], np.cumsum(freq < 2)])[first]
                 matches, indexed, prefix, shared = [], [], [], []

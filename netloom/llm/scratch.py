@@ -32,6 +32,7 @@ class Scratch:
         self.id = f"{name}_{uuid.uuid4().hex}"
         self.root = f"{shared_dir(spark).rstrip('/')}/{self.id}"
         self.tables: list[str] = []
+        self.buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 100_000)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -39,10 +40,11 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(schema).parquet(path)
 
-    def bucketed(self, df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
-        """A warehouse table bucketed by ``key``: later joins on the key don't move its rows."""
-        table = f"netloom_{self.id}_{name}"
-        df.write.format("parquet").bucketBy(buckets, key).saveAsTable(table)
+    def bucketed(self, df: DataFrame, name: str, key: str, deal: bool = True) -> DataFrame:
+        """A warehouse table bucketed by ``key``: later joins on the key don't move its rows. Rows are dealt by the key first (``deal``), so that
+        each bucket is one file."""
+        table, buckets = f"netloom_{self.id}_{name}", self.buckets
+        (df.repartition(buckets, key) if deal else df).write.format("parquet").bucketBy(buckets, key).saveAsTable(table)
         self.tables.append(table)
         return self.spark.table(table)
 

@@ -27,7 +27,6 @@ from netloom.llm.words import Words, extended, windows
 
 #: No level is shorter than this: windows of fewer words repeat by chance.
 SHORTEST = 8
-GIVES = [np.uint8]
 
 
 def ladder(window: int) -> list[int]:
@@ -53,7 +52,7 @@ class _Levels:
         if self.level < len(self.lengths) - 1:
             h = h & ~np.uint64(0xFFFF)
         keys, which, counts = np.unique(h, return_inverse=True, return_counts=True)
-        return keys, counts.astype(np.uint32), which
+        return keys, counts, which
 
     def repeat(self, flags: np.ndarray, which: np.ndarray) -> np.ndarray:
         """True at the starts of windows of this level that repeat."""
@@ -75,7 +74,7 @@ def _climbed(row: dict, lengths: list[int], upto: int) -> _Levels:
     levels = _Levels(decode(row["payload"]).column("text"), lengths)
     for k in range(upto):
         _, _, which = levels.keys()
-        levels.climb(levels.repeat(answered(row[f"level{k}"], GIVES)[0], which))
+        levels.climb(levels.repeat(answered(row[f"level{k}"], 1)[0], which))
     return levels
 
 
@@ -94,7 +93,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = 35, with_
     blocks = write_blocks(scratch, docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     n_ranges, rows = ranges(blocks), blocks
 
-    def merge(keys: np.ndarray, values: list, _) -> list:
+    def merge(keys: np.ndarray, values: list) -> list:
         return [summed(keys, values[0]) > 1]
 
     for k in range(len(lengths)):
@@ -103,7 +102,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = 35, with_
             keys, counts, _ = _climbed(row, lengths, k).keys()
             return keys, [counts]
 
-        found = answers(scratch, rows, n_ranges, ask, [np.uint32], f"level{k}", merge, GIVES)
+        found = answers(scratch, rows, n_ranges, ask, 1, f"level{k}", merge, 1)
         rows = rows.join(found, "block", "left")
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,7 +111,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = 35, with_
                 table = decode(row["payload"])
                 levels = _climbed(row, lengths, len(lengths) - 1)
                 _, _, which = levels.keys()
-                starts = levels.repeat(answered(row[f"level{len(lengths) - 1}"], GIVES)[0], which)
+                starts = levels.repeat(answered(row[f"level{len(lengths) - 1}"], 1)[0], which)
                 gone, first = _covered(starts, window), levels.words.first
                 removed = np.diff(np.concatenate([[0], np.cumsum(gone)])[first])
                 body, a, b = levels.words.body.tobytes(), levels.words.start, levels.words.end

@@ -11,7 +11,9 @@ Distributions are smoothed downwards, P(w | s) = (c(s w) + k P(w | suffix)) / (c
 symbol is scored in the longest retained suffix of what precedes it.
 
 The model lies in the shuffled sums of ``blocks``: each block of documents asks for the counts of its n-grams and for the gains of its
-contexts, and scores itself with the answers. No table of words or contexts reaches the driver or is broadcast; a hot context costs one entry
+contexts, and scores itself with the answers. With the counts of words come numbers for them, without large gaps, and with the counts of
+n-grams numbers for those that occur ``min_count`` times. A longer n-gram is asked for by the numbers of its context and its last word: few
+bytes and no collisions (where the two need more than 64 bits, by a hash of them; words themselves are told apart by 64-bit hashes). No table of words or contexts reaches the driver or is broadcast; a hot context costs one entry
 per next symbol and block.
 
 Null texts count as empty: they hold the end alone. A null doc_id counts as text "". Repeated rows and ids are rows of their own, an empty
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm.blocks import answered, answers, decode, ranges, rows_of, summed, write_blocks
+from netloom.llm.blocks import answered, answers, decode, distinct, range_of, ranges, rows_of, summed, write_blocks
 from netloom.llm.memory import tidy
 from netloom.llm.scratch import Scratch
 from netloom.llm.words import Words, mix
@@ -41,7 +43,6 @@ _K = np.uint64(0xD6E8FEB86659FD93)
 BLOCK_BYTES, RANGE_BYTES = 2 << 20, 4 << 20
 #: Gains are summed as integers of this unit, so that the order of adding doesn't matter.
 UNIT = 1 << 16
-COUNTS, KEPT = [np.uint32, np.uint8], [np.uint8]
 
 
 def held_out(ids: list) -> np.ndarray:
@@ -55,7 +56,7 @@ def numbered(table: pa.Table) -> pa.Table:
     first = words.first + np.arange(n + 1)
     h = np.full(len(words) + n, _END, np.uint64)
     h[np.arange(len(words)) + words.doc] = words.hashes()
-    vocabulary, number = np.unique(h, return_inverse=True)
+    vocabulary, _, number = distinct(h)
     # one list column for the vocabulary: held by the block's first row
     lists = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.full(n, len(vocabulary))])), pa.array(vocabulary))
     symbols = pa.LargeListArray.from_arrays(pa.array(first), pa.array(number.astype(np.uint32)))
@@ -75,25 +76,28 @@ class _Tree:
         self.place = np.arange(len(self.number)) - self.first[self.doc]
         self.train = ~held_out(self.ids)[self.doc] if len(self.ids) else np.zeros(0, bool)
         self.vocabulary = table.column("vocabulary").combine_chunks().values.to_numpy()
-        self.hash = self.vocabulary
+        self.key = self.vocabulary
         self.gram = self.number  # of each position: the number of the n-gram that ends there, or -1
         self.at = np.arange(len(self.number))
         self.kept = np.ones(len(self.number), bool)  # of each position: its context of this level is retained
         self.depth = 0
 
     def keys(self) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted hashes of the level's n-grams, and their order."""
-        self.order = np.argsort(self.hash, kind="stable")
-        local = np.bincount(self.gram[self.at], weights=self.train[self.at], minlength=len(self.hash))
-        return self.hash[self.order], local[self.order].astype(np.uint32)
-
-    def counted(self, found: list) -> None:
-        count, credit = answered(found, COUNTS)
-        self.count, self.credit = np.empty(len(self.hash), np.int64), np.empty(len(self.hash), bool)
-        self.count[self.order], self.credit[self.order] = count, credit
-
-    def climb(self, total: int, min_count: int) -> None:
-        """To the n-grams one longer, at positions whose context may be retained."""
+        """Sorted keys of the level's n-grams, and how often each occurs here in training."""
+        self.order = np.argsort(self.key)
+        local = np.bincount(self.gram[self.at], weights=self.train[self.at], minlength=len(self.key))
+        return self.key[self.order], local[self.order].astype(np.int64)
+
+    def counted(self, found: pa.StructArray | None, n_ranges: int) -> None:
+        count, credit, number = _told(found)
+        self.count, self.credit, self.id = np.empty(len(self.key), np.int64), np.empty(len(self.key), bool), np.empty(len(self.key), np.int64)
+        self.count[self.order], self.credit[self.order], self.id[self.order] = count, credit, number * n_ranges
+        self.id += range_of(self.key, n_ranges)
+        if not self.depth:
+            self.word = self.id
+
+    def climb(self, total: int, min_count: int, bits: tuple[int, int]) -> None:
+        """To the n-grams one longer, at positions whose context may be retained. ``bits``: of the numbers of contexts and of words."""
         below = self.gram
         before = np.full(len(below), -1)
         before[1:] = below[:-1]
@@ -101,9 +105,9 @@ class _Tree:
         ok = self.kept & (before >= 0)
         ok[ok] = self.count[before[ok]] >= min_count
         at = np.flatnonzero(ok)
-        pairs, index, number = np.unique((before[at] << 32) | self.number[at], return_index=True, return_inverse=True)
+        _, index, number = distinct((before[at] << 32) | self.number[at])
         context = before[at][index]
-        self.lower_hash = self.hash
+        self.lower_key = _aligned(self.id, bits[0])
         self.context_of, self.context_count = context, self.count[context]
         w_below = below[at][index]  # the n-gram of the suffix and the symbol
         suffix_count = self.suffix_counts[at][index] if self.depth else total
@@ -111,7 +115,7 @@ class _Tree:
         suffix_counts = np.zeros(len(below), np.int64)
         suffix_counts[at] = self.count[before[at]]
         self.suffix_counts = suffix_counts  # of each position: how often its context of the new level occurs
-        self.hash = mix(self.hash[context] * _K + self.vocabulary[self.number[at][index]])
+        self.key = _joined(self.id[context], self.word[self.number[at][index]], *bits)
         gram = np.full(len(below), -1)
         gram[at] = number
         self.gram, self.at = gram, at
@@ -119,47 +123,61 @@ class _Tree:
 
     def gains(self, smooth: float) -> tuple[np.ndarray, np.ndarray]:
         """Sorted distinct hashes of the contexts, and the gain of what this block has to tell of each."""
-        contexts, which = np.unique(self.context_of, return_inverse=True)
+        contexts, _, which = distinct(self.context_of)
         tell = np.flatnonzero(self.credit & (self.count > 0))
         c, q, s = self.count[tell], self.q[tell], self.context_count[tell]
         gain = c * (np.log((c - 1 + smooth * q) / (s - 1 + smooth)) - np.log(q))
         whole = np.bincount(which[tell], weights=np.round(gain * UNIT), minlength=len(contexts)).astype(np.int64)
-        h = self.lower_hash[contexts]
-        order = np.argsort(h, kind="stable")
+        h = self.lower_key[contexts]
+        order = np.argsort(h)
         self.contexts, self.context_order, self.which = contexts, order, which
         return h[order], whole[order]
 
     def retain(self, found: list) -> None:
         retained = np.empty(len(self.contexts), bool)
-        retained[self.context_order] = answered(found, KEPT)[0]
+        retained[self.context_order] = answered(found, 1)[0]
         kept = np.zeros(len(self.number), bool)
         kept[self.at] = retained[self.which][self.gram[self.at]]
         self.kept = kept
 
 
+def _aligned(number: np.ndarray, bits: int) -> np.ndarray:
+    return number.astype(np.uint64) << np.uint64(64 - bits)
+
+
+def _joined(context: np.ndarray, word: np.ndarray, context_bits: int, word_bits: int) -> np.ndarray:
+    """A key of both numbers. A frequent context's n-grams are spread over the ranges of keys by their words."""
+    c, w = context.astype(np.uint64), word.astype(np.uint64)
+    if context_bits + word_bits > 64:
+        return mix(mix(c) * _K + w)
+    c = (c + mix(w)) & np.uint64((1 << context_bits) - 1)
+    return ((c << np.uint64(word_bits)) | w) << np.uint64(64 - context_bits - word_bits)
+
+
 class Model:
     """The rounds: 0 counts the symbols; for each level d, round 2 d - 1 counts its n-grams and round 2 d adds up its contexts' gains."""
 
-    def __init__(self, depth: int, min_count: int, smooth: float):
-        self.depth, self.min_count, self.smooth = depth, min_count, smooth
+    def __init__(self, depth: int, min_count: int, smooth: float, n_ranges: int):
+        self.depth, self.min_count, self.smooth, self.n_ranges = depth, min_count, smooth, n_ranges
         self.total = self.distinct = 0
+        self.bits: list[int] = []  # of the numbers of words, and of contexts of each length from 2 on
 
     def grown(self, row: dict, answered_rounds: int) -> _Tree:
         tree = _Tree(row["payload"])
         if not answered_rounds:
             return tree
         tree.keys()
-        tree.counted(row["round0"])
+        tree.counted(row["round0"], self.n_ranges)
         tree.known = tree.count[tree.gram] > 0
         tree.base = (tree.count[tree.gram] + 1.0) / (self.total + self.distinct + 1)
         tree.p = tree.base.copy()
         tree.in_context = np.zeros(len(tree.p), bool)
         for d in range(1, self.depth + 1):
-            tree.climb(self.total, self.min_count)
+            tree.climb(self.total, self.min_count, (self.bits[d - 1], self.bits[0]))
             if answered_rounds < 2 * d:
                 break
             tree.keys()
-            tree.counted(row[f"round{2 * d - 1}"])
+            tree.counted(row[f"round{2 * d - 1}"], self.n_ranges)
             tree.gains(self.smooth)
             if answered_rounds < 2 * d + 1:
                 break
@@ -178,18 +196,29 @@ class Model:
         return asked
 
 
-def _count(keys: np.ndarray, values: list, _) -> list:
-    """Sums, and for each key one entry that may speak for it."""
-    whole = summed(keys, values[0])
-    credit = np.zeros(len(keys), np.uint8)
-    credit[np.unique(keys, return_index=True)[1]] = 1
-    return [whole, credit]
+def _count(least: int):
+    """Of each entry the sum of its key, doubled, and one more for the one entry of a key that may speak for it; and the number of the key among
+    those of the range that sum up to ``least``, from 1 on."""
+
+    def add(keys: np.ndarray, values: list) -> list:
+        each, first, which = distinct(keys)
+        totals = np.bincount(which, weights=values[0], minlength=len(each)).astype(np.int64) if values[0].sum() < 1 << 53 else summed(keys, values[0])[first]
+        whole, often = totals[which] * 2, totals >= least
+        whole[first] += 1
+        return [whole, np.where(often, np.cumsum(often), 0)[which]]
+
+    return add
+
+
+def _told(found: pa.StructArray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    both, number = answered(found, 2)
+    return both >> 1, both & 1 > 0, number
 
 
 def _tells(min_gain: float):
     """Whether the sum of a context's gains exceeds ``min_gain``: all that a block needs to know of it."""
 
-    def add(keys: np.ndarray, values: list, _) -> list:
+    def add(keys: np.ndarray, values: list) -> list:
         return [summed(keys, values[0]) > min_gain * UNIT]
 
     return add
@@ -197,23 +226,26 @@ def _tells(min_gain: float):
 
 def suffix_tree_scores(spark: SparkSession, docs: DataFrame, depth: int = DEPTH, min_count: int = MIN_COUNT, smooth: float = SMOOTH, min_gain: float = MIN_GAIN) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_in_context (symbols scored in a retained context)."""
-    scratch, model = Scratch(spark, "suffix_tree"), Model(depth, min_count, smooth)
-    blocks = write_blocks(scratch, docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), block_bytes=BLOCK_BYTES, convert=numbered)
+    scratch = Scratch(spark, "suffix_tree")
+    blocks = write_blocks(scratch, docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), block_bytes=BLOCK_BYTES, convert=numbered, deal=False)
     n_ranges, rows = ranges(blocks, RANGE_BYTES), blocks
+    model = Model(depth, min_count, smooth, n_ranges)
 
     def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for found in batch.column("round0"):
-                count, credit = answered(found.as_py(), COUNTS)
-                told = count[(credit > 0) & (count > 0)].astype(np.int64)
-                yield pa.RecordBatch.from_pydict({"n": pa.array([int(told.sum())], pa.int64()), "v": pa.array([len(told)], pa.int64())})
+            for found in batch.column(1):
+                count, credit, number = _told(found.values)
+                told = count[credit & (count > 0)]
+                yield pa.RecordBatch.from_pydict({"n": pa.array([int(told.sum())], pa.int64()), "v": pa.array([len(told)], pa.int64()), "most": pa.array([int(number.max(initial=0))], pa.int64())})
 
     for k in range(2 * depth + 1):
         counts = k == 0 or k % 2 == 1
-        found = answers(scratch, rows, n_ranges, model.ask(k), [np.uint32] if counts else [np.int64], f"round{k}", _count if counts else _tells(min_gain), COUNTS if counts else KEPT, stay=True)
-        if k == 0:
-            n, v = found.mapInArrow(tidy(totals), "n long, v long").agg(F.sum("n"), F.sum("v")).first()
-            model.total, model.distinct = int(n or 0), int(v or 0)
+        found = answers(scratch, rows, n_ranges, model.ask(k), 1, f"round{k}", _count(min_count if k else 0) if counts else _tells(min_gain), 2 if counts else 1)
+        if counts:
+            n, v, most = found.mapInArrow(tidy(totals), "n long, v long, most long").agg(F.sum("n"), F.sum("v"), F.max("most")).first()
+            model.bits.append(((int(most or 0) + 1) * n_ranges).bit_length())
+            if k == 0:
+                model.total, model.distinct = int(n or 0), int(v or 0)
         rows = rows.join(found, "block", "left")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
