@@ -167,6 +167,7 @@ def grouped(scratch: Scratch, blocks: DataFrame, shingle: int, percent: int) ->
     # sizes n of which ``most`` at most are common can link
     near = lambda n_a, n_b, most: (F.lit(100 + percent) * most >= F.lit(percent) * (n_a + n_b))
     hubs = postings.groupBy("token").agg(F.max(F.struct("central", "rid", F.col("n").alias("hub_n"), F.col("held").alias("hub_held"))).alias("h"), F.count(F.lit(1)).alias("size")).where("size > 1").select("token", F.col("h.rid").alias("hub"), "h.hub_n", "h.hub_held")
+    hubs = scratch.keep(hubs, "hubs")  # here and below: a join of two written tables, in which Spark can split a key that many rows share
     stars = (
         postings.join(hubs, "token")
         .where((F.col("hub") != F.col("rid")) & near(F.col("n"), F.col("hub_n"), F.least("held", "hub_held")))
@@ -205,6 +206,7 @@ def grouped(scratch: Scratch, blocks: DataFrame, shingle: int, percent: int) ->
 
     # back to all documents
     named = classes.join(last.withColumnRenamed("node", "rep"), "rep", "left").select(*key, F.coalesce("comp", "rep").alias("comp"))
+    named = scratch.keep(named, "class_names")
     return scratch.keep(sets.select("rid", "doc_id", *key).join(named, key, "left").select("rid", "doc_id", "n", "comp"), "named")
 
 
@@ -214,6 +216,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 5, perc
     blocks = write_blocks(scratch, docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), block_bytes=BLOCK_BYTES)
     rows = grouped(scratch, blocks, shingle, percent)
     lowest = rows.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("lowest"))
+    lowest = scratch.keep(lowest, "lowest")
     result = rows.join(lowest, "comp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("lowest")).alias("component_id"))
     return scratch.close(result)
 

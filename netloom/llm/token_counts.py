@@ -25,6 +25,8 @@ from netloom.llm.memory import tidy
 from netloom.llm.scratch import Scratch
 
 LIMIT = 4096
+#: The session's setting that names the cache of the registered query; unset, a run starts with an empty one.
+CACHE_SETTING = "spark.netloom.tokenCache"
 _LOADED: dict[str, Callable] = {}
 
 
@@ -72,7 +74,8 @@ def encoded(texts: DataFrame, path: str) -> DataFrame:
 
 
 def token_counts(spark: SparkSession, docs: DataFrame, path: str, cache: str | None = None, limit: int = LIMIT) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit. ``cache``: the folder of the cache in a store all executors share; by default one of this run."""
+    """doc_id, n_bytes, n_tokens, over_limit. ``cache``: the folder of the cache in a store all executors share; by default one of this run.
+    A folder without a table yet, or with one of other tokenizers alone, is a cache without hits."""
     scratch = Scratch(spark, "tokens")
     cache = cache or f"{scratch.root}/cache"
     version = hashlib.sha256(Path(path).read_bytes()).hexdigest()
@@ -88,9 +91,10 @@ def token_counts(spark: SparkSession, docs: DataFrame, path: str, cache: str | N
     found = encoded(missing.dropDuplicates(["digest"]), path).select(F.lit(version).alias("tokenizer"), "digest", "n_tokens")
     found.write.mode("append").parquet(cache)
     counts = spark.read.schema(schema).parquet(cache).where(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    counts = scratch.keep(counts, "counts")  # a join of two tables is left, in which Spark can split a digest that many rows share
     rows = base.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes"))
     return rows.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_path("piece_bpe_32k.model"), limit=4096)
+    return token_counts(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_path("piece_bpe_32k.model"), spark.conf.get(CACHE_SETTING, None), limit=4096)

@@ -201,10 +201,27 @@ def test_token_counts(spark, docs, nothing):
     token_counts(spark, docs, path, cache, 100)
     assert spark.read.parquet(cache).count() == after.count()
     assert token_counts(spark, nothing, path).count() == 0
+    assert token_counts(spark, nothing, path, cache).count() == 0 and spark.read.parquet(cache).count() == after.count()
     other = tokenizer_path("word_bpe_49k.json")
     assert token_counts(spark, docs, other, cache).count() == len(expected) and spark.read.parquet(cache).count() > after.count()
 
 
+def test_registered_token_counts_use_the_named_cache(spark, sf):
+    from netloom.llm import token_counts
+    from netloom.llm.scratch import Scratch
+
+    cache = f"{Scratch(spark, 't').root}/cache"
+    plain = Counter(map(tuple, token_counts.op4_token_counts(spark, sf).collect()))
+    spark.conf.set(token_counts.CACHE_SETTING, cache)
+    try:
+        for _ in range(2):
+            assert Counter(map(tuple, token_counts.op4_token_counts(spark, sf).collect())) == plain
+            held = spark.read.parquet(cache)
+            assert held.count() == held.select("digest").distinct().count()  # the second run has encoded nothing
+    finally:
+        spark.conf.unset(token_counts.CACHE_SETTING)
+
+
 def test_packing(spark, docs, nothing):
     import numpy as np
     from tokenizers import Tokenizer
@@ -268,6 +285,11 @@ def test_secret_scan(spark, docs, nothing):
     clean = {r["doc_id"]: r["text"] for r in redacted(spark, table).collect() if r["doc_id"] != 7}
     assert key not in clean[1] and clean[2] == texts[1][1] and opaque not in clean[5] and clean[6] is None
     assert all(len(clean[t[0]] or "") == len(t[1] or "") for t in texts if t[0] != 7)
+    one_owner = spark.createDataFrame([(i, f"x {opaque} y", "a") for i in range(70)], "doc_id long, text string, source string")
+    assert {r["n_live"] for r in scan_secrets(spark, one_owner).collect()} == {0}
+    assert {r["n_live"] for r in scan_secrets(spark, one_owner.limit(60)).collect()} == {1}
+    many = spark.createDataFrame([(1, "token=abcdefgh0 " * 40_000, "a")], "doc_id long, text string, source string")
+    assert scan_secrets(spark, many).first()["n_assign"] == 40_000
     assert scan_secrets(spark, nothing).count() == redacted(spark, nothing).count() == 0
     assert scan_secrets(spark, docs).count() == len(corpus())
 
