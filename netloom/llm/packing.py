@@ -1,11 +1,13 @@
 """Packing of tokenised documents into fixed windows by the sum-of-squares rule.
 
-Documents are dealt by a hash to shards of about ``SHARD_BYTES`` of text, whose number follows the corpus. In a shard a document longer than a
+Documents are dealt by a hash to shards of about ``SHARD_BYTES`` of text, whose number follows the corpus and its rows; a group of equal rows is
+spread over shards by the partitions it is read from. In a shard a document longer than a
 window fills whole windows first; what remains of it is placed online: into the fill level that leaves the least sum of squares of the numbers
 of partially filled windows by level, which are kept in an array of levels. At the end of a shard its partial windows are closed by cutting the
 pieces of the emptiest into the gaps of the fullest, so that one partial window per shard is padded at most.
 
-Tokens are encoded where the text is read, each distinct word of a worker once: the tokenizer splits at white space, so a text's ids are its words'.
+Tokens are encoded where the text is read, each distinct word of a worker once: the tokenizer splits at white space, so a text's ids are its words'
+(``WordIds`` raises for a tokenizer that doesn't).
 Null and empty texts have the end id alone. Repeated rows and ids are documents of their own, an empty table gives an empty result, other
 columns are ignored; equal documents are placed in the order of their ids.
 """
@@ -26,8 +28,10 @@ from netloom.llm.token_counts import load_tokenizer, tokenizer_path
 from netloom.llm.words import Words
 
 WINDOW, END, SHARD_BYTES = 2048, 1, 16 << 20
+#: What a row counts besides its text when shards are sized: a table of empty texts has shards as well.
+ROW_BYTES = 64
 #: Words a worker remembers the ids of; beyond that it forgets all and begins anew.
-REMEMBERED = 1_500_000
+REMEMBERED = 500_000
 #: Words handed to the tokenizer at once.
 AT_ONCE = 4000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -40,6 +44,9 @@ class WordIds:
 
     def __init__(self, path: str):
         self.model = load_tokenizer(path)
+        encode = lambda text: self.model.encode(text, add_special_tokens=False).ids
+        if encode("one  two\n\tthree four ") != [i for word in ("one", "two", "three", "four") for i in encode(word)]:
+            raise ValueError(f"{path}: ids of a text are not those of its words, so they can't be packed word by word")
         self.forget()
 
     @classmethod
@@ -97,7 +104,8 @@ def tokenised(docs: DataFrame, path: str, shards: int) -> DataFrame:
                 rows = [ids[a:b].tobytes() for a, b in zip(first, first[1:], strict=False)]
                 yield pa.RecordBatch.from_pydict({"shard": piece.column("shard"), "doc_id": piece.column("doc_id"), "width": pa.array(np.full(len(rows), ids.itemsize), pa.int32()), "ids": pa.array(rows, pa.binary())})
 
-    shard = F.pmod(F.xxhash64(F.col("doc_id"), F.xxhash64("text")), F.lit(shards)).cast("int")
+    # rows that are equal in all are told apart by where they are read
+    shard = F.pmod(F.xxhash64(F.col("doc_id"), F.xxhash64("text"), F.spark_partition_id()), F.lit(shards)).cast("int")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("shard", shard)
     return rows.mapInArrow(tidy(encode), "shard int, doc_id long, width int, ids binary")
 
@@ -160,7 +168,7 @@ class Windows:
 
 def pack_documents(spark: SparkSession, docs: DataFrame, path: str, window: int = WINDOW, end: int = END) -> DataFrame:
     """A row per piece (PIECES). Sequences are numbered by shard and, without gaps, in the shard."""
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    total = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_BYTES)).first()[0] or 0
     shards = max(1, int(total) // SHARD_BYTES)
 
     def pack(table: pa.Table) -> pa.Table:

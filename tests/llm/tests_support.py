@@ -42,3 +42,28 @@ def leaks_of(rows: list[tuple], items: list[str]) -> set:
     """Documents that hold a whole item; the given tables have no others."""
     items = [_norm(x) for x in items]
     return {doc for doc, text in rows if any(x in _norm(text or "") for x in items)}
+
+
+def packed_ids(rows: list[tuple], pieces: list, path: str) -> list[tuple]:
+    """What each piece must hold, given where it begins and how long it is; and that each id of each document lies in one piece."""
+    import zlib
+    from collections import Counter, defaultdict
+
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(path)
+    model.no_padding()
+    model.no_truncation()
+    texts = defaultdict(list)
+    for doc, text in rows:
+        texts[doc].append(np.array([*model.encode(text or "", add_special_tokens=False).ids, 1], "<u4"))
+    held: Counter = Counter()
+    out = []
+    for p in pieces:
+        held[p["doc_id"]] += p["length"]
+        crcs = {zlib.crc32(ids[p["start"] : p["start"] + p["length"]].tobytes()) for ids in texts[p["doc_id"]] if len(ids) == p["doc_tokens"]}
+        assert p["ids_crc32"] in crcs
+        out.append((p["doc_id"] is None, p["doc_id"] or 0, p["start"], p["length"], p["ids_crc32"]))
+    assert held == {doc: sum(map(len, all_ids)) for doc, all_ids in texts.items()}
+    return sorted(out)
