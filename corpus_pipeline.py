@@ -18,28 +18,35 @@ from netloom.llm.token_counts import tokenizer_path
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; null texts and those without a letter go, and those that the model rejects."""
+    """Documents whose language is recognised; null and empty texts and those without a letter go, and those that the model rejects. Where no row
+    is labelled nothing can be learned and nothing else goes. Nulls in other columns, repeated rows and further columns stay as they are, an
+    empty table gives an empty one; texts are read whole."""
     return recognised(docs, fit(docs))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that of the smallest doc_id. Documents without words have no copies and stay."""
+    """One document of each group of near copies: that of the smallest doc_id. Documents without words (null, empty) have no copies and
+    stay; a null id comes last, and of equal ids the row that was written first is kept. Repeated rows are copies of each other. Further columns
+    stay as they are, an empty table gives an empty one."""
     return keep_one(spark, docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that leak no benchmark item."""
+    """Documents that leak no benchmark item. Null and empty texts leak nothing and stay, repeated rows are judged alike, further columns stay as
+    they are; an empty table or an empty benchmark changes nothing."""
     return without_leaks(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents; what looks like a live secret is overwritten in their texts, character by character, with ``*``. Widely copied
-    examples stay."""
+    examples stay. Null texts stay null, repeated rows are rows of their own (and count as repositories of their value only once for each id),
+    further columns stay as they are, an empty table gives an empty one."""
     return redacted(spark, docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents' tokens in sequences of 2048."""
+    """Pieces of the documents' tokens in sequences of 2048. Null and empty texts are the end id alone, a null id is a document, repeated rows are
+    documents of their own, further columns go, an empty table gives an empty one; a text longer than a sequence fills whole ones first."""
     return pack_documents(spark, docs, tokenizer_path("word_bpe_49k.json"))
 
 
