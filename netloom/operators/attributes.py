@@ -6,7 +6,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 from math import isfinite
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,6 +16,17 @@ BINS, TOP, CATEGORIES = 24, 12, 3
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
 
+def read_attributes(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV file or folder with a header as a table for ``attach``; types are inferred from all rows. A field in quotes may hold doubled quotes."""
+    return spark.read.csv(path, header=True, inferSchema=True, quote='"', escape='"')
+
+
+def visible_edges(edges: DataFrame, styled: DataFrame) -> DataFrame:
+    """``edges`` (src, dst, ...) that a style (idx, visible) shows: those both of whose ends are visible."""
+    shown = styled.where("visible").select("idx")
+    return edges.join(shown.select(F.col("idx").alias("src")), "src", "left_semi").join(shown.select(F.col("idx").alias("dst")), "dst", "left_semi")
+
+
 @dataclass(frozen=True)
 class Range:
     column: str

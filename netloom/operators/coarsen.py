@@ -67,6 +67,13 @@ def contract(sym: DataFrame, parent: DataFrame) -> DataFrame:
     return sym.join(a, "src").join(b, "dst").where("csrc <> cdst").groupBy(F.col("csrc").alias("src"), F.col("cdst").alias("dst")).agg(F.sum("weight").alias("weight"))
 
 
+def checksum(sym: DataFrame) -> DataFrame:
+    """arcs, hash of a level: equal for equal arcs, whatever the order of rows: 60 bits of each arc's digest, combined. Weights count in units of
+    2^-20."""
+    row = F.md5(F.concat_ws(",", F.col("src").cast("string"), F.col("dst").cast("string"), F.floor(F.col("weight").cast("double") * (1 << 20)).cast("string")))
+    return sym.agg(F.count(F.lit(1)).alias("arcs"), F.bit_xor(F.conv(F.substring(row, 1, 15), 16, 10).cast("long")).alias("hash"))
+
+
 def build_hierarchy(edges: DataFrame, nodes: DataFrame, target: int = TARGET_NODES, max_levels: int = MAX_LEVELS, cap: int = MAX_CLUSTER, sweeps: int = SWEEPS, weighted: bool = False) -> list[dict]:
     """Levels, the finest first: each a dict of ``nodes`` (idx), ``n``, ``sym`` and ``parent`` (node, coarse; None at the last)."""
     sym, nodes = cut(symmetrize(edges, weighted)), nodes.select("idx")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netloom.operators.index import dense_index
+from netloom.plans.joins import small
 from netloom.plans.lineage import cut
 
 #: Hops that exploration goes at most, and names listed of a neighbourhood.
@@ -30,6 +31,27 @@ def intern(records: DataFrame) -> Graph:
     return Graph(nodes, records.join(source, "source").join(target, "target").select("seq", "src", "dst", "weight"))
 
 
+def first_seen(records: DataFrame, order: list[str]) -> DataFrame:
+    """idx, id, degree of unnumbered ``records`` (source, target and the columns that order them): ids are numbered as ``intern`` numbers them, by one
+    aggregation of both ends. The records themselves are neither sorted nor numbered."""
+    end = lambda c, k: F.struct(F.col(c).alias("id"), F.struct(*order, F.lit(k).alias("_end")).alias("pos"))
+    ends = records.select(F.explode(F.array(end("source", 0), end("target", 1))).alias("e")).select("e.id", "e.pos")
+    return dense_index(ends.groupBy("id").agg(F.min("pos").alias("pos"), F.count(F.lit(1)).alias("degree")), ["pos"], "idx").select("idx", "id", "degree")
+
+
+def intern_unnumbered(records: DataFrame, order: list[str]) -> Graph:
+    """As ``intern``, for those who need no ``seq``: nodes (idx, id, degree) and edges (src, dst, weight)."""
+    nodes = cut(first_seen(records, order))
+    ids = small(nodes.select("idx", "id"))
+    source, target = (ids.select(F.col("idx").alias(i), F.col("id").alias(c)) for i, c in (("src", "source"), ("dst", "target")))
+    return Graph(nodes, records.join(source, "source").join(target, "target").select("src", "dst", "weight"))
+
+
+def degrees_by_id(records: DataFrame) -> DataFrame:
+    """id, degree of records (source, target): ends of edges at each id, without numbers for ids."""
+    return records.select(F.explode(F.array("source", "target")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
+
+
 def lookup(graph: Graph, ids: DataFrame) -> DataFrame:
     """id, idx of given ids (a column id); idx is null where the graph has none."""
     return ids.join(graph.nodes, "id", "left").select("id", "idx")
@@ -58,6 +80,13 @@ def adjacency(graph: Graph) -> DataFrame:
     return graph.edges.groupBy("src").agg(F.array_sort(F.collect_list(F.struct("seq", "dst"))).alias("r")).select("src", F.col("r.dst").alias("neighbours"))
 
 
+def adjacency_pages(graph: Graph, size: int = 4096) -> DataFrame:
+    """src, page, neighbours in the order of input: a page holds the edges of ``size`` places of the input, so a row has that many neighbours at
+    most, whatever a node's degree."""
+    page = F.floor(F.col("seq") / size).alias("page")
+    return graph.edges.groupBy("src", page).agg(F.array_sort(F.collect_list(F.struct("seq", "dst"))).alias("r")).select("src", "page", F.col("r.dst").alias("neighbours"))
+
+
 def arcs(edges: DataFrame) -> DataFrame:
     """Each edge from both its ends: from, to, and where it is stored (row, seq)."""
     both = F.array(F.struct(F.col("src").alias("from"), F.col("dst").alias("to")), F.struct(F.col("dst").alias("from"), F.col("src").alias("to")))
@@ -70,14 +99,20 @@ def neighbours(graph: Graph, node: int) -> DataFrame:
     return ends.select(F.when(F.col("src") == node, F.col("dst")).otherwise(F.col("src")).alias("idx")).where(F.col("idx") != node).distinct()
 
 
+def neighbour_list(graph: Graph, node: int, cap: int = LISTED) -> DataFrame:
+    """The first ``cap`` of ``neighbours``, ascending; ``neighbours`` counts all."""
+    return neighbours(graph, node).orderBy("idx").limit(cap)
+
+
 def khop(graph: Graph, seed: int, hops: int) -> DataFrame:
     """node, parent, hop of all nodes within ``hops`` of the seed, level by level; the seed has hop 0 and no parent. A node's parent is the
-    frontier's end of the first edge, by stored row and place, that reaches it. An unknown seed reaches nothing."""
+    frontier's end of the first edge, by stored row and place, that reaches it. An unknown seed reaches nothing. While frontier and nodes seen
+    are small they are broadcast, and no hop shuffles the edges."""
     links = arcs(graph.edges).where(F.col("from") != F.col("to"))
     seen = cut(graph.nodes.where(F.col("idx") == seed).select(F.col("idx").alias("node"), F.lit(None).cast("long").alias("parent"), F.lit(0).alias("hop")))
     for hop in range(1, min(hops, MAX_HOPS) + 1):
-        frontier = seen.where(F.col("hop") == hop - 1).select(F.col("node").alias("from"))
-        reached = links.join(frontier, "from").join(seen.select(F.col("node").alias("to")), "to", "left_anti")
+        frontier = small(seen.where(F.col("hop") == hop - 1).select(F.col("node").alias("from")))
+        reached = links.join(frontier, "from").join(small(seen.select(F.col("node").alias("to"))), "to", "left_anti")
         fresh = cut(reached.groupBy(F.col("to").alias("node")).agg(F.min_by("from", F.struct("row", "seq")).alias("parent")).withColumn("hop", F.lit(hop)))
         if fresh.isEmpty():
             break

@@ -1,19 +1,22 @@
 """Force-directed layout as tables: seeded positions, one force step, levels from coarse to fine.
 
-Repulsion is by cells: the sums of the nodes of each cell of a fine and a coarse grid stand for them, so the forces of a step need two small
-grouped tables (at most 128 * 128 and 16 * 16 rows, broadcast) and one join of the arcs with the positions. Sums of positions are of fixed-point
-integers, so the order of adding changes nothing.
+Repulsion is by cells: the sums of the nodes of each cell of a fine grid (128 * 128 rows at most, whatever the graph) and of a coarse one stand
+for them and go to every task, so a step needs one small grouped table and one join of the arcs with the positions. Sums of positions are of
+fixed-point integers, so the order of adding changes nothing.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netloom.functions.draws import with_draw
 from netloom.operators.coarsen import build_hierarchy
+from netloom.plans.joins import SMALL_ROWS
 from netloom.plans.lineage import cut
 
 # Fixed values of the layout.
@@ -69,80 +72,107 @@ def step_size(i: int, steps: int, nodes: int, coarsest: bool) -> float:
     return last if steps <= 1 else first * (last / first) ** (i / (steps - 1))
 
 
-def cell(v: Column, cells: int) -> Column:
-    return F.least(F.greatest(F.floor(v / (WORLD / cells)), F.lit(0)), F.lit(cells - 1)).cast("int")
-
-
 def cells(positions: DataFrame, n: int) -> DataFrame:
     """cx, cy, k, sx, sy: the number of nodes and sums of their positions by cell of an n by n grid."""
-    fixed = lambda c: F.round(F.col(c).cast("double") * UNIT).cast("long")
-    return positions.groupBy(cell(F.col("x"), n).alias("cx"), cell(F.col("y"), n).alias("cy")).agg(F.count(F.lit(1)).alias("k"), (F.sum(fixed("x")) / UNIT).alias("sx"), (F.sum(fixed("y")) / UNIT).alias("sy"))
+    cell = lambda v: f"int(least(greatest(floor(double({v}) / {WORLD / n}D), 0), {n - 1})) AS c{v}"
+    placed = positions.selectExpr(cell("x"), cell("y"), f"bigint(round(double(x) * {UNIT})) AS fx", f"bigint(round(double(y) * {UNIT})) AS fy")
+    return placed.groupBy("cx", "cy").agg(F.expr("count(*) AS k"), F.expr(f"sum(fx) / double({UNIT}) AS sx"), F.expr(f"sum(fy) / double({UNIT}) AS sy"))
 
 
-def springs(sym: DataFrame, positions: DataFrame, nodes: int, forces: Forces = Forces()) -> DataFrame:
-    """idx, fx, fy: the pull of each node's neighbours, weaker where either has many."""
-    rows = sym.groupBy(F.col("src").alias("idx")).agg(F.count(F.lit(1)).alias("d"))
+def links(sym: DataFrame, nodes: int, forces: Forces = Forces()) -> DataFrame:
+    """src, dst, w: how strongly each arc pulls for a unit of distance, less where either end has many. It is the same for all steps of a level."""
+    rows = sym.groupBy("src").agg(F.count(F.lit(1)).alias("d"))
     total = rows.agg(F.sum("d")).first()[0] or 0
     scale = forces.attraction * (total / max(1, nodes)) * (WORLD / max(1, nodes) ** 0.5)
-    at = positions.join(rows, "idx", "left").select("idx", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.coalesce("d", F.lit(0)).alias("d"))
-    a, b = (at.select(F.col("idx").alias(i), *(F.col(c).alias(f"{c}_{i}") for c in ("x", "y", "d"))) for i in ("src", "dst"))
+    ends = sym.join(rows.withColumnRenamed("d", "d_src"), "src").join(rows.select(F.col("src").alias("dst"), F.col("d").alias("d_dst")), "dst")
     pull = F.lit(scale) * F.least("weight", F.lit(forces.weight_cap)) / F.sqrt((F.col("d_src") + 1) * (F.col("d_dst") + 1).cast("double"))
-    each = sym.join(a, "src").join(b, "dst").select(F.col("src").alias("idx"), ((F.col("x_dst") - F.col("x_src")) * pull).alias("fx"), ((F.col("y_dst") - F.col("y_src")) * pull).alias("fy"))
+    return ends.select("src", "dst", pull.alias("w"))
+
+
+def pulls(links: DataFrame, positions: DataFrame, near: bool) -> DataFrame:
+    """idx, fx, fy: the pull of each node's neighbours. ``near``: the positions are few enough to be broadcast."""
+    a, b = (positions.selectExpr(f"idx AS {i}", f"double(x) AS x_{i}", f"double(y) AS y_{i}") for i in ("src", "dst"))
+    if near:
+        a, b = F.broadcast(a), F.broadcast(b)
+    each = links.join(a, "src").join(b, "dst").selectExpr("src AS idx", "(x_dst - x_src) * w AS fx", "(y_dst - y_src) * w AS fy")
     return each.groupBy("idx").agg(F.sum("fx").alias("fx"), F.sum("fy").alias("fy"))
 
 
-def _push(k: Column, sx: Column, sy: Column, strength: float) -> tuple[Column, Column]:
-    """What k nodes with such sums do to one at (px, py)."""
-    dx, dy = F.col("px") - sx / k, F.col("py") - sy / k
-    by = F.lit(strength) * k / (dx * dx + dy * dy + SOFTEN)
-    return F.when(k > 0, dx * by).otherwise(0.0), F.when(k > 0, dy * by).otherwise(0.0)
+def springs(sym: DataFrame, positions: DataFrame, nodes: int, forces: Forces = Forces()) -> DataFrame:
+    return pulls(links(sym, nodes, forces), positions, nodes <= SMALL_ROWS)
 
 
-def repulsion(positions: DataFrame, nodes: int, forces: Forces = Forces()) -> DataFrame:
-    """idx, fx, fy: the near cells one by one, then the coarse cells around without those, then all the rest as one."""
-    strength = forces.repulsion * (WORLD / max(1, nodes) ** 0.5) ** 2
-    at = positions.select("idx", F.col("x").cast("double").alias("px"), F.col("y").cast("double").alias("py"), cell(F.col("x"), FINE).alias("fx0"), cell(F.col("y"), FINE).alias("fy0"))
-    around = F.explode(F.sequence(F.lit(-2), F.lit(2)))
-    fine, coarse = cells(positions, FINE), cells(positions, COARSE)
-    whole = coarse.agg(F.sum("k").alias("k"), F.sum("sx").alias("sx"), F.sum("sy").alias("sy")).first()
-
-    near = at.withColumn("ox", around).withColumn("oy", around).withColumn("cx", F.col("fx0") + F.col("ox")).withColumn("cy", F.col("fy0") + F.col("oy")).join(F.broadcast(fine), ["cx", "cy"])
-    own = (F.col("ox") == 0) & (F.col("oy") == 0)
-    near = near.withColumns({"k": F.col("k") - own.cast("long"), "sx": F.col("sx") - F.when(own, F.col("px")).otherwise(0.0), "sy": F.col("sy") - F.when(own, F.col("py")).otherwise(0.0)})
-    nx, ny = _push(F.col("k"), F.col("sx"), F.col("sy"), strength)
+def _field(positions: DataFrame, strength: float):
+    """A function of px, py: what all nodes do to one there, the near cells one by one, then the coarse cells around without those, then all the
+    rest as one. It holds the sums of the fine grid's cells alone, which are as many for any number of nodes."""
+    grid = np.zeros((3, FINE, FINE))
+    for r in cells(positions, FINE).collect():
+        grid[:, r["cy"], r["cx"]] = r["k"], r["sx"], r["sy"]
     part = FINE // COARSE
-    near = near.select("idx", "px", "py", "fx0", "fy0", F.floor(F.col("cx") / part).cast("int").alias("gx"), F.floor(F.col("cy") / part).cast("int").alias("gy"), "k", "sx", "sy", nx.alias("nx"), ny.alias("ny"))
-    near = near.groupBy("idx").agg(F.first("px").alias("px"), F.first("py").alias("py"), F.first("fx0").alias("fx0"), F.first("fy0").alias("fy0"), F.sum("nx").alias("nx"), F.sum("ny").alias("ny"), F.collect_list(F.struct("gx", "gy", "k", "sx", "sy")).alias("done"))
-
-    mid = near.withColumn("hx", F.floor(F.col("fx0") / part).cast("int")).withColumn("hy", F.floor(F.col("fy0") / part).cast("int")).withColumn("ox", around).withColumn("oy", around)
-    mid = mid.withColumn("cx", F.col("hx") + F.col("ox")).withColumn("cy", F.col("hy") + F.col("oy")).join(F.broadcast(coarse), ["cx", "cy"])
-    mine = F.filter("done", lambda d: (d["gx"] == F.col("cx")) & (d["gy"] == F.col("cy")))
-    taken = lambda c, zero: F.aggregate(mine, zero, lambda s, d: s + d[c])
-    centre = (F.col("ox") == 0) & (F.col("oy") == 0)
-    mid = mid.withColumns(
-        {
-            "k2": F.col("k") - taken("k", F.lit(0).cast("long")) - centre.cast("long"),
-            "sx2": F.col("sx") - taken("sx", F.lit(0.0)) - F.when(centre, F.col("px")).otherwise(0.0),
-            "sy2": F.col("sy") - taken("sy", F.lit(0.0)) - F.when(centre, F.col("py")).otherwise(0.0),
-        }
-    )
-    mx, my = _push(F.col("k2"), F.col("sx2"), F.col("sy2"), strength)
-    mid = mid.withColumn("mx", mx).withColumn("my", my).groupBy("idx").agg(*(F.first(c).alias(c) for c in ("px", "py", "nx", "ny")), F.sum("mx").alias("mx"), F.sum("my").alias("my"), F.sum("k").alias("bk"), F.sum("sx").alias("bx"), F.sum("sy").alias("by"))
-    fx, fy = _push(F.lit(whole["k"] or 0) - F.col("bk"), F.lit(whole["sx"] or 0.0) - F.col("bx"), F.lit(whole["sy"] or 0.0) - F.col("by"), strength)
-    return mid.select("idx", (F.col("nx") + F.col("mx") + fx).alias("fx"), (F.col("ny") + F.col("my") + fy).alias("fy"))
+    coarse = grid.reshape(3, COARSE, part, COARSE, part).sum(axis=(2, 4))
+    whole = coarse.sum(axis=(1, 2))
+    # sums of all cells before a row and column, from which those of any rectangle follow
+    before, blocks = (np.pad(g, ((0, 0), (1, 0), (1, 0))).cumsum(axis=1).cumsum(axis=2) for g in (grid, coarse))
+
+    def inside(sums, x0, x1, y0, y1):
+        n = sums.shape[1] - 1
+        x0, x1, y0, y1 = (np.clip(v, 0, n) for v in (x0, x1, y0, y1))
+        x1, y1 = np.maximum(x0, x1), np.maximum(y0, y1)
+        return sums[:, y1, x1] - sums[:, y0, x1] - sums[:, y1, x0] + sums[:, y0, x0]
+
+    def field(px: np.ndarray, py: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        cx, cy = (np.clip(np.floor(v / (WORLD / FINE)), 0, FINE - 1).astype(int) for v in (px, py))
+        hx, hy = cx // part, cy // part
+        fx, fy = np.zeros(len(px)), np.zeros(len(px))
+
+        def push(k, sx, sy):
+            some = k > 0
+            n = np.where(some, k, 1)
+            dx, dy = px - sx / n, py - sy / n
+            by = np.where(some, strength * k / (dx * dx + dy * dy + SOFTEN), 0.0)
+            np.add(fx, dx * by, out=fx)
+            np.add(fy, dy * by, out=fy)
+
+        for oy in range(-2, 3):
+            for ox in range(-2, 3):
+                k, sx, sy = inside(before, cx + ox, cx + ox + 1, cy + oy, cy + oy + 1)
+                push(*((k - 1, sx - px, sy - py) if ox == oy == 0 else (k, sx, sy)))
+        for oy in range(-2, 3):
+            for ox in range(-2, 3):
+                gx, gy = hx + ox, hy + oy
+                near = inside(before, np.maximum(gx * part, cx - 2), np.minimum((gx + 1) * part, cx + 3), np.maximum(gy * part, cy - 2), np.minimum((gy + 1) * part, cy + 3))
+                push(*(inside(blocks, gx, gx + 1, gy, gy + 1) - near))
+        push(*(whole[:, None] - inside(blocks, hx - 2, hx + 3, hy - 2, hy + 3)))
+        return fx, fy
+
+    return field
+
+
+def repulsion(positions: DataFrame, nodes: int, forces: Forces = Forces()) -> DataFrame:
+    """idx, fx, fy, x, y: the push of all others on each node, by ``_field``. Nothing is shuffled but the sums of cells."""
+    field = _field(positions, forces.repulsion * (WORLD / max(1, nodes) ** 0.5) ** 2)
+
+    @F.pandas_udf("fx double, fy double")
+    def pushed(x: pd.Series, y: pd.Series) -> pd.DataFrame:
+        fx, fy = field(x.to_numpy(float), y.to_numpy(float))
+        return pd.DataFrame({"fx": fx, "fy": fy})
+
+    return positions.select("idx", "x", "y", pushed("x", "y").alias("p")).selectExpr("idx", "p.fx", "p.fy", "x", "y")
 
 
 def force_step(sym: DataFrame, positions: DataFrame, nodes: int, step: float, forces: Forces = Forces()) -> DataFrame:
     """idx, x, y after one step of all nodes at once; none moves further than ``step`` or leaves the world."""
-    pull, push = springs(sym, positions, nodes, forces), repulsion(positions, nodes, forces)
-    both = positions.join(pull.select("idx", F.col("fx").alias("ax"), F.col("fy").alias("ay")), "idx", "left").join(push, "idx", "left")
-    x, y = F.col("x").cast("double"), F.col("y").cast("double")
-    total = lambda a, r, v: F.coalesce(a, F.lit(0.0)) + F.coalesce(r, F.lit(0.0)) + (WORLD / 2 - v) * forces.gravity
-    both = both.withColumns({"tx": total(F.col("ax"), F.col("fx"), x), "ty": total(F.col("ay"), F.col("fy"), y)})
-    size = F.sqrt(F.col("tx") * F.col("tx") + F.col("ty") * F.col("ty"))
-    move = F.when(size > 1e-9, F.least(size, F.lit(step)) / size).otherwise(0.0)
-    clamp = lambda v: F.least(F.greatest(v, F.lit(0.0)), F.lit(WORLD)).cast("float")
-    return both.select("idx", clamp(x + F.col("tx") * move).alias("x"), clamp(y + F.col("ty") * move).alias("y"))
+    return moved(links(sym, nodes, forces), positions, nodes, step, forces)
+
+
+def moved(links: DataFrame, positions: DataFrame, nodes: int, step: float, forces: Forces = Forces()) -> DataFrame:
+    pull = pulls(links, positions, nodes <= SMALL_ROWS).select("idx", F.col("fx").alias("ax"), F.col("fy").alias("ay"))
+    both = repulsion(positions, nodes, forces).join(pull, "idx", "left")
+    total = lambda a, r, v: f"coalesce({a}, 0D) + coalesce({r}, 0D) + ({WORLD / 2}D - double({v})) * {forces.gravity}D"
+    both = both.selectExpr("idx", "x", "y", f"{total('ax', 'fx', 'x')} AS tx", f"{total('ay', 'fy', 'y')} AS ty")
+    both = both.selectExpr("idx", "x", "y", "tx", "ty", "sqrt(tx * tx + ty * ty) AS size")
+    to = lambda v: f"float(least(greatest(double({v}) + t{v} * if(size > 1e-9D, least(size, {float(step)!r}D) / size, 0D), 0D), {WORLD}D)) AS {v}"
+    return both.selectExpr("idx", to("x"), to("y"))
 
 
 def layout(edges: DataFrame, nodes: DataFrame, seed: int = 42, most_nodes: int = 1_000_000, steps: int | None = None, weighted: bool = False, **hierarchy) -> DataFrame:
@@ -156,8 +186,9 @@ def layout(edges: DataFrame, nodes: DataFrame, seed: int = 42, most_nodes: int =
             positions = prolongate(level["parent"], positions, levels[at + 1]["n"], at + 1, seed)
         n, count = level["n"], steps if steps is not None else steps_of(at, len(levels), level["n"], most_nodes)
         positions = cut(positions)
+        weighed = cut(links(level["sym"], n)) if count else None
         for i in range(count):
-            positions = cut(force_step(level["sym"], positions, n, step_size(i, count, n, at == len(levels) - 1)))
+            positions = cut(moved(weighed, positions, n, step_size(i, count, n, at == len(levels) - 1)))
     return positions
 
 

@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from netloom.functions import lod, styling
 from netloom.functions.draws import with_draw
 from netloom.operators import coarsen, graph, layout, sampling, search, spatial
-from netloom.operators.attributes import Attributes, OneOf, Range, Style
+from netloom.operators.attributes import Attributes, OneOf, Range, Style, read_attributes, visible_edges
 from netloom.plans import sql
+from netloom.plans.lineage import folder
 from netloom.plans.sql import q
 from netloom.sources import tables
-from netloom.sources.edges import validity
+from netloom.sources.edges import read_records, validity
+from netloom.sources.mapping import Mapping
 
 SEED = 42
 QUERIES: dict = {}
@@ -38,7 +40,7 @@ def _long(df: DataFrame, *names: str) -> DataFrame:
 
 @query(q("SELECT idx, id FROM nodes"))
 def node_dictionary(spark: SparkSession, d: str) -> DataFrame:
-    return tables.supply(spark, d).nodes
+    return tables.supply_nodes(spark, d).select("idx", "id")
 
 
 @query(q("SELECT seq, src, dst, weight FROM edges"))
@@ -82,7 +84,7 @@ def total_degree(spark: SparkSession, d: str) -> DataFrame:
 
 @query(q("SELECT id, degree FROM degrees ORDER BY degree DESC, id LIMIT 12"))
 def degree_top12(spark: SparkSession, d: str) -> DataFrame:
-    return graph.total_degree(tables.supply(spark, d)).select("id", "degree").orderBy(F.desc("degree"), "id").limit(12)
+    return graph.degrees_by_id(tables.supply_rows(spark, d)).orderBy(F.desc("degree"), "id").limit(12)
 
 
 @query(q("SELECT idx, k AS degree, CAST(coalesce(sum(k) OVER (ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM (SELECT n.idx, count(e.src) AS k FROM nodes n LEFT JOIN edges e ON n.idx = e.src GROUP BY n.idx)"))
@@ -126,34 +128,60 @@ def isolate_edges(spark: SparkSession, d: str) -> DataFrame:
     return graph.induced(g, graph.khop(g, 0, 1).select(F.col("node").alias("idx"))).select("seq", "src", "dst")
 
 
+@query(q("SELECT src, seq // 4096 AS page, string_agg(CAST(dst AS VARCHAR), ',' ORDER BY seq) AS neighbours FROM edges GROUP BY 1, 2"))
+def adjacency_pages(spark: SparkSession, d: str) -> DataFrame:
+    return graph.adjacency_pages(tables.supply(spark, d), 4096).select("src", "page", F.array_join(F.col("neighbours").cast("array<string>"), ",").alias("neighbours"))
+
+
+@query(q("SELECT DISTINCT CASE WHEN src = 0 THEN dst ELSE src END AS idx FROM edges WHERE (src = 0 OR dst = 0) AND src <> dst ORDER BY idx LIMIT 100"))
+def neighbours_capped(spark: SparkSession, d: str) -> DataFrame:
+    return graph.neighbour_list(tables.supply_links(spark, d), 0, 100)
+
+
+@query(q("SELECT e.seq, e.src, e.dst FROM edges e JOIN degrees a ON e.src = a.idx JOIN degrees b ON e.dst = b.idx WHERE a.degree >= 28 AND b.degree >= 28"))
+def edges_visible(spark: SparkSession, d: str) -> DataFrame:
+    g = tables.supply(spark, d)
+    styled = Attributes(graph.total_degree(g)).styled(Style(filters=[Range("degree", 28, 1e18)]))
+    return visible_edges(g.edges, styled).select("seq", "src", "dst")
+
+
+@query(q("SELECT 0 AS level, count(*) AS arcs, bit_xor(h) AS hash FROM (SELECT CAST('0x' || substr(md5(src || ',' || dst || ',' || CAST(floor(weight * 1048576) AS BIGINT)), 1, 15) AS BIGINT) AS h FROM sym) UNION ALL SELECT 1, count(*), bit_xor(CAST('0x' || substr(md5(src || ',' || dst || ',' || CAST(floor(weight * 1048576) AS BIGINT)), 1, 15) AS BIGINT)) FROM (SELECT src % 50 AS src, dst % 50 AS dst, sum(weight) AS weight FROM sym WHERE src % 50 <> dst % 50 GROUP BY 1, 2)"))
+def level_checksum(spark: SparkSession, d: str) -> DataFrame:
+    g = tables.supply_links(spark, d)
+    sym = graph.symmetrize(g.edges)
+    coarse = coarsen.contract(sym, g.nodes.select(F.col("idx").alias("node"), (F.col("idx") % 50).alias("coarse")))
+    one, two = (coarsen.checksum(s).withColumn("level", F.lit(i)) for i, s in enumerate((sym, coarse)))
+    return one.union(two)
+
+
 # --- symmetric graphs, labels, contraction
 
 
 @query(q("SELECT src, dst, weight FROM sym"))
 def symmetrize(spark: SparkSession, d: str) -> DataFrame:
-    return graph.symmetrize(tables.supply(spark, d).edges)
+    return graph.symmetrize(tables.supply_links(spark, d).edges)
 
 
 @query(q("SELECT CAST(count(*) AS BIGINT) AS arcs, CAST(sum(n) AS BIGINT) AS ends FROM (SELECT src, dst, count(*) AS n FROM (SELECT src, dst FROM edges WHERE src <> dst UNION ALL SELECT dst, src FROM edges WHERE src <> dst) GROUP BY src, dst)"))
 def symmetrize_unweighted(spark: SparkSession, d: str) -> DataFrame:
-    return graph.symmetrize(tables.supply(spark, d).edges, weighted=False).agg(F.count(F.lit(1)).alias("arcs"), F.sum("weight").cast("long").alias("ends"))
+    return graph.symmetrize(tables.supply_links(spark, d).edges, weighted=False).agg(F.count(F.lit(1)).alias("arcs"), F.sum("weight").cast("long").alias("ends"))
 
 
 @query(q("SELECT node, label, weight FROM (SELECT src AS node, dst AS label, weight, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS r FROM sym) WHERE r = 1"))
 def lpa_one_round(spark: SparkSession, d: str) -> DataFrame:
-    g = tables.supply(spark, d)
+    g = tables.supply_links(spark, d)
     labels = g.nodes.select(F.col("idx").alias("node"), F.col("idx").alias("label"))
     return coarsen.strongest(coarsen.votes(graph.symmetrize(g.edges), labels))
 
 
 @query(q("SELECT n.idx AS node, c.coarse FROM nodes n JOIN (SELECT label, row_number() OVER (ORDER BY min(idx)) - 1 AS coarse FROM (SELECT idx, idx * 7919 % 101 AS label FROM nodes) GROUP BY label) c ON n.idx * 7919 % 101 = c.label"))
 def compact_labels(spark: SparkSession, d: str) -> DataFrame:
-    return coarsen.compact(tables.supply(spark, d).nodes.select(F.col("idx").alias("node"), (F.col("idx") * 7919 % 101).alias("label")))
+    return coarsen.compact(tables.supply_nodes(spark, d).select(F.col("idx").alias("node"), (F.col("idx") * 7919 % 101).alias("label")))
 
 
 @query(q("SELECT a.src % 50 AS src, a.dst % 50 AS dst, sum(a.weight) AS weight FROM sym a WHERE a.src % 50 <> a.dst % 50 GROUP BY 1, 2"))
 def contract_clusters(spark: SparkSession, d: str) -> DataFrame:
-    g = tables.supply(spark, d)
+    g = tables.supply_links(spark, d)
     return coarsen.contract(graph.symmetrize(g.edges), g.nodes.select(F.col("idx").alias("node"), (F.col("idx") % 50).alias("coarse")))
 
 
@@ -172,7 +200,7 @@ def hierarchy_levels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _attributes(spark: SparkSession, d: str) -> Attributes:
-    return Attributes(graph.total_degree(tables.supply(spark, d))).attach(tables.part_attributes(spark, d), "id", ["p_brand", "p_type", "p_size", "p_retailprice"])
+    return Attributes(tables.supply_nodes(spark, d)).attach(tables.part_attributes(spark, d), "id", ["p_brand", "p_type", "p_size", "p_retailprice"])
 
 
 @query(sql.attrs("SELECT idx, degree, p_brand, p_type, CAST(p_size AS BIGINT) AS p_size, p_retailprice FROM joined"))
@@ -263,7 +291,16 @@ def legend(spark: SparkSession, d: str) -> DataFrame:
 @query(sql.attrs("SELECT idx FROM joined WHERE p_size BETWEEN 1 AND 25 INTERSECT SELECT CASE WHEN src = 0 THEN dst ELSE src END FROM edges WHERE src = 0 OR dst = 0"))
 def isolate_and_filter(spark: SparkSession, d: str) -> DataFrame:
     a = _attributes(spark, d)
-    return a.matching([Range("p_size", 1, 25)]).join(graph.neighbours(tables.supply(spark, d), 0), "idx", "left_semi")
+    return a.matching([Range("p_size", 1, 25)]).join(graph.neighbours(tables.supply_links(spark, d), 0), "idx", "left_semi")
+
+
+@query(sql.attrs("SELECT 'p_size' AS \"column\", CAST(min(p_size) AS DOUBLE) AS low, CAST(max(p_size) AS DOUBLE) AS high, count(*) FILTER (WHERE p_size IS NULL) AS nulls FROM joined UNION ALL SELECT 'p_retailprice', min(p_retailprice), max(p_retailprice), count(*) FILTER (WHERE p_retailprice IS NULL) FROM joined"))
+def attr_csv_profile(spark: SparkSession, d: str) -> DataFrame:
+    """Attributes written as CSV and read back with inferred types."""
+    path = folder(spark, "attributes")
+    tables.part_attributes(spark, d).write.csv(path, header=True, quote='"', escape='"')
+    read = read_attributes(spark, path)
+    return Attributes(tables.supply_nodes(spark, d)).attach(read, "id", ["p_brand", "p_type", "p_size", "p_retailprice"]).profile_numeric().where(F.col("column") != "degree")
 
 
 # --- search
@@ -278,17 +315,17 @@ def _search(text: str, limit: int) -> str:
 
 @query(_search("S1", 50))
 def search_prefix(spark: SparkSession, d: str) -> DataFrame:
-    return search.search_nodes(tables.supply(spark, d).nodes, "S1", 50)
+    return search.search_nodes(tables.supply_nodes(spark, d), "S1", 50)
 
 
 @query(_search("77", 50))
 def search_infix(spark: SparkSession, d: str) -> DataFrame:
-    return search.search_nodes(tables.supply(spark, d).nodes, "77", 50)
+    return search.search_nodes(tables.supply_nodes(spark, d), "77", 50)
 
 
 @query(_search("p1", 20))
 def search_truncated(spark: SparkSession, d: str) -> DataFrame:
-    return search.search_nodes(tables.supply(spark, d).nodes, "p1", 20)
+    return search.search_nodes(tables.supply_nodes(spark, d), "p1", 20)
 
 
 # --- draws and positions
@@ -296,23 +333,23 @@ def search_truncated(spark: SparkSession, d: str) -> DataFrame:
 
 @query(q("SELECT k AS idx, u FROM u", sql.draws("SELECT idx AS k FROM nodes", SEED)))
 def mulberry_draws(spark: SparkSession, d: str) -> DataFrame:
-    return with_draw(tables.supply(spark, d).nodes.select("idx"), SEED, F.col("idx"), "u")
+    return with_draw(tables.supply_nodes(spark, d).select("idx"), SEED, F.col("idx"), "u")
 
 
 @query(q("SELECT idx, x, y FROM pos", sql.POSITIONS))
 def square_positions(spark: SparkSession, d: str) -> DataFrame:
-    return layout.square_positions(tables.supply(spark, d).nodes, SEED)
+    return layout.square_positions(tables.supply_nodes(spark, d), SEED)
 
 
 @query(q("SELECT idx, round(CAST(CAST(2048 + cos(a.u * 2 * pi()) * sqrt(b.u) * 1024 AS FLOAT) AS DOUBLE), 3) AS x, round(CAST(CAST(2048 + sin(a.u * 2 * pi()) * sqrt(b.u) * 1024 AS FLOAT) AS DOUBLE), 3) AS y FROM nodes n JOIN u a ON a.k = 2 * n.idx JOIN u b ON b.k = 2 * n.idx + 1", sql.draws("SELECT 2 * idx AS k FROM nodes UNION ALL SELECT 2 * idx + 1 FROM nodes", SEED)))
 def disc_positions(spark: SparkSession, d: str) -> DataFrame:
-    placed = layout.disc_positions(tables.supply(spark, d).nodes, SEED)
+    placed = layout.disc_positions(tables.supply_nodes(spark, d), SEED)
     return placed.select("idx", *(F.round(F.col(c).cast("double"), 3).alias(c) for c in ("x", "y")))
 
 
 @query(q(f"SELECT n.idx, CAST(p.x + (a.u - 0.5) * {2048 / 10.0} AS FLOAT) AS x, CAST(p.y + (b.u - 0.5) * {2048 / 10.0} AS FLOAT) AS y FROM nodes n JOIN pos p ON p.idx = n.idx % 100 JOIN w a ON a.k = 2 * n.idx JOIN w b ON b.k = 2 * n.idx + 1", sql.POSITIONS + sql.draws("SELECT 2 * idx AS k FROM nodes UNION ALL SELECT 2 * idx + 1 FROM nodes", SEED ^ (layout.GOLDEN % (1 << 32)), "w")))
 def prolongate(spark: SparkSession, d: str) -> DataFrame:
-    g = tables.supply(spark, d)
+    g = tables.supply_links(spark, d)
     return layout.prolongate(g.nodes.select(F.col("idx").alias("node"), (F.col("idx") % 100).alias("coarse")), layout.square_positions(g.nodes, SEED), 100, 1, SEED)
 
 
@@ -320,7 +357,7 @@ def prolongate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _placed(spark: SparkSession, d: str) -> DataFrame:
-    return layout.square_positions(tables.supply(spark, d).nodes, SEED)
+    return layout.square_positions(tables.supply_nodes(spark, d), SEED)
 
 
 @query(q("SELECT cell, count(*) AS n FROM placed GROUP BY cell", sql.POSITIONS + sql.GRID))
@@ -358,21 +395,21 @@ def pick_nearest(spark: SparkSession, d: str) -> DataFrame:
 
 @query(q("SELECT idx, round(fx, 3) AS fx, round(fy, 3) AS fy FROM pull", sql.POSITIONS + sql.SPRINGS))
 def force_springs(spark: SparkSession, d: str) -> DataFrame:
-    g = tables.supply(spark, d)
+    g = tables.supply_links(spark, d)
     pull = layout.springs(graph.symmetrize(g.edges), layout.square_positions(g.nodes, SEED), g.nodes.count())
     return pull.select("idx", F.round("fx", 3).alias("fx"), F.round("fy", 3).alias("fy"))
 
 
 @query(q("SELECT idx, round(fx, 2) AS fx, round(fy, 2) AS fy FROM push", sql.POSITIONS + sql.REPULSION))
 def force_repulsion(spark: SparkSession, d: str) -> DataFrame:
-    g = tables.supply(spark, d)
+    g = tables.supply_links(spark, d)
     push = layout.repulsion(layout.square_positions(g.nodes, SEED), g.nodes.count())
     return push.select("idx", F.round("fx", 2).alias("fx"), F.round("fy", 2).alias("fy"))
 
 
 @query(q("SELECT idx, round(CAST(CAST(greatest(0, least(4096, x + tx * m)) AS FLOAT) AS DOUBLE), 2) AS x, round(CAST(CAST(greatest(0, least(4096, y + ty * m)) AS FLOAT) AS DOUBLE), 2) AS y FROM (SELECT *, CASE WHEN sqrt(tx * tx + ty * ty) > 1e-9 THEN least(sqrt(tx * tx + ty * ty), 50.0) / sqrt(tx * tx + ty * ty) ELSE 0 END AS m FROM (SELECT p.idx, CAST(p.x AS DOUBLE) AS x, CAST(p.y AS DOUBLE) AS y, coalesce(a.fx, 0) + b.fx + 0.03 * (2048 - p.x) AS tx, coalesce(a.fy, 0) + b.fy + 0.03 * (2048 - p.y) AS ty FROM pos p LEFT JOIN pull a ON p.idx = a.idx JOIN push b ON p.idx = b.idx))", sql.POSITIONS + sql.SPRINGS + sql.REPULSION))
 def force_step(spark: SparkSession, d: str) -> DataFrame:
-    g = tables.supply(spark, d)
+    g = tables.supply_links(spark, d)
     moved = layout.force_step(graph.symmetrize(g.edges), layout.square_positions(g.nodes, SEED), g.nodes.count(), 50.0)
     return moved.select("idx", F.round(F.col("x").cast("double"), 2).alias("x"), F.round(F.col("y").cast("double"), 2).alias("y"))
 
@@ -404,14 +441,14 @@ def layout_fingerprint(spark: SparkSession, d: str) -> DataFrame:
 
 @query(q("SELECT idx, CASE WHEN n <= 0 THEN 0 ELSE CAST(least(greatest(ceil(1000000 * c / f), least(4096, n)), n) AS BIGINT) END AS nodes, CASE WHEN n <= 0 THEN 0 ELSE CAST(greatest(least(4096, m), least(least(m, 300000), ceil(300000 * c / f))) AS BIGINT) END AS edges FROM (SELECT idx, n, m, greatest(least(f, 1), 1.0 / greatest(n, 1)) AS f, CASE WHEN c > 0 THEN c ELSE 1 END AS c FROM (SELECT idx, CAST(idx * 1000 AS DOUBLE) AS n, CAST(degree * 5000 AS DOUBLE) AS m, degree / 40.0 AS f, (idx % 11) / 3.0 AS c FROM degrees))"))
 def lod_limits(spark: SparkSession, d: str) -> DataFrame:
-    rows = graph.total_degree(tables.supply(spark, d))
+    rows = tables.supply_nodes(spark, d)
     found = lod.limits(F.col("idx") * 1000, F.col("degree") * 5000, F.col("degree") / 40.0, (F.col("idx") % 11) / 3.0)
     return rows.select("idx", found.alias("l")).select("idx", "l.nodes", "l.edges")
 
 
 @query(q("SELECT idx, coalesce(round(CASE WHEN fit > 0 THEN least(1200, 4096 * zoom) * least(800, 4096 * zoom) / fit END, 9), 1) AS coverage FROM (SELECT idx, degree / 100.0 AS zoom, least(1200, 4096 * 0.2) * least(800, 4096 * 0.2) AS fit FROM degrees)"))
 def screen_coverage(spark: SparkSession, d: str) -> DataFrame:
-    rows = graph.total_degree(tables.supply(spark, d))
+    rows = tables.supply_nodes(spark, d)
     return rows.select("idx", F.round(lod.coverage(F.col("degree") / 100.0, F.lit(0.2), F.lit(4096.0), F.lit(4096.0), F.lit(1200), F.lit(800)), 9).alias("coverage"))
 
 
@@ -424,4 +461,14 @@ def edge_sample(spark: SparkSession, d: str) -> DataFrame:
 def csv_size(spark: SparkSession, d: str) -> DataFrame:
     from netloom.sources.generate import csv_bytes
 
-    return csv_bytes(tables.supply(spark, d).edges)
+    return csv_bytes(tables.supply_links(spark, d).edges)
+
+
+@query(q("SELECT seq, 'n' || src AS source, 'n' || dst AS target FROM edges"))
+def csv_through_ingest(spark: SparkSession, d: str) -> DataFrame:
+    """Edges written as delimited files and read back as records, in the same order."""
+    from netloom.sources.generate import write_csv
+
+    path = folder(spark, "csv")
+    write_csv(tables.supply(spark, d).edges, path)
+    return read_records(spark, path, Mapping(header=False))[0].select("seq", "source", "target")

@@ -28,8 +28,13 @@ def read_records(spark: SparkSession, path: str, mapping: Mapping | None = None)
     weight that is no number, are skipped and counted.
 
     Lines are read with their file and place, so ``seq`` follows the files' order however they are split. Each line is split by one
-    expression: fields in quotes may hold delimiters and doubled quotes. Line breaks inside quotes need ``read_multiline``."""
+    expression: fields in quotes may hold delimiters and doubled quotes. Where a line has an odd number of quotes, one at a field's begin, a field
+    goes on in the next line, and the file is read by ``read_multiline``."""
     mapping = mapping or guess_mapping(spark, path)
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    opened = F.concat(F.lit(mapping.delimiter), "value").contains(mapping.delimiter + '"')
+    if not spark.read.text(path).where((quotes % 2 == 1) & opened).isEmpty():
+        return read_multiline(spark, path, mapping)
     # a blank line is none; carriage returns outside quotes vanish
     lines = spark.read.text(path).select(F.regexp_replace("value", "\r", "").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
     return _records(lines.where("line <> ''"), mapping, ["file", "block", "at"])
@@ -49,18 +54,23 @@ def _records(lines: DataFrame, mapping: Mapping, order: list[str]) -> tuple[Data
     split = split.where("row > 0") if mapping.header else split
     weight = F.lit(None).cast("float") if mapping.weight is None else weight_of(F.get("f", mapping.weight))
     rows = split.select("row", F.get("f", mapping.source).alias("source"), F.get("f", mapping.target).alias("target"), weight.alias("weight"))
+    return _kept(rows, mapping)
+
+
+def _kept(rows: DataFrame, mapping: Mapping) -> tuple[DataFrame, DataFrame]:
     ok = F.col("source").isNotNull() & F.col("target").isNotNull() & (F.lit(True) if mapping.weight is None else F.col("weight").isNotNull())
     counts = rows.agg(F.count(F.lit(1)).alias("rows"), F.count_if(~ok).alias("skipped"))
     return rows.where(ok).select(F.col("row").alias("seq"), "source", "target", "weight"), counts
 
 
-def read_multiline(spark: SparkSession, path: str, mapping: Mapping) -> DataFrame:
-    """Records of a file whose quoted fields hold line breaks, by Spark's reader; empty fields are null there and such rows are dropped."""
+def read_multiline(spark: SparkSession, path: str, mapping: Mapping) -> tuple[DataFrame, DataFrame]:
+    """As ``read_records``, of files whose quoted fields hold line breaks, by Spark's reader: one task a file. Empty fields are null there, and
+    such rows are skipped."""
     rows = spark.read.csv(path, sep=mapping.delimiter, header=mapping.header, quote='"', escape='"', multiLine=True, inferSchema=False)
-    pick = lambda i: F.col("`" + rows.columns[i].replace("`", "``") + "`")
+    pick = lambda i: F.col("`" + rows.columns[i].replace("`", "``") + "`") if i < len(rows.columns) else F.lit(None).cast("string")
     weight = F.lit(None).cast("float") if mapping.weight is None else weight_of(pick(mapping.weight))
-    out = rows.select(pick(mapping.source).alias("source"), pick(mapping.target).alias("target"), weight.alias("weight"), F.monotonically_increasing_id().alias("seq"))
-    return out.where("source is not null and target is not null" + ("" if mapping.weight is None else " and weight is not null")).select("seq", "source", "target", "weight")
+    out = rows.select(pick(mapping.source).alias("source"), pick(mapping.target).alias("target"), weight.alias("weight"), F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_at"))
+    return _kept(dense_index(out, ["_file", "_at"], "row"), mapping)
 
 
 def _named(df: DataFrame, source: Column, target: Column, weight: Column | None, *more: Column) -> DataFrame:
@@ -76,8 +86,13 @@ def validity(df: DataFrame, source: Column, target: Column, weight: Column | Non
     return _named(df, source, target, weight).agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(~F.expr(_VALID)).alias("skipped"), F.count("weight").alias("weighted"))
 
 
-def from_table(df: DataFrame, source: Column, target: Column, weight: Column | None = None, order: list[str] | None = None) -> DataFrame:
-    """Records from any table; ``seq`` numbers its rows by ``order``. Rows without a source or target are skipped (``validity`` counts them)."""
+def unnumbered(df: DataFrame, source: Column, target: Column, weight: Column | None = None, order: list[str] | None = None) -> tuple[DataFrame, list[str]]:
+    """Records (source, target, weight and the columns that order them) from any table, and the names of these columns. Rows without a source or
+    target are skipped (``validity`` counts them)."""
     valid = _named(df, source, target, weight, *(F.col(c).alias(f"_o{i}") for i, c in enumerate(order or []))).where(_VALID)
-    keys = [f"_o{i}" for i in range(len(order or []))] or ["source", "target", "weight"]
-    return dense_index(valid, keys, "seq").select("seq", "source", "target", "weight")
+    return valid, [f"_o{i}" for i in range(len(order or []))] or ["source", "target", "weight"]
+
+
+def from_table(df: DataFrame, source: Column, target: Column, weight: Column | None = None, order: list[str] | None = None) -> DataFrame:
+    """Records as ``unnumbered`` gives them; ``seq`` numbers them by ``order``."""
+    return dense_index(*unnumbered(df, source, target, weight, order), "seq").select("seq", "source", "target", "weight")

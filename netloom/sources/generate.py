@@ -68,6 +68,12 @@ def node_attributes(spark: SparkSession, nodes: int, communities: int = 12, ghos
     )
 
 
+def write_csv(edges: DataFrame, path: str) -> None:
+    """The edges as delimited files without a header, ids as ``n0``, ``n1``, in the order of ``seq`` by the files' names: input for ``read_records``."""
+    ids = edges.repartitionByRange("seq").sortWithinPartitions("seq").select(*(F.concat(F.lit("n"), c).alias(c) for c in ("src", "dst")))
+    ids.write.mode("overwrite").csv(path, header=False)
+
+
 def csv_bytes(edges: DataFrame) -> DataFrame:
     """bytes: the size of the edges as a CSV file with the header ``source,target`` and ids ``n0``, ``n1``..."""
     return edges.agg((F.lit(14) + F.coalesce(F.sum(F.length(F.col("src").cast("string")) + F.length(F.col("dst").cast("string")) + 4), F.lit(0))).cast("long").alias("bytes"))

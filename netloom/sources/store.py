@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from netloom.operators.graph import Graph
 
 
+#: Of the tables' layout; a graph of another version is written anew.
+VERSION = 1
+
+
 def graph_id(name: str, size: int, changed: int) -> str:
     return re.sub(r"[^\w.-]+", "_", f"{name}-{size}-{changed}", flags=re.ASCII)
 
@@ -35,20 +39,33 @@ def write_graph(spark: SparkSession, graph: Graph, root: str, name: str, id: str
     graph.nodes.select("idx", "id").write.mode("overwrite").parquet(f"{path}/nodes")
     graph.edges.repartition("src").sortWithinPartitions("src", "seq").write.mode("overwrite").parquet(f"{path}/edges")
     saved = read_tables(spark, path)
-    manifest = {"id": id, "name": name, "nodes": saved.nodes.count(), "edges": saved.edges.count(), "skipped": skipped, "weighted": not saved.edges.where("weight is not null").isEmpty(), "imported": datetime.now(UTC).isoformat()}
+    manifest = {"version": VERSION, "id": id, "name": name, "nodes": saved.nodes.count(), "edges": saved.edges.count(), "skipped": skipped, "weighted": not saved.edges.where("weight is not null").isEmpty(), "imported": datetime.now(UTC).isoformat()}
     write_manifest(spark, path, manifest)
     return manifest
 
 
 def write_manifest(spark: SparkSession, path: str, manifest: dict) -> None:
-    """Written beside and moved into place, so a reader sees all of it or none."""
+    """Written beside and moved over the old one in a single step, so a reader sees the old or the new one, and a crash loses neither."""
     fs, temporary = _fs(spark, f"{path}/_manifest.tmp")
     _, final = _fs(spark, f"{path}/manifest.json")
     out = fs.create(temporary, True)
     out.write(bytearray(json.dumps(manifest).encode()))
     out.close()
-    fs.delete(final, False)
-    fs.rename(temporary, final)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    over = spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 1)
+    over[0] = getattr(hadoop, "Options$Rename").OVERWRITE
+    hadoop.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(temporary, final, over)
+
+
+def is_fresh(spark: SparkSession, path: str, source: str) -> bool:
+    """Whether the graph at ``path`` is finished, of this version, and not older than the file or folder it was made of."""
+    fs, p = _fs(spark, f"{path}/manifest.json")
+    other, s = _fs(spark, source)
+    if not fs.exists(p) or manifest_of(spark, path).get("version") != VERSION:
+        return False
+    status = other.getFileStatus(s)
+    files = [status, *(other.listStatus(s) if status.isDirectory() else [])]
+    return fs.getFileStatus(p).getModificationTime() >= max(f.getModificationTime() for f in files)
 
 
 def read_tables(spark: SparkSession, path: str) -> Graph:

@@ -5,22 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.operators.graph import Graph, intern
-from netloom.sources.edges import from_table
+from netloom.operators.graph import Graph, first_seen, intern, intern_unnumbered
+from netloom.sources.edges import from_table, unnumbered
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def supply_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers to parts, a record per line item."""
+def _lines(spark: SparkSession, sf_dir: str) -> tuple:
     lines = table(spark, sf_dir, "lineitem")
-    return from_table(lines, F.concat(F.lit("s"), "l_suppkey"), F.concat(F.lit("p"), "l_partkey"), F.col("l_quantity"), ["l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_quantity"])
+    return lines, F.concat(F.lit("s"), "l_suppkey"), F.concat(F.lit("p"), "l_partkey"), F.col("l_quantity"), ["l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_quantity"]
 
 
 def supply(spark: SparkSession, sf_dir: str) -> Graph:
-    return intern(supply_records(spark, sf_dir))
+    """Suppliers to parts, an edge per line item."""
+    return intern(from_table(*_lines(spark, sf_dir)))
+
+
+def supply_links(spark: SparkSession, sf_dir: str) -> Graph:
+    """The same without the numbers of edges, for what doesn't ask for the order of edges."""
+    return intern_unnumbered(*unnumbered(*_lines(spark, sf_dir)))
+
+
+def supply_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Its nodes alone: idx, id, degree."""
+    return first_seen(*unnumbered(*_lines(spark, sf_dir)))
+
+
+def supply_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Its records (source, target, weight) alone."""
+    return unnumbered(*_lines(spark, sf_dir))[0].select("source", "target", "weight")
 
 
 def geography(spark: SparkSession, sf_dir: str) -> Graph:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from netloom.functions import lod, styling
 from netloom.functions.draws import with_draw
-from netloom.operators import coarsen, graph, layout, search, spatial
+from netloom.operators import attributes, coarsen, graph, layout, search, spatial
 from netloom.operators.attributes import Attributes, OneOf, Range, Style
 from netloom.operators.index import dense_index
 from netloom.sources import edges as sources
@@ -206,7 +206,66 @@ def test_read_records(spark):
     assert sources.guess_mapping(spark, f"{folder}/e.csv") == mapping.Mapping(",", True, 0, 1, 2)
     with open(f"{folder}/m.csv", "w") as f:
         f.write('s,t\n"a\nb",c\nd,\n')
-    assert [(r["source"], r["target"]) for r in sources.read_multiline(spark, f"{folder}/m.csv", mapping.Mapping()).collect()] == [("a\nb", "c")]
+    # a field that goes on in the next line is noticed, and rows are numbered without gaps
+    records, counts = sources.read_records(spark, f"{folder}/m.csv", mapping.Mapping())
+    assert [tuple(r)[:3] for r in records.collect()] == [(0, "a\nb", "c")] and tuple(counts.first()) == (2, 1)
+    with open(f"{folder}/q.csv", "w") as f:
+        f.write('s,t\n5" pipe,c\nd,e\n')  # a quote inside a field opens none
+    assert [tuple(r)[1:3] for r in sources.read_records(spark, f"{folder}/q.csv", mapping.Mapping())[0].orderBy("seq").collect()] == [('5" pipe', "c"), ("d", "e")]
+
+
+def test_attributes_from_csv(spark):
+    folder = tempfile.mkdtemp()
+    with open(f"{folder}/a.csv", "w") as f:
+        f.write('id,score,kind\nn0,1.5,"a ""b"", c"\nn1,,x\n')
+    t = attributes.read_attributes(spark, f"{folder}/a.csv")
+    assert t.dtypes == [("id", "string"), ("score", "double"), ("kind", "string")]
+    assert [tuple(r) for r in t.orderBy("id").collect()] == [("n0", 1.5, 'a "b", c'), ("n1", None, "x")]
+
+
+def test_lists_pages_and_visible_edges(spark):
+    hub = numbered(spark, 40, [(0, i) for i in range(1, 40)] + [(5, 0), (7, 7)])
+    assert [r["idx"] for r in graph.neighbour_list(hub, 0, 3).collect()] == [1, 2, 3] and graph.neighbours(hub, 0).count() == 39
+    pages = graph.adjacency_pages(hub, 10).where("src = 0").orderBy("page").collect()
+    assert [len(r["neighbours"]) for r in pages] == [10, 10, 10, 9] and sum((r["neighbours"] for r in pages), []) == list(range(1, 40))
+    styled = hub.nodes.select("idx", F.col("idx").isin(0, 5, 6).alias("visible"))
+    assert sorted(tuple(r) for r in attributes.visible_edges(hub.edges, styled).select("src", "dst").collect()) == [(0, 5), (0, 6), (5, 0)]
+
+
+def test_unnumbered_graphs_are_the_same(spark):
+    rows = spark.createDataFrame([(3, "a", "b"), (1, "c", "a"), (2, None, "x"), (5, "b", "b"), (4, "", "c")], "at long, s string, t string")
+    g = graph.intern(sources.from_table(rows, F.col("s"), F.col("t"), None, ["at"]))
+    u = graph.intern_unnumbered(*sources.unnumbered(rows, F.col("s"), F.col("t"), None, ["at"]))
+    assert sorted(map(tuple, graph.total_degree(g).collect())) == sorted(map(tuple, u.nodes.collect()))
+    assert sorted(map(tuple, g.edges.select("src", "dst").collect())) == sorted(map(tuple, u.edges.select("src", "dst").collect()))
+    assert {tuple(r) for r in graph.degrees_by_id(rows.select(F.col("s").alias("source"), F.col("t").alias("target")).dropna()).collect()} == {("a", 2), ("b", 3), ("c", 2), ("", 1)}
+
+
+def test_checksum_ignores_the_order_of_rows(spark):
+    rows = [(0, 1, 1.0), (1, 0, 1.0), (2, 1, 0.5)]
+    one, two, three = (coarsen.checksum(spark.createDataFrame(r, "src long, dst long, weight double")).first() for r in (rows, rows[::-1], rows[:2] + [(2, 1, 0.25)]))
+    assert one == two and one["arcs"] == three["arcs"] and one["hash"] != three["hash"]
+    assert coarsen.checksum(spark.createDataFrame([], "src long, dst long, weight double")).first()["arcs"] == 0
+
+
+def test_generated_graph_through_ingest(spark):
+    edges, path = generate.planted(spark, 50, 400, 5), tempfile.mkdtemp() + "/csv"
+    generate.write_csv(edges, path)
+    records, counts = sources.read_records(spark, path, mapping.Mapping(header=False))
+    assert tuple(counts.first()) == (400, 0)
+    assert [tuple(r) for r in records.orderBy("seq").select("seq", "source", "target").collect()] == [(r["seq"], f"n{r['src']}", f"n{r['dst']}") for r in edges.orderBy("seq").collect()]
+
+
+def test_repulsion_of_near_cells_is_that_of_all_pairs(spark):
+    at = [(1000.0 + 32 * i + 3 * j, 2000.0 + 32 * j + 5 * i) for i in range(3) for j in range(3)]  # one node a cell, none more than two cells apart
+    p = spark.createDataFrame([(i, *v) for i, v in enumerate(at)], "idx long, x float, y float")
+    strength = layout.WORLD**2 / 9
+    for r in layout.repulsion(p, 9).collect():
+        x, y = at[r["idx"]]
+        pairs = [(x - a, y - b, (x - a) ** 2 + (y - b) ** 2 + layout.SOFTEN) for j, (a, b) in enumerate(at) if j != r["idx"]]
+        assert r["fx"] == pytest.approx(sum(strength * dx / d for dx, _, d in pairs), abs=1e-6) and r["fy"] == pytest.approx(sum(strength * dy / d for _, dy, d in pairs), abs=1e-6)
+    empty = layout.repulsion(p.where("idx < 0"), 0)
+    assert empty.isEmpty()
 
 
 def test_store(spark):
@@ -225,6 +284,16 @@ def test_store(spark):
     assert store.load_positions(spark, f"{root}/{id}", 7).count() == 3
     store.save_attributes(spark, p, f"{root}/{id}", "p", "idx")
     assert store.manifest_of(spark, f"{root}/{id}")["attributes"] == {"name": "p", "key": "idx"}
+    assert store.manifest_of(spark, f"{root}/{id}")["nodes"] == 3
+    with open(f"{root}/source.csv", "w") as f:
+        f.write("a,b\n")
+    os.utime(f"{root}/source.csv", (1, 1))
+    assert store.is_fresh(spark, f"{root}/{id}", f"{root}/source.csv") and not store.is_fresh(spark, f"{root}/unfinished", f"{root}/source.csv")
+    os.utime(f"{root}/source.csv", (4e9, 4e9))
+    assert not store.is_fresh(spark, f"{root}/{id}", f"{root}/source.csv")
+    os.utime(f"{root}/source.csv", (1, 1))
+    store.write_manifest(spark, f"{root}/{id}", store.manifest_of(spark, f"{root}/{id}") | {"version": 0})
+    assert not store.is_fresh(spark, f"{root}/{id}", f"{root}/source.csv")
     store.export_positions(g, p, f"{root}/out")
     assert [r["id"] for r in spark.read.csv(f"{root}/out", header=True).collect()] == ["n1", "n2", "n3"]
 
