@@ -10,16 +10,21 @@ STEP, MIX = 1831565813, (1, 61)
 U32 = 1 << 32
 
 
+def _low(x: Column, bits: int) -> Column:
+    """The lowest bits: a mask, whose generated code is far shorter than that of a remainder."""
+    return x.bitwiseAND(F.lit((1 << bits) - 1))
+
+
 def _imul(x: Column, y: Column) -> Column:
     """The low 32 bits of a product of 32-bit numbers, without leaving 64 bits."""
-    return ((F.shiftright(x, 16) * y % 65536) * 65536 + x.bitwiseAND(65535) * y) % U32
+    return _low(F.shiftleft(_low(F.shiftright(x, 16) * y, 16), 16) + _low(x, 16) * y, 32)
 
 
 def with_draw(df: DataFrame, seed: int | Column, counter: Column, name: str) -> DataFrame:
     """``df`` with ``name``: draw ``counter`` (from 0), uniform in [0, 1)."""
     a, t, s = f"_{name}_a", f"_{name}_t", f"_{name}_s"
     seed = F.lit(seed).cast("long") if isinstance(seed, int) else seed
-    df = df.withColumn(a, (seed + (counter.cast("long") + 1) * STEP) % U32)
+    df = df.withColumn(a, _low(seed + (counter.cast("long") + 1) * STEP, 32))
     df = df.withColumn(t, _imul(F.col(a).bitwiseXOR(F.shiftright(a, 15)), F.col(a).bitwiseOR(F.lit(MIX[0]))))
-    df = df.withColumn(s, ((F.col(t) + _imul(F.col(t).bitwiseXOR(F.shiftright(t, 7)), F.col(t).bitwiseOR(F.lit(MIX[1])))) % U32).bitwiseXOR(F.col(t)))
+    df = df.withColumn(s, _low(F.col(t) + _imul(F.col(t).bitwiseXOR(F.shiftright(t, 7)), F.col(t).bitwiseOR(F.lit(MIX[1]))), 32).bitwiseXOR(F.col(t)))
     return df.withColumn(name, F.col(s).bitwiseXOR(F.shiftright(s, 14)) / float(U32)).drop(a, t, s)

@@ -10,7 +10,7 @@ from netloom.functions.draws import with_draw
 from netloom.operators import coarsen, graph, layout, sampling, search, spatial
 from netloom.operators.attributes import Attributes, OneOf, Range, Style, read_attributes, visible_edges
 from netloom.plans import sql
-from netloom.plans.lineage import folder
+from netloom.plans.lineage import cut, folder
 from netloom.plans.sql import q
 from netloom.sources import tables
 from netloom.sources.edges import read_records, validity
@@ -357,7 +357,8 @@ def prolongate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _placed(spark: SparkSession, d: str) -> DataFrame:
-    return layout.square_positions(tables.supply_nodes(spark, d), SEED)
+    """Positions, written, as the grid and the search both read them."""
+    return cut(layout.square_positions(tables.supply_nodes(spark, d), SEED))
 
 
 @query(q("SELECT cell, count(*) AS n FROM placed GROUP BY cell", sql.POSITIONS + sql.GRID))
