@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from netloom.operators.graph import symmetrize
 from netloom.operators.index import dense_index
-from netloom.plans.lineage import cut
+from netloom.plans.lineage import written
 
 TARGET_NODES, MAX_LEVELS, MAX_CLUSTER, SWEEPS = 10_000, 12, 32, 5
 #: A level that keeps more than this share of the nodes is not worth having.
@@ -47,7 +47,7 @@ def propagate(sym: DataFrame, nodes: DataFrame, cap: int = MAX_CLUSTER, sweeps:
     labels = nodes.select(F.col("idx").alias("node"), F.col("idx").alias("label"))
     quiet = 0
     for turn in range(2 * sweeps):
-        stepped = cut(sweep(sym, labels, turn, cap, seed))
+        stepped = written(sweep(sym, labels, turn, cap, seed), "labels")
         labels = stepped.select("node", "label")
         quiet = quiet + 1 if stepped.where("moved").isEmpty() else 0
         if quiet == 2:
@@ -76,15 +76,15 @@ def checksum(sym: DataFrame) -> DataFrame:
 
 def build_hierarchy(edges: DataFrame, nodes: DataFrame, target: int = TARGET_NODES, max_levels: int = MAX_LEVELS, cap: int = MAX_CLUSTER, sweeps: int = SWEEPS, weighted: bool = False) -> list[dict]:
     """Levels, the finest first: each a dict of ``nodes`` (idx), ``n``, ``sym`` and ``parent`` (node, coarse; None at the last)."""
-    sym, nodes = cut(symmetrize(edges, weighted)), nodes.select("idx")
+    sym, nodes = written(symmetrize(edges, weighted), "arcs"), nodes.select("idx")
     levels = [{"nodes": nodes, "n": nodes.count(), "sym": sym, "parent": None}]
     while levels[-1]["n"] > target and len(levels) < max_levels:
         top = levels[-1]
-        parent = cut(compact(propagate(top["sym"], top["nodes"], cap, sweeps)))
+        parent = written(compact(propagate(top["sym"], top["nodes"], cap, sweeps)), "parents")
         coarse = parent.select(F.col("coarse").alias("idx")).distinct()
         n = coarse.count()
         if n * SHRINK[0] > top["n"] * SHRINK[1]:
             break
         top["parent"] = parent
-        levels.append({"nodes": coarse, "n": n, "sym": cut(contract(top["sym"], parent)), "parent": None})
+        levels.append({"nodes": coarse, "n": n, "sym": written(contract(top["sym"], parent), "arcs"), "parent": None})
     return levels

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from netloom.functions.draws import with_draw
 from netloom.operators.coarsen import build_hierarchy
 from netloom.plans.joins import SMALL_ROWS
-from netloom.plans.lineage import cut
+from netloom.plans.lineage import written
 
 # Fixed values of the layout.
 WORLD, FINE, COARSE, SOFTEN, GOLDEN = 4096.0, 128, 16, 0.01, 0x9E3779B9
@@ -185,10 +185,10 @@ def layout(edges: DataFrame, nodes: DataFrame, seed: int = 42, most_nodes: int =
         if at < len(levels) - 1:
             positions = prolongate(level["parent"], positions, levels[at + 1]["n"], at + 1, seed)
         n, count = level["n"], steps if steps is not None else steps_of(at, len(levels), level["n"], most_nodes)
-        positions = cut(positions)
-        weighed = cut(links(level["sym"], n)) if count else None
+        positions = written(positions, "positions")
+        weighed = written(links(level["sym"], n), "links") if count else None
         for i in range(count):
-            positions = cut(moved(weighed, positions, n, step_size(i, count, n, at == len(levels) - 1)))
+            positions = written(moved(weighed, positions, n, step_size(i, count, n, at == len(levels) - 1)), "positions")
     return positions
 
 

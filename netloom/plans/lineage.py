@@ -15,6 +15,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder. For loops: what is read back has the size of its files, where a checkpoint keeps the size that was
+    estimated for its joins, a product that grows with every round until planning takes longer than the work."""
+    path = folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def folder(spark: SparkSession, name: str) -> str:
     """The path of a new folder beside the checkpoints, which all executors share."""
     return f"{_shared(spark)}/{name}-{uuid.uuid4().hex}"
