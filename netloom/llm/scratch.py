@@ -6,8 +6,10 @@ executor costs the recomputation of its tasks and nothing else. A folder of our
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +26,22 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+@contextlib.contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """A query that is written inside loses its shuffle files when it ends: what it gave is read from the table and never computed again.
+    Else they stay until the driver happens to collect its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 class Scratch:
     """``keep`` cuts lineage by writing a table and reading it again; ``close`` removes what the run no longer needs."""
 
@@ -37,14 +55,16 @@ class Scratch:
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         schema = df.schema
-        df.write.parquet(path)
+        with shuffles_removed(self.spark):
+            df.write.parquet(path)
         return self.spark.read.schema(schema).parquet(path)
 
     def bucketed(self, df: DataFrame, name: str, key: str, deal: bool = True) -> DataFrame:
         """A warehouse table bucketed by ``key``: later joins on the key don't move its rows. Rows are dealt by the key first (``deal``), so that
         each bucket is one file."""
         table, buckets = f"netloom_{self.id}_{name}", self.buckets
-        (df.repartition(buckets, key) if deal else df).write.format("parquet").bucketBy(buckets, key).saveAsTable(table)
+        with shuffles_removed(self.spark):
+            (df.repartition(buckets, key) if deal else df).write.format("parquet").bucketBy(buckets, key).saveAsTable(table)
         self.tables.append(table)
         return self.spark.table(table)
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm.blocks import answered, answers, decode, distinct, range_of, ranges, rows_of, summed, write_blocks
+from netloom.llm.blocks import answered, answers, decode, distinct, pack, range_of, ranges, rows_of, summed, unpack, write_blocks
 from netloom.llm.memory import tidy
 from netloom.llm.scratch import Scratch
 from netloom.llm.words import Words, mix
@@ -50,17 +50,19 @@ def held_out(ids: list) -> np.ndarray:
 
 
 def numbered(table: pa.Table) -> pa.Table:
-    """A block's texts as numbers: its distinct symbols' hashes and, for each document, the numbers of its symbols in these."""
+    """A block's texts as numbers: its distinct symbols' hashes, the frequent ones first, and the numbers of all its symbols in these."""
     words = Words(table.column("text"), lower=True)
     n = len(words.counts)
     first = words.first + np.arange(n + 1)
     h = np.full(len(words) + n, _END, np.uint64)
     h[np.arange(len(words)) + words.doc] = words.hashes()
     vocabulary, _, number = distinct(h)
-    # one list column for the vocabulary: held by the block's first row
-    lists = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.full(n, len(vocabulary))])), pa.array(vocabulary))
-    symbols = pa.LargeListArray.from_arrays(pa.array(first), pa.array(number.astype(np.uint32)))
-    return pa.table({"doc_id": table.column("doc_id"), "symbols": symbols, "vocabulary": lists})
+    order = np.argsort(-np.bincount(number, minlength=len(vocabulary)), kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    # what is the whole block's is held by its first row
+    once = lambda raw: pa.array([raw] + [b""] * (n - 1), pa.large_binary())
+    return pa.table({"doc_id": table.column("doc_id"), "size": pa.array(np.diff(first)), "symbols": once(pack(rank[number])), "vocabulary": once(vocabulary[order].tobytes())})
 
 
 class _Tree:
@@ -69,13 +71,12 @@ class _Tree:
     def __init__(self, payload):
         table = decode(payload)
         self.ids = table.column("doc_id").to_pylist()
-        symbols = table.column("symbols").combine_chunks()
-        self.number = symbols.values.to_numpy().astype(np.int64)
-        self.first = symbols.offsets.to_numpy()
+        self.first = np.concatenate([[0], np.cumsum(table.column("size").to_numpy())])
+        self.number = unpack(table.column("symbols")[0].as_py(), int(self.first[-1])).astype(np.int64)
         self.doc = np.repeat(np.arange(len(self.ids)), np.diff(self.first))
         self.place = np.arange(len(self.number)) - self.first[self.doc]
         self.train = ~held_out(self.ids)[self.doc] if len(self.ids) else np.zeros(0, bool)
-        self.vocabulary = table.column("vocabulary").combine_chunks().values.to_numpy()
+        self.vocabulary = np.frombuffer(table.column("vocabulary")[0].as_py(), np.uint64)
         self.key = self.vocabulary
         self.gram = self.number  # of each position: the number of the n-gram that ends there, or -1
         self.at = np.arange(len(self.number))
