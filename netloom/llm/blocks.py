@@ -35,13 +35,22 @@ ONE_BY_ONE = 128
 
 
 def pack(a: np.ndarray) -> bytes:
-    """Integers, byte by byte of equal weight together, compressed."""
-    return pa.compress(np.ascontiguousarray(a, np.uint64).view(np.uint8).reshape(len(a), 8).T.tobytes(), codec="zstd", asbytes=True)
+    """Integers, byte by byte of equal weight together, each weight compressed by itself: which weights have bytes other than 0, then for each of
+    these its size and its bytes."""
+    planes = np.ascontiguousarray(np.ascontiguousarray(a, np.uint64).view(np.uint8).reshape(len(a), 8).T)
+    used = [k for k in range(8) if planes[k].any()]
+    raw = [pa.compress(planes[k].tobytes(), codec="zstd", asbytes=True) for k in used]
+    return b"".join([bytes([sum(1 << k for k in used)]), *(len(x).to_bytes(4, "little") + x for x in raw)])
 
 
 def unpack(raw: bytes, n: int) -> np.ndarray:
-    planes = pa.decompress(raw, n * 8, codec="zstd", asbytes=True)
-    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, n).T).view(np.uint64).reshape(n)
+    planes, at = np.zeros((8, n), np.uint8), 1
+    for k in range(8):
+        if raw[0] >> k & 1:
+            size = int.from_bytes(raw[at : at + 4], "little")
+            planes[k] = np.frombuffer(pa.decompress(raw[at + 4 : at + 4 + size], n, codec="zstd", asbytes=True), np.uint8)
+            at += 4 + size
+    return np.ascontiguousarray(planes.T).view(np.uint64).reshape(n)
 
 
 def parts_of(values: np.ndarray, edges: np.ndarray) -> pa.LargeBinaryArray:
@@ -175,36 +184,40 @@ def ranges(blocks: DataFrame, range_bytes: int = RANGE_BYTES) -> int:
     return 1 << max(2, (int(total) // range_bytes).bit_length())
 
 
-def asked(keys: np.ndarray, values: list[np.ndarray], block: int, n_ranges: int) -> pa.RecordBatch | None:
+def asked(keys: np.ndarray, values: list[np.ndarray], block: int, n_ranges: int, plain: int = 0) -> pa.RecordBatch | None:
     """Rows (range, block, n, keys, v0...) of sorted distinct keys; a key's range is its highest bits. A row for each range that the block has
-    keys of: no more than its keys, however many ranges there are."""
+    keys of: no more than its keys, however many ranges there are. The lowest ``plain`` bits of keys are written as they are, the rest as steps."""
     if not len(keys):
         return None
     part = range_of(keys, n_ranges)
     begins = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1])
     edges = np.append(begins, len(keys))
-    steps = np.diff(keys, prepend=np.uint64(0))
-    steps[begins] = keys[begins]
+    high = keys >> np.uint64(plain)
+    steps = np.diff(high, prepend=np.uint64(0))
+    steps[begins] = high[begins]
+    steps = steps << np.uint64(plain) | keys & np.uint64((1 << plain) - 1)
     rows = {"range": pa.array(part[begins], pa.int32()), "block": pa.array(np.full(len(begins), block), pa.int64()), "n": pa.array(np.diff(edges), pa.int32()), "keys": parts_of(steps, edges)}
     return pa.RecordBatch.from_pydict(rows | {f"v{i}": parts_of(signed(v), edges) for i, v in enumerate(values)})
 
 
-def merged(table: pa.Table, n_values: int, merge: Callable) -> pa.Table:
-    """Rows (block, range, n, r0...) of the rows that ``asked`` made for one range."""
+def merged(table: pa.Table, n_values: int, merge: Callable, plain: int = 0) -> pa.Table:
+    """Rows (block, range, n, r0...) of the rows that ``asked`` made for one range. They are merged in the order of their blocks, whatever the
+    order they come in, so that a task that runs again says the same."""
+    table = table.take(np.argsort(table.column("block").to_numpy(), kind="stable"))
     size = np.asarray(table.column("n"), np.int64)
     steps = values_of(table.column("keys"), size)
     edges = np.concatenate([[0], np.cumsum(size)])
-    run = np.cumsum(steps, dtype=np.uint64)
+    run = np.cumsum(steps >> np.uint64(plain), dtype=np.uint64)
     before = np.where(edges[:-1] > 0, run[edges[:-1] - 1], np.uint64(0))
-    keys = run - np.repeat(before, size)
+    keys = (run - np.repeat(before, size)) << np.uint64(plain) | steps & np.uint64((1 << plain) - 1)
     results = merge(keys, [unsigned(values_of(table.column(f"v{i}"), size)) for i in range(n_values)])
     return pa.table({"block": table.column("block"), "range": table.column("range"), "n": table.column("n"), **{f"r{i}": parts_of(signed(r), edges) for i, r in enumerate(results)}})
 
 
-def answers(scratch: Scratch, rows: DataFrame, n_ranges: int, ask: Callable, n_values: int, name: str, merge: Callable, n_results: int) -> DataFrame:
+def answers(scratch: Scratch, rows: DataFrame, n_ranges: int, ask: Callable, n_values: int, name: str, merge: Callable, n_results: int, plain: int = 0) -> DataFrame:
     """One round: ``ask(row)`` (a dict of a block's columns) gives sorted distinct uint64 keys and ``n_values`` arrays of integers;
     ``merge(keys, values)`` gets those of one range from all blocks, one after another, and gives ``n_results`` arrays in that order.
-    Returns block, ``name``: the list of answers by range, for ``answered``; bucketed as the blocks are, so that rounds to come don't move
+    ``plain`` as for ``asked``. Returns block, ``name``: the list of answers by range, for ``answered``; bucketed as the blocks are, so that rounds to come don't move
     them again."""
     values, results = "".join(f", v{i} binary" for i in range(n_values)), "".join(f", r{i} binary" for i in range(n_results))
 
@@ -212,11 +225,11 @@ def answers(scratch: Scratch, rows: DataFrame, n_ranges: int, ask: Callable, n_v
         for batch in batches:
             for row in rows_of(batch):
                 keys, found = ask(row)
-                if (out := asked(keys, found, row["block"], n_ranges)) is not None:
+                if (out := asked(keys, found, row["block"], n_ranges, plain)) is not None:
                     yield out.cast(pa.schema([f.with_type(pa.binary()) if f.type == pa.large_binary() else f for f in out.schema]))
 
     def add(table: pa.Table) -> pa.Table:
-        out = merged(table, n_values, merge)
+        out = merged(table, n_values, merge, plain)
         return out.cast(pa.schema([f.with_type(pa.binary()) if f.type == pa.large_binary() else f for f in out.schema]))
 
     sent = rows.mapInArrow(tidy(send), f"range int, block long, n int, keys binary{values}")

@@ -60,9 +60,9 @@ def numbered(table: pa.Table) -> pa.Table:
     order = np.argsort(-np.bincount(number, minlength=len(vocabulary)), kind="stable")
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
-    # what is the whole block's is held by its first row
+    # what is the whole block's is held by its first row; equally frequent symbols are sorted by their hashes, so steps are small
     once = lambda raw: pa.array([raw] + [b""] * (n - 1), pa.large_binary())
-    return pa.table({"doc_id": table.column("doc_id"), "size": pa.array(np.diff(first)), "symbols": once(pack(rank[number])), "vocabulary": once(vocabulary[order].tobytes())})
+    return pa.table({"doc_id": table.column("doc_id"), "size": pa.array(np.diff(first)), "symbols": once(pack(rank[number])), "vocabulary": once(pack(np.diff(vocabulary[order], prepend=np.uint64(0))))})
 
 
 class _Tree:
@@ -76,7 +76,7 @@ class _Tree:
         self.doc = np.repeat(np.arange(len(self.ids)), np.diff(self.first))
         self.place = np.arange(len(self.number)) - self.first[self.doc]
         self.train = ~held_out(self.ids)[self.doc] if len(self.ids) else np.zeros(0, bool)
-        self.vocabulary = np.frombuffer(table.column("vocabulary")[0].as_py(), np.uint64)
+        self.vocabulary = np.cumsum(unpack(table.column("vocabulary")[0].as_py(), int(self.number.max()) + 1), dtype=np.uint64)
         self.key = self.vocabulary
         self.gram = self.number  # of each position: the number of the n-gram that ends there, or -1
         self.at = np.arange(len(self.number))
@@ -97,7 +97,7 @@ class _Tree:
         if not self.depth:
             self.word = self.id
 
-    def climb(self, total: int, min_count: int, bits: tuple[int, int]) -> None:
+    def climb(self, total: int, min_count: int, bits: tuple[int, int], n_ranges: int) -> None:
         """To the n-grams one longer, at positions whose context may be retained. ``bits``: of the numbers of contexts and of words."""
         below = self.gram
         before = np.full(len(below), -1)
@@ -108,7 +108,7 @@ class _Tree:
         at = np.flatnonzero(ok)
         _, index, number = distinct((before[at] << 32) | self.number[at])
         context = before[at][index]
-        self.lower_key = _aligned(self.id, bits[0])
+        self.lower_key = _aligned(self.id, n_ranges)
         self.context_of, self.context_count = context, self.count[context]
         w_below = below[at][index]  # the n-gram of the suffix and the symbol
         suffix_count = self.suffix_counts[at][index] if self.depth else total
@@ -116,7 +116,7 @@ class _Tree:
         suffix_counts = np.zeros(len(below), np.int64)
         suffix_counts[at] = self.count[before[at]]
         self.suffix_counts = suffix_counts  # of each position: how often its context of the new level occurs
-        self.key = _joined(self.id[context], self.word[self.number[at][index]], *bits)
+        self.key = _joined(self.id[context], self.word[self.number[at][index]], *bits, n_ranges)
         gram = np.full(len(below), -1)
         gram[at] = number
         self.gram, self.at = gram, at
@@ -142,17 +142,29 @@ class _Tree:
         self.kept = kept
 
 
-def _aligned(number: np.ndarray, bits: int) -> np.ndarray:
-    return number.astype(np.uint64) << np.uint64(64 - bits)
+def _aligned(number: np.ndarray, n_ranges: int) -> np.ndarray:
+    """A key of a number: its range, then its rank there."""
+    x, r = number.astype(np.uint64), np.uint64(n_ranges.bit_length() - 1)
+    return (x & np.uint64(n_ranges - 1)) << (np.uint64(64) - r) | x >> r
 
 
-def _joined(context: np.ndarray, word: np.ndarray, context_bits: int, word_bits: int) -> np.ndarray:
-    """A key of both numbers. A frequent context's n-grams are spread over the ranges of keys by their words."""
+def _low(context_bits: int, word_bits: int, n_ranges: int) -> int | None:
+    """The bits at the end of a key of both numbers that hold the word's rank: whole bytes, if these fit; None if the numbers don't."""
+    r = n_ranges.bit_length() - 1
+    rank = max(word_bits - r, 0)
+    return next((x for x in (-(-rank // 8) * 8, rank) if r + context_bits + x <= 64), None)
+
+
+def _joined(context: np.ndarray, word: np.ndarray, context_bits: int, word_bits: int, n_ranges: int) -> np.ndarray:
+    """A key of both numbers: a range, the context, the word's rank in the word's range. The range is the word's, moved on by the context, so that the
+    n-grams of a frequent context or word are spread over all ranges, and it tells, with the context, the word's range."""
     c, w = context.astype(np.uint64), word.astype(np.uint64)
-    if context_bits + word_bits > 64:
+    low = _low(context_bits, word_bits, n_ranges)
+    if low is None:
         return mix(mix(c) * _K + w)
-    c = (c + mix(w)) & np.uint64((1 << context_bits) - 1)
-    return ((c << np.uint64(word_bits)) | w) << np.uint64(64 - context_bits - word_bits)
+    r = np.uint64(n_ranges.bit_length() - 1)
+    part = (w + mix(c)) & np.uint64(n_ranges - 1)
+    return part << (np.uint64(64) - r) | c << np.uint64(low) | w >> r
 
 
 class Model:
@@ -174,7 +186,7 @@ class Model:
         tree.p = tree.base.copy()
         tree.in_context = np.zeros(len(tree.p), bool)
         for d in range(1, self.depth + 1):
-            tree.climb(self.total, self.min_count, (self.bits[d - 1], self.bits[0]))
+            tree.climb(self.total, self.min_count, (self.bits[d - 1], self.bits[0]), self.n_ranges)
             if answered_rounds < 2 * d:
                 break
             tree.keys()
@@ -199,14 +211,16 @@ class Model:
 
 def _count(least: int):
     """Of each entry the sum of its key, doubled, and one more for the one entry of a key that may speak for it; and the number of the key among
-    those of the range that sum up to ``least``, from 1 on."""
+    those of the range that sum up to ``least``, from 1 on, the most frequent first."""
 
     def add(keys: np.ndarray, values: list) -> list:
         each, first, which = distinct(keys)
         totals = np.bincount(which, weights=values[0], minlength=len(each)).astype(np.int64) if values[0].sum() < 1 << 53 else summed(keys, values[0])[first]
         whole, often = totals[which] * 2, totals >= least
         whole[first] += 1
-        return [whole, np.where(often, np.cumsum(often), 0)[which]]
+        number = np.zeros(len(each), np.int64)
+        number[np.argsort(np.where(often, -totals, 1), kind="stable")[: often.sum()]] = np.arange(often.sum()) + 1
+        return [whole, number[which]]
 
     return add
 
@@ -241,7 +255,8 @@ def suffix_tree_scores(spark: SparkSession, docs: DataFrame, depth: int = DEPTH,
 
     for k in range(2 * depth + 1):
         counts = k == 0 or k % 2 == 1
-        found = answers(scratch, rows, n_ranges, model.ask(k), 1, f"round{k}", _count(min_count if k else 0) if counts else _tells(min_gain), 2 if counts else 1)
+        plain = _low(model.bits[k // 2], model.bits[0], n_ranges) or 0 if k % 2 else 0
+        found = answers(scratch, rows, n_ranges, model.ask(k), 1, f"round{k}", _count(min_count if k else 0) if counts else _tells(min_gain), 2 if counts else 1, plain)
         if counts:
             n, v, most = found.mapInArrow(tidy(totals), "n long, v long, most long").agg(F.sum("n"), F.sum("v"), F.max("most")).first()
             model.bits.append(((int(most or 0) + 1) * n_ranges).bit_length())
