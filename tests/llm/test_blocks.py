@@ -38,3 +38,17 @@ def test_rows_and_time_follow_the_keys():
         assert rows.nbytes < 64 * len(keys)
     few = keys[:: 200_000 // 50]
     assert len(asked(few, [counts[:: 200_000 // 50]], 7, 1 << 30)) <= len(few)
+
+
+def test_low_bits_of_keys_are_left_as_they_are():
+    rng = np.random.default_rng(5)
+    for plain in (0, 8, 16):
+        for n in (1, 100, 5000):
+            blocks = []
+            for block in (3, 1, 2):
+                keys = np.unique(rng.integers(0, 1 << 61, n).astype(np.uint64))  # the highest bits, a range of 8, are 0
+                blocks.append((block, keys, pa.Table.from_batches([asked(keys, [np.ones(len(keys), np.int64)], block, 8, plain)])))
+            seen = []
+            out = merged(pa.concat_tables([t for _, _, t in blocks]), 1, lambda k, v, seen=seen: seen.append(k) or [summed(k, v[0])], plain)
+            assert out.column("block").to_pylist() == [1, 2, 3]
+            assert np.array_equal(seen[0], np.concatenate([k for _, k, _ in sorted(blocks, key=lambda x: x[0])]))
