@@ -16,6 +16,7 @@ MODULES = {
     "op8_suffix_tree_lm": "suffix_tree_lm",
     "op9_quality_rules": "quality_rules",
     "op10_language_id": "language_id",
+    "op11_lexical_search": "lexical_search",
 }
 
 
