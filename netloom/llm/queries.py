@@ -17,6 +17,7 @@ MODULES = {
     "op9_quality_rules": "quality_rules",
     "op10_language_id": "language_id",
     "op11_lexical_search": "lexical_search",
+    "op12_quality_svm": "quality_svm",
 }
 
 
