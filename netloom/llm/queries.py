@@ -18,6 +18,7 @@ MODULES = {
     "op10_language_id": "language_id",
     "op11_lexical_search": "lexical_search",
     "op12_quality_svm": "quality_svm",
+    "op13_collocations": "collocations",
 }
 
 
