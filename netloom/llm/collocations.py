@@ -218,7 +218,8 @@ def phrase_counts(scratch: Scratch, docs: DataFrame, least: int, block_words: in
     totals = counts.groupBy("lang").agg(F.sum("a").alias("n"))
     frequent = dense_index(counts.where(F.col("a") >= least), [F.desc("a"), "lang", "word"], "id").withColumn("id", (F.col("id") + 1).cast("int"))
     words = scratch.keep(frequent.join(totals, "lang").select("id", "lang", "word", "a", "n"), "words")
-    ids = local.join(small(words.select("lang", "word", "id")), ["lang", "word"]).groupBy("block").agg(F.collect_list(F.struct("local", "id")).alias("ids"))
+    named = local.join(small(words.select("lang", "word", "id")), ["lang", "word"], "left")
+    ids = named.groupBy("block").agg(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("local", "id"))).alias("ids"))
     rows = held.select("block", "size", "starts", "tokens").join(scratch.bucketed(ids, "ids", "block"), "block")
     shared = spark.sparkContext.broadcast(bounds_of(sampled(rows), int(spark.conf.get("spark.sql.shuffle.partitions"))))
     return words, scratch.keep(united(automata_of(rows, shared), shared, least), "phrases")
