@@ -132,7 +132,7 @@ def hash_of(text: str) -> int:
 def windows(row: dict) -> list[np.ndarray]:
     """The block's windows of two words or more: columns of the words' numbers (from 1), padded with 0."""
     tokens = unpack(row["tokens"], row["size"]).astype(np.int64)
-    table = np.zeros(int(tokens.max(initial=0) // 2) + 1, np.int64)
+    table = np.zeros(int(tokens.max(initial=0) // 2) + 1, np.int32)
     table[row["local"]] = row["id"]
     own = table[tokens >> 1]
     n = len(own)
@@ -140,8 +140,8 @@ def windows(row: dict) -> list[np.ndarray]:
     after = np.append(np.minimum.accumulate(stop[::-1])[::-1], n)[1:]
     left = np.where(own > 0, after - np.arange(n), 0)
     at = np.flatnonzero(left[: row["starts"]] >= 2)
-    own = np.concatenate([own, np.zeros(LENGTH, np.int64)])
-    return [np.where(left[at] > k, own[at + k], 0) for k in range(LENGTH)]
+    own, left = np.concatenate([own, np.zeros(LENGTH, np.int32)]), left[at].astype(np.int32)
+    return [np.where(left > k, own[at + k], np.int32(0)) for k in range(LENGTH)]
 
 
 def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
