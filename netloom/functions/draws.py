@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed values of the generator: the step between draws, and the odd constants mixed in.
-STEP, MIX = 1831565813, (1, 61)
+STEP, MIX = 0x6D2B79F5, (1, 61)
 U32 = 1 << 32
 
 
@@ -28,3 +29,12 @@ def with_draw(df: DataFrame, seed: int | Column, counter: Column, name: str) ->
     df = df.withColumn(t, _imul(F.col(a).bitwiseXOR(F.shiftright(a, 15)), F.col(a).bitwiseOR(F.lit(MIX[0]))))
     df = df.withColumn(s, _low(F.col(t) + _imul(F.col(t).bitwiseXOR(F.shiftright(t, 7)), F.col(t).bitwiseOR(F.lit(MIX[1]))), 32).bitwiseXOR(F.col(t)))
     return df.withColumn(name, F.col(s).bitwiseXOR(F.shiftright(s, 14)) / float(U32)).drop(a, t, s)
+
+
+def bits_at(seed: int, counters: np.ndarray) -> np.ndarray:
+    """The 32 bits of draws in numpy; ``with_draw`` gives them divided by 2 ** 32."""
+    low = np.uint64(U32 - 1)
+    a = ((counters.astype(np.uint64) + np.uint64(1)) * np.uint64(STEP) + np.uint64(seed % U32)) & low
+    t = (a ^ a >> np.uint64(15)) * (a | np.uint64(MIX[0])) & low
+    t = (t + ((t ^ t >> np.uint64(7)) * (t | np.uint64(MIX[1])) & low) & low) ^ t
+    return t ^ t >> np.uint64(14)

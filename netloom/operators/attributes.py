@@ -81,12 +81,22 @@ class Attributes:
         return self
 
     def _joined(self) -> DataFrame:
-        text = F.col(self.key).cast("string")
-        rank = F.row_number().over(Window.partitionBy("_key").orderBy(*self.order))
-        first = self.table.withColumn("_key", text).where("_key is not null").withColumn("_rank", rank).where("_rank = 1").drop("_rank", self.key)
-        taken = {"idx", "id", "degree"}
-        first = first.select(*(F.col(c).alias(f"{c}_1" if c.lower() in taken else c) for c in first.columns))
-        return self.nodes.join(first, F.col("id") == F.col("_key"), "left").drop("id", "_key")
+        """A row of the table travels as one struct, so no name of its columns can clash with those of the join; the first row of an id is the least by
+        ``order``, found by partial minima and without sorting an id's rows."""
+        columns = [c for c in self.table.columns if c != self.key]
+        field = lambda c: F.col("`" + c.replace("`", "``") + "`")
+        each = self.table.select(field(self.key).cast("string").alias("key"), F.struct(*map(field, self.order)).alias("order"), F.struct(F.lit(0).alias("_"), *map(field, columns)).alias("row"))
+        first = each.where("key is not null").groupBy("key").agg(F.min_by("row", "order").alias("row"))
+        taken, names = {"idx", "id", "degree"}, []
+        for c in columns:
+            name, n = c, 0
+            while name.lower() in taken or n and name in columns:
+                n += 1
+                name = f"{c}_{n}"
+            taken.add(name.lower() if name.lower() in ("idx", "id", "degree") or n else "idx")
+            names.append(name)
+        joined = self.nodes.join(first, F.col("id") == F.col("key"), "left")
+        return joined.select("idx", "degree", *(F.col("row").getField(c).alias(n) for c, n in zip(columns, names, strict=True)))
 
     def report(self) -> DataFrame:
         """rows, matched nodes, unmatched rows (null keys too), duplicates (rows without distinct keys, null ones too)."""

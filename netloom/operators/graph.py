@@ -11,8 +11,8 @@ from netloom.operators.index import dense_index
 from netloom.plans.joins import small
 from netloom.plans.lineage import cut
 
-#: Hops that exploration goes at most, and names listed of a neighbourhood.
-MAX_HOPS, LISTED = 5, 20_000
+#: Names listed of a neighbourhood.
+LISTED = 20_000
 
 
 @dataclass
@@ -107,10 +107,11 @@ def neighbour_list(graph: Graph, node: int, cap: int = LISTED) -> DataFrame:
 def khop(graph: Graph, seed: int, hops: int) -> DataFrame:
     """node, parent, hop of all nodes within ``hops`` of the seed, level by level; the seed has hop 0 and no parent. A node's parent is the
     frontier's end of the first edge, by stored row and place, that reaches it. An unknown seed reaches nothing. While frontier and nodes seen
-    are small they are broadcast, and no hop shuffles the edges."""
-    links = arcs(graph.edges).where(F.col("from") != F.col("to"))
+    are small they are broadcast, and no hop shuffles the edges; these are written once. For many hops, or many searches of a graph, write its
+    adjacency (``adjacency.Adjacency.khop``)."""
+    links = cut(arcs(graph.edges).where(F.col("from") != F.col("to")))
     seen = cut(graph.nodes.where(F.col("idx") == seed).select(F.col("idx").alias("node"), F.lit(None).cast("long").alias("parent"), F.lit(0).alias("hop")))
-    for hop in range(1, min(hops, MAX_HOPS) + 1):
+    for hop in range(1, hops + 1):
         frontier = small(seen.where(F.col("hop") == hop - 1).select(F.col("node").alias("from")))
         reached = links.join(frontier, "from").join(small(seen.select(F.col("node").alias("to"))), "to", "left_anti")
         fresh = cut(reached.groupBy(F.col("to").alias("node")).agg(F.min_by("from", F.struct("row", "seq")).alias("parent")).withColumn("hop", F.lit(hop)))

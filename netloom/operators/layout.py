@@ -1,4 +1,4 @@
-"""Force-directed layout as tables: seeded positions, one force step, levels from coarse to fine.
+"""Force-directed layout as tables: seeded positions, placing a level near its parents, schedules, and one force step.
 
 Repulsion is by cells: the sums of the nodes of each cell of a fine grid (128 * 128 rows at most, whatever the graph) and of a coarse one stand
 for them and go to every task, so a step needs one small grouped table and one join of the arcs with the positions. Sums of positions are of
@@ -15,9 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netloom.functions.draws import with_draw
-from netloom.operators.coarsen import build_hierarchy
 from netloom.plans.joins import SMALL_ROWS
-from netloom.plans.lineage import written
+from netloom.plans.lineage import cut
 
 # Fixed values of the layout.
 WORLD, FINE, COARSE, SOFTEN, GOLDEN = 4096.0, 128, 16, 0.01, 0x9E3779B9
@@ -99,6 +98,7 @@ def pulls(links: DataFrame, positions: DataFrame, near: bool) -> DataFrame:
 
 
 def springs(sym: DataFrame, positions: DataFrame, nodes: int, forces: Forces = Forces()) -> DataFrame:
+    sym, positions = cut(sym), cut(positions)
     return pulls(links(sym, nodes, forces), positions, nodes <= SMALL_ROWS)
 
 
@@ -161,7 +161,9 @@ def repulsion(positions: DataFrame, nodes: int, forces: Forces = Forces()) -> Da
 
 
 def force_step(sym: DataFrame, positions: DataFrame, nodes: int, step: float, forces: Forces = Forces()) -> DataFrame:
-    """idx, x, y after one step of all nodes at once; none moves further than ``step`` or leaves the world."""
+    """idx, x, y after one step of all nodes at once; none moves further than ``step`` or leaves the world. Both tables
+    are written first, as each is read several times."""
+    sym, positions = cut(sym), cut(positions)
     return moved(links(sym, nodes, forces), positions, nodes, step, forces)
 
 
@@ -175,23 +177,6 @@ def moved(links: DataFrame, positions: DataFrame, nodes: int, step: float, force
     return both.selectExpr("idx", to("x"), to("y"))
 
 
-def layout(edges: DataFrame, nodes: DataFrame, seed: int = 42, most_nodes: int = 1_000_000, steps: int | None = None, weighted: bool = False, **hierarchy) -> DataFrame:
-    """idx, x, y: the coarsest level is laid out first, each finer one from where its parents lie. Levels of more than ``most_nodes`` nodes
-    stay where their parents put them; ``steps`` overrules the iterations of a level."""
-    levels = build_hierarchy(edges, nodes, weighted=weighted, **hierarchy)
-    positions = disc_positions(levels[-1]["nodes"], seed)
-    for at in range(len(levels) - 1, -1, -1):
-        level = levels[at]
-        if at < len(levels) - 1:
-            positions = prolongate(level["parent"], positions, levels[at + 1]["n"], at + 1, seed)
-        n, count = level["n"], steps if steps is not None else steps_of(at, len(levels), level["n"], most_nodes)
-        positions = written(positions, "positions")
-        weighed = written(links(level["sym"], n), "links") if count else None
-        for i in range(count):
-            positions = written(moved(weighed, positions, n, step_size(i, count, n, at == len(levels) - 1)), "positions")
-    return positions
-
-
 def health(positions: DataFrame) -> DataFrame:
     """n, bad (not finite), extents, centroid, collapsed."""
     bad = F.isnan("x") | F.isnan("y") | (F.abs("x") == float("inf")) | (F.abs("y") == float("inf"))

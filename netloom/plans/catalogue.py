@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from netloom.functions import lod, styling
 from netloom.functions.draws import with_draw
-from netloom.operators import coarsen, graph, layout, sampling, search, spatial
+from netloom.operators import adjacency, coarsen, graph, layout, sampling, search, search_index, spatial, spatial_index
 from netloom.operators.attributes import Attributes, OneOf, Range, Style, read_attributes, visible_edges
 from netloom.plans import sql
 from netloom.plans.lineage import cut, folder
 from netloom.plans.sql import q
 from netloom.sources import tables
+from netloom.sources.clustered import write_clustered
 from netloom.sources.edges import read_records, validity
 from netloom.sources.mapping import Mapping
 
@@ -154,6 +155,50 @@ def level_checksum(spark: SparkSession, d: str) -> DataFrame:
     return one.union(two)
 
 
+# --- the same over an adjacency on disk
+
+
+@query(ORACLES["adjacency_row"])
+def stored_row(spark: SparkSession, d: str) -> DataFrame:
+    return adjacency.stored(tables.supply(spark, d)).row(0)
+
+
+@query(ORACLES["neighbours_1hop"])
+def stored_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return adjacency.stored(tables.supply(spark, d)).neighbours(5)
+
+
+@query(ORACLES["neighbours_capped"])
+def stored_neighbours_capped(spark: SparkSession, d: str) -> DataFrame:
+    return adjacency.stored(tables.supply(spark, d)).neighbour_list(0, 100)
+
+
+@query(ORACLES["khop_parents_2"])
+def stored_khop_2(spark: SparkSession, d: str) -> DataFrame:
+    return _long(adjacency.stored(tables.supply(spark, d)).khop(0, 2), "hop")
+
+
+@query(ORACLES["khop_parents_4"])
+def stored_khop_4(spark: SparkSession, d: str) -> DataFrame:
+    return _long(adjacency.stored(tables.geography(spark, d)).khop(3, 4), "hop")
+
+
+@query(sql.recursive(sql.SEQUELS) + """, arcs AS (SELECT src AS f, dst AS t FROM edges UNION ALL SELECT dst, src FROM edges),
+reached AS (SELECT idx AS node, CAST(NULL AS BIGINT) AS parent, CAST(0 AS BIGINT) AS hop FROM nodes WHERE id = 'n3' UNION ALL SELECT a.t, r.node, r.hop + 1 FROM reached r JOIN arcs a ON a.f = r.node WHERE a.t <> coalesce(r.parent, -1))
+SELECT node, parent, hop FROM reached""")
+def khop_to_the_end(spark: SparkSession, d: str) -> DataFrame:
+    """All that a nation's customers' orders lead to, however many hops away."""
+    g = tables.sequels(spark, d)
+    seed = g.nodes.where("id = 'n3'").select("idx").first()
+    return _long(adjacency.stored(g).khop(seed[0] if seed else -1), "hop")
+
+
+@query(ORACLES["isolate_edges"])
+def stored_isolate_edges(spark: SparkSession, d: str) -> DataFrame:
+    a = adjacency.stored(tables.supply(spark, d))
+    return a.induced(a.khop(0, 1).select(F.col("node").alias("idx")))
+
+
 # --- symmetric graphs, labels, contraction
 
 
@@ -328,6 +373,31 @@ def search_truncated(spark: SparkSession, d: str) -> DataFrame:
     return search.search_nodes(tables.supply_nodes(spark, d), "p1", 20)
 
 
+def _indexed(spark: SparkSession, d: str) -> search_index.SearchIndex:
+    return search_index.indexed(tables.supply_nodes(spark, d))
+
+
+@query(_search("S1", 50))
+def stored_search_prefix(spark: SparkSession, d: str) -> DataFrame:
+    return _indexed(spark, d).search("S1", 50)
+
+
+@query(_search("77", 50))
+def stored_search_infix(spark: SparkSession, d: str) -> DataFrame:
+    return _indexed(spark, d).search("77", 50)
+
+
+@query(_search("p1", 20))
+def stored_search_truncated(spark: SparkSession, d: str) -> DataFrame:
+    return _indexed(spark, d).search("p1", 20)
+
+
+@query(_search("P112", 50))
+def stored_search_longer(spark: SparkSession, d: str) -> DataFrame:
+    """More characters than a gram has."""
+    return _indexed(spark, d).search("P112", 50)
+
+
 # --- draws and positions
 
 
@@ -391,6 +461,26 @@ def pick_nearest(spark: SparkSession, d: str) -> DataFrame:
     return spatial.pick(spatial.build_grid(p), p, 2000, 2100, 300)
 
 
+@query(ORACLES["nodes_in_rect"])
+def stored_rect(spark: SparkSession, d: str) -> DataFrame:
+    return spatial_index.indexed(_placed(spark, d)).nodes_in_rect(1000, 500, 2000, 1800)
+
+
+@query(ORACLES["nodes_in_rect_capped"])
+def stored_rect_capped(spark: SparkSession, d: str) -> DataFrame:
+    return spatial_index.indexed(_placed(spark, d)).nodes_in_rect(1000, 500, 2000, 1800, cap=40)
+
+
+@query(ORACLES["visible_count"])
+def stored_visible_count(spark: SparkSession, d: str) -> DataFrame:
+    return spatial_index.indexed(_placed(spark, d)).visible_count(1000, 500, 2000, 1800)
+
+
+@query(ORACLES["pick_nearest"])
+def stored_pick(spark: SparkSession, d: str) -> DataFrame:
+    return spatial_index.indexed(_placed(spark, d)).pick(2000, 2100, 300)
+
+
 # --- forces
 
 
@@ -426,12 +516,6 @@ def separation(spark: SparkSession, d: str) -> DataFrame:
     return layout.separation(p, p.select("idx", (F.col("idx") % 40).alias("community"))).select(*(F.round(c, 6).alias(c) for c in ("intra", "inter", "ratio")))
 
 
-@query()
-def multilevel_layout_health(spark: SparkSession, d: str) -> DataFrame:
-    g = tables.geography(spark, d)
-    return layout.health(layout.layout(g.edges, g.nodes, SEED, target=200))
-
-
 @query(q("SELECT count(*) AS n, bit_xor(CAST('0x' || substr(md5(idx || ',' || CAST(floor(CAST(x AS DOUBLE) * 1048576) AS BIGINT) || ',' || CAST(floor(CAST(y AS DOUBLE) * 1048576) AS BIGINT)), 1, 15) AS BIGINT)) AS hash FROM pos", sql.POSITIONS))
 def layout_fingerprint(spark: SparkSession, d: str) -> DataFrame:
     return layout.fingerprint(_placed(spark, d))
@@ -458,6 +542,35 @@ def edge_sample(spark: SparkSession, d: str) -> DataFrame:
     return sampling.sample_edges(tables.supply(spark, d).edges, 500, SEED)
 
 
+def _edges_by_seq(spark: SparkSession, d: str):
+    """Edges on disk by seq, and how many there are."""
+    edges = cut(tables.supply(spark, d).edges.select("seq", "src", "dst"))
+    m = edges.count()
+    return write_clustered(edges, folder(spark, "edges"), "seq", max(m - 1, 0), m), m
+
+
+@query(sql.recursive(q("SELECT seq, place FROM edges JOIN placed_at ON n = seq", sql.permuted("SELECT count(*) FROM edges", SEED))))
+def edge_order(spark: SparkSession, d: str) -> DataFrame:
+    edges = cut(tables.supply(spark, d).edges.select("seq"))
+    return sampling.ranked(edges, edges.count(), seed=SEED)
+
+
+@query(sql.recursive(q("SELECT seq, src, dst, place FROM edges JOIN placed_at ON n = seq WHERE place < 500", sql.permuted("SELECT count(*) FROM edges", SEED))))
+def edge_order_beginning(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.first_places(*_edges_by_seq(spark, d), 500, SEED)
+
+
+@query(sql.recursive(q("SELECT idx, id, place FROM nodes JOIN placed_at ON n = idx", sql.permuted("SELECT count(*) FROM nodes", SEED + 1))))
+def node_rank(spark: SparkSession, d: str) -> DataFrame:
+    nodes = cut(tables.supply_nodes(spark, d).select("idx", "id"))
+    return sampling.ranked(nodes, nodes.count(), "idx", SEED + 1)
+
+
+@query(sql.recursive(q("SELECT j AS draw, seq, src, dst FROM edges JOIN drawn ON pick = seq", sql.swaps("SELECT count(*) FROM edges", 400, SEED))))
+def edge_sample_stored(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.sample_stored(*_edges_by_seq(spark, d), 400, SEED)
+
+
 @query(q("SELECT CAST(14 + sum(4 + length(CAST(src AS VARCHAR)) + length(CAST(dst AS VARCHAR))) AS BIGINT) AS bytes FROM edges"))
 def csv_size(spark: SparkSession, d: str) -> DataFrame:
     from netloom.sources.generate import csv_bytes

@@ -15,6 +15,7 @@ edges AS (SELECT e0.seq, a.idx AS src, b.idx AS dst, e0.w AS weight FROM e0 JOIN
 
 SUPPLY = _graph("SELECT CAST(row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_suppkey, l_partkey, l_quantity) - 1 AS BIGINT) AS seq, 's' || l_suppkey AS s, 'p' || l_partkey AS d, CAST(l_quantity AS DOUBLE) AS w FROM lineitem")
 GEO = _graph("SELECT CAST(row_number() OVER (ORDER BY s, d) - 1 AS BIGINT) AS seq, s, d, CAST(NULL AS DOUBLE) AS w FROM (SELECT 'n' || n_nationkey AS s, 'r' || n_regionkey AS d FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier)")
+SEQUELS = _graph("SELECT CAST(row_number() OVER (ORDER BY s, d) - 1 AS BIGINT) AS seq, s, d, CAST(NULL AS DOUBLE) AS w FROM (SELECT coalesce('o' || lag(o_orderkey) OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderkey), 'c' || o_custkey) AS s, 'o' || o_orderkey AS d FROM orders UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer)")
 VISITS = _graph("SELECT CAST(row_number() OVER (ORDER BY event_id) - 1 AS BIGINT) AS seq, 'u' || user_id AS s, event_type AS d, CAST(value AS DOUBLE) AS w FROM events WHERE user_id IS NOT NULL AND event_type IS NOT NULL")
 WEB = _graph("SELECT CAST(row_number() OVER (ORDER BY page_id, n) - 1 AS BIGINT) AS seq, url AS s, href AS d, CAST(NULL AS DOUBLE) AS w FROM (SELECT page_id, url, unnest(l) AS href, generate_subscripts(l, 1) AS n FROM (SELECT page_id, url, regexp_extract_all(html, 'href=\"([^\"]*)\"', 1) AS l FROM pages)) WHERE url IS NOT NULL")
 _MORE = """, degrees AS (SELECT n.idx, n.id, coalesce(c.k, 0) AS degree FROM nodes n LEFT JOIN (SELECT idx, count(*) AS k FROM (SELECT src AS idx FROM edges UNION ALL SELECT dst FROM edges) GROUP BY idx) c ON n.idx = c.idx),
@@ -54,6 +55,34 @@ def draws(counters: str, seed: int, name: str = "u") -> str:
 """
 
 
+def permuted(size: str, seed: int, rounds: int = 6) -> str:
+    """``placed_at`` (n, place): where each of the numbers below ``size`` (a scalar query) stands in the keyed order."""
+    out = f""", root AS (SELECT m, CAST(greatest(1, floor(sqrt(m))) AS BIGINT) AS s FROM (SELECT ({size}) AS m)),
+ab AS (SELECT a, (m + a - 1) // a AS b, m FROM (SELECT m, unnest(range(s, 2 * s + 1)) AS a FROM root) ORDER BY ((m + a - 1) // a) * a - m, a LIMIT 1),
+x0 AS (SELECT x, x // b AS l, x % b AS r FROM (SELECT unnest(range(a * b)) AS x, b FROM ab))
+"""
+    for i in range(rounds):
+        out += draws("SELECT unnest(range(greatest(a, b))) AS k FROM ab", (seed + i * 0x9E3779B9) % (1 << 32), f"f{i}")
+        own, other, side = ("l", "r", "a") if i % 2 == 0 else ("r", "l", "b")
+        out += f", x{i + 1} AS (SELECT x, {other}, CAST(({own} + floor(u * {side})) % {side} AS BIGINT) AS {own} FROM x{i} JOIN f{i} ON k = {other}, ab)\n"
+    return out + f""", p AS (SELECT x, l * b + r AS y FROM x{rounds}, ab),
+walk AS (SELECT x AS n, y FROM p, ab WHERE x < m UNION ALL SELECT w.n, p.y FROM walk w JOIN p ON p.x = w.y, ab WHERE w.y >= m),
+placed_at AS (SELECT n, y AS place FROM walk, ab WHERE y < m)
+"""
+
+
+def swaps(size: str, k: int, seed: int) -> str:
+    """``drawn`` (j, pick): the first ``k`` steps of a shuffle of the numbers below ``size``, with a map of the places that were swapped."""
+    return draws(f"SELECT unnest(range({2 * k})) AS k", seed, "g") + f""", z AS (SELECT a.k // 2 AS j, a.k // 2 + CAST((CAST(a.u * 4294967296 AS HUGEINT) * 4294967296 + CAST(b.u * 4294967296 AS HUGEINT)) * (m - a.k // 2) // 18446744073709551616 AS BIGINT) AS spot FROM g a JOIN g b ON b.k = a.k + 1, (SELECT ({size}) AS m) WHERE a.k % 2 = 0),
+drawn AS (SELECT j, spot AS pick, MAP([spot], [j]) AS moved FROM z WHERE j = 0
+    UNION ALL SELECT z.j, coalesce(map_extract(d.moved, z.spot)[1], z.spot), map_concat(d.moved, MAP([z.spot], [coalesce(map_extract(d.moved, z.j)[1], z.j)])) FROM drawn d JOIN z ON z.j = d.j + 1)
+"""
+
+
+def recursive(query: str) -> str:
+    return query.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 POSITIONS = draws("SELECT 2 * idx AS k FROM nodes UNION ALL SELECT 2 * idx + 1 FROM nodes", 42) + """, pos AS (SELECT n.idx, CAST(a.u * 4096 AS FLOAT) AS x, CAST(b.u * 4096 AS FLOAT) AS y FROM nodes n JOIN u a ON a.k = 2 * n.idx JOIN u b ON b.k = 2 * n.idx + 1)
 """
 GRID = """, grid AS (SELECT axis, x0, y0, greatest(x1 - x0, y1 - y0, 1e-6) / axis AS side FROM (SELECT greatest(1, least(1024, CAST(floor(sqrt(count(*) / 2)) AS BIGINT))) AS axis, CAST(min(x) AS DOUBLE) AS x0, CAST(min(y) AS DOUBLE) AS y0, CAST(max(x) AS DOUBLE) AS x1, CAST(max(y) AS DOUBLE) AS y1 FROM pos)),

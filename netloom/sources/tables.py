@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from netloom.operators.graph import Graph, first_seen, intern, intern_unnumbered
@@ -45,6 +45,14 @@ def geography(spark: SparkSession, sf_dir: str) -> Graph:
     return intern(from_table(rows, F.col("s"), F.col("d"), None, ["s", "d"]))
 
 
+def sequels(spark: SparkSession, sf_dir: str) -> Graph:
+    """Customers to nations, and each customer to the first of its orders of a priority, each of these to the next: a forest of long chains."""
+    before = F.lag("o_orderkey").over(Window.partitionBy("o_custkey", "o_orderpriority").orderBy("o_orderkey"))
+    orders = table(spark, sf_dir, "orders").select(F.coalesce(F.concat(F.lit("o"), before), F.concat(F.lit("c"), "o_custkey")).alias("s"), F.concat(F.lit("o"), "o_orderkey").alias("d"))
+    homes = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("s"), F.concat(F.lit("n"), "c_nationkey").alias("d"))
+    return intern(from_table(orders.union(homes), F.col("s"), F.col("d"), None, ["s", "d"]))
+
+
 def visits(spark: SparkSession, sf_dir: str) -> Graph:
     """Users to the types of their events, weighted by value."""
     return intern(from_table(table(spark, sf_dir, "events"), F.concat(F.lit("u"), "user_id"), F.col("event_type"), F.col("value"), ["event_id"]))

@@ -103,13 +103,9 @@ def test_registered_hierarchies_keep_the_operators_rounds(monkeypatch):
 
     monkeypatch.setattr(catalogue.tables, "geography", lambda *_: SimpleNamespace(edges=None, nodes=None))
     monkeypatch.setattr(coarsen, "build_hierarchy", asked(coarsen.build_hierarchy))
-    monkeypatch.setattr(layout, "layout", asked(layout.layout))
     with pytest.raises(Asked) as found:
         catalogue.hierarchy_levels(None, "")
     assert (found.value.args[0]["sweeps"], found.value.args[0]["max_levels"]) == (coarsen.SWEEPS, coarsen.MAX_LEVELS)
-    with pytest.raises(Asked) as found:
-        catalogue.multilevel_layout_health(None, "")
-    assert found.value.args[0]["steps"] is None and found.value.args[0]["hierarchy"] == {"target": 200}
 
 
 def test_draws(spark):
@@ -118,11 +114,13 @@ def test_draws(spark):
     assert with_draw(spark.range(1), 0, F.col("id"), "u").first()["u"] == 0.26642920868471265
 
 
-def test_layout_separates_cliques(spark):
+def test_force_steps_separate_cliques(spark):
     n = 12
     pairs = [(i, j) for c in (0, n) for i in range(c, c + n) for j in range(i + 1, c + n)] + [(0, n)]
     g = numbered(spark, 2 * n, pairs)
-    p = layout.layout(g.edges, g.nodes, steps=12)
+    sym, p = graph.symmetrize(g.edges), layout.disc_positions(g.nodes)
+    for i in range(6):
+        p = layout.force_step(sym, p, 2 * n, layout.step_size(2 * i, 12, 2 * n, True))
     health = layout.health(p).first()
     assert health["bad"] == 0 and not health["collapsed"] and health["min_x"] >= 0 and health["max_x"] <= layout.WORLD
     ratio = layout.separation(p, p.select("idx", F.floor(F.col("idx") / n).alias("community"))).first()
