@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# What a screen draws at most, and at least.
 NODE_BUDGET, EDGE_BUDGET, MOST_EDGES, LEAST_DRAWN = 1_000_000, 300_000, 300_000, 4096
 
 

@@ -455,6 +455,11 @@ def nodes_in_rect_capped(spark: SparkSession, d: str) -> DataFrame:
     return spatial.nodes_in_rect(spatial.build_grid(p), p, 1000, 500, 2000, 1800, cap=40)
 
 
+@query(q("SELECT a.idx AS a, b.idx AS b, round((a.x - b.x) ** 2 + (a.y - b.y) ** 2, 3) AS d2 FROM p a JOIN p b ON a.idx < b.idx AND (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 3600", sql.POSITIONS + ", p AS (SELECT idx, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y FROM pos)"))
+def pairs_within(spark: SparkSession, d: str) -> DataFrame:
+    return spatial.pairs_within(_placed(spark, d), 60.0).select("a", "b", F.round("d2", 3).alias("d2"))
+
+
 @query(q("SELECT idx, d2 FROM (SELECT idx, (CAST(x AS DOUBLE) - 2000) * (CAST(x AS DOUBLE) - 2000) + (CAST(y AS DOUBLE) - 2100) * (CAST(y AS DOUBLE) - 2100) AS d2 FROM pos) WHERE d2 < 300 * 300 ORDER BY d2, idx LIMIT 1", sql.POSITIONS))
 def pick_nearest(spark: SparkSession, d: str) -> DataFrame:
     p = _placed(spark, d)
@@ -516,6 +521,16 @@ def separation(spark: SparkSession, d: str) -> DataFrame:
     return layout.separation(p, p.select("idx", (F.col("idx") % 40).alias("community"))).select(*(F.round(c, 6).alias(c) for c in ("intra", "inter", "ratio")))
 
 
+@query(q("SELECT count(*) AS n, true AS bounded, true AS close FROM pos", sql.POSITIONS))
+def separation_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the mean distance of all nodes, each a group of its own, lies between the bounds that need no pairs, and these within 2 % of it."""
+    p = _placed(spark, d)
+    found = layout.separation(p, p.select("idx", F.col("idx").alias("community")), most_groups=100)
+    exact = layout.separation(p, p.select("idx", F.col("idx").alias("community"))).select(F.col("inter").alias("exact"))
+    inside = F.col("exact").between(F.col("inter_low") - 1e-9, F.col("inter_high") + 1e-9)
+    return found.join(exact, F.lit(True)).select(F.lit(p.count()).alias("n"), inside.alias("bounded"), (F.abs(F.col("inter") / F.col("exact") - 1) < 0.02).alias("close"))
+
+
 @query(q("SELECT count(*) AS n, bit_xor(CAST('0x' || substr(md5(idx || ',' || CAST(floor(CAST(x AS DOUBLE) * 1048576) AS BIGINT) || ',' || CAST(floor(CAST(y AS DOUBLE) * 1048576) AS BIGINT)), 1, 15) AS BIGINT)) AS hash FROM pos", sql.POSITIONS))
 def layout_fingerprint(spark: SparkSession, d: str) -> DataFrame:
     return layout.fingerprint(_placed(spark, d))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from test_graph import made, numbered
 
 from netloom.functions.permutation import Permutation, sides
-from netloom.operators import adjacency, graph, sampling, search, search_index, spatial, spatial_index
+from netloom.operators import adjacency, graph, layout, sampling, search, search_index, spatial, spatial_index
 from netloom.operators.attributes import Attributes
 from netloom.sources import store
 from netloom.sources.clustered import files_read, merged, write_clustered
@@ -202,3 +202,24 @@ def test_attribute_names_never_clash(spark):
     a = Attributes(nodes).attach(table, "id")
     assert a.joined.columns == ["idx", "degree", "_key", "_rank", "degree_2", "degree_1", "x.y"]
     assert rows(a.joined) == [(0, 3, 0, 9, 9, 9, 9), (1, 1, 7, 7, 7, 7, 7), (2, 0, None, None, None, None, None)]
+
+
+def test_pairs_within(spark, monkeypatch):
+    rnd = random.Random(8)
+    points = [(i, rnd.gauss(0, 1) * 20, rnd.gauss(0, 1) * 20) for i in range(300)] + [(i, 5.0, 5.0) for i in range(300, 340)] + [(400, float("nan"), 0.0), (401, None, 1.0), (402, float("inf"), 1.0)]
+    expected = sorted((a, b) for a, x, y in points[:340] for b, u, v in points[:340] if a < b and (x - u) ** 2 + (y - v) ** 2 <= 9)
+    table = spark.createDataFrame(points, "idx long, x double, y double")
+    for most in (2000, 3):  # crowded cells are split
+        monkeypatch.setattr(spatial, "CELL_ROWS", most)
+        assert sorted((r["a"], r["b"]) for r in spatial.pairs_within(table, 3.0).collect()) == expected
+
+
+def test_mean_distance_is_bounded(spark):
+    rnd = random.Random(9)
+    points = [(rnd.gauss(0, 1) * 9 + 100 * (i % 3), rnd.random() * 50) for i in range(400)] + [(1.0, 1.0)] * 5
+    exact = sum(((a - c) ** 2 + (b - d) ** 2) ** 0.5 for i, (a, b) in enumerate(points) for c, d in points[:i]) / (len(points) * (len(points) - 1) / 2)
+    for levels in (None, 3):
+        low, high = layout.mean_distance(spark.createDataFrame(points, "x double, y double"), levels).first()
+        assert low - 1e-9 <= exact <= high + 1e-9
+        assert levels or high - low < 0.06 * exact
+    assert layout.mean_distance(spark.createDataFrame(points[:1], "x double, y double")).first()["low"] is None
