@@ -18,10 +18,14 @@ def bounded_sample(rows: DataFrame, most: int, *keys: str) -> DataFrame:
     return rows.where(hashed < F.lit(_WIDTH * most // n)).limit(most + most // 4)
 
 
-def bounded_by_class(rows: DataFrame, most: int, least: int, by: str, *keys: str) -> DataFrame:
+def bounded_by_class(rows: DataFrame, most: int, least: int, classes: int, by: str, *keys: str) -> DataFrame:
     """``bounded_sample`` with a bound for each value of ``by`` (not null) from its own number of rows: about its share of ``most``, and about
-    ``least`` rows where that is fewer. Rows with equal keys are taken together or not at all."""
-    counts = {r[by]: r["count"] for r in rows.groupBy(by).count().collect()}
+    ``least`` rows where that is fewer. Rows with equal keys are taken together or not at all. Of more than ``classes`` values those with the
+    most rows count, so the sample and what is counted on the driver are bounded however many values there are."""
+    found = rows.groupBy(by).count().orderBy(F.desc("count"), by).limit(classes + 1).collect()
+    counts = {r[by]: r["count"] for r in found[:classes]}
+    if len(found) > classes:
+        rows = rows.where(F.col(by).isin(list(counts)))
     n = sum(counts.values())
     if n <= most:
         return rows

@@ -400,6 +400,28 @@ def test_language_id(spark, docs, nothing):
     assert predict(docs, fit(table)).columns == [*docs.columns, "lang_pred", "score", "rejected"]
 
 
+def test_language_id_rejects_unknown_languages(spark, sf):
+    """On the given tables: with one language left out of what is learned, most of its texts are rejected, and next to none of the others."""
+    from netloom.llm.language_id import fit, predict
+
+    docs = spark.read.parquet(sf.replace("sf0.001", "sf0.01") + "/documents.parquet")
+    for out in ("de", "en", "fr", "es"):
+        model = fit(docs.withColumn("lang", F.when(F.col("lang") != out, F.col("lang"))))
+        found = predict(docs, model).where(F.crc32(F.col("doc_id").cast("string")) % 4 == 2).groupBy((F.col("lang") == out).alias("unknown")).agg(F.avg(F.col("rejected").cast("int")).alias("share"), F.count(F.lit(1)).alias("n"))
+        share = {r["unknown"]: r["share"] for r in found.collect()}
+        assert share[True] > 0.8 and share[False] < 0.02, (out, share)
+    model = fit(docs)
+    assert predict(docs, model).where("rejected").count() <= 3
+
+
+def test_language_id_learns_a_bounded_number_of_languages(spark):
+    from netloom.llm.sampling import bounded_by_class
+
+    rows = spark.createDataFrame([(i, f"l{i % 50 if i < 500 else i}") for i in range(900)], "doc_id long, lang string")
+    found = bounded_by_class(rows, 100, 2, 50, "lang", "doc_id")
+    assert found.count() <= 200 and {r[0] for r in found.select("lang").distinct().collect()} <= {f"l{i}" for i in range(50)}
+
+
 def test_language_id_learns_rare_languages(spark):
     from netloom.llm.language_id import fit
 
