@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from netloom.llm.automata import LENGTH, build, cuts, decode, encode, keys_of, sort_order, union
 from netloom.llm.blocks import pack, unpack
-from netloom.llm.memory import tidy, tidy_group
+from netloom.llm.memory import release, tidy, tidy_group
 from netloom.llm.ranking import first_rows
 from netloom.llm.runs import Runs, byte_set, pieces
 from netloom.llm.scratch import Scratch
@@ -44,7 +44,7 @@ from netloom.plans.joins import small
 
 LEAST, MOST, INSIDE = 100, 2000, 100
 #: Words in a block, bytes of a piece; one window of so many is sampled for the ends of ranges; windows of a range in the mean.
-BLOCK_WORDS, AT_ONCE, EVERY, RANGE_WINDOWS = 1_200_000, 1 << 20, 1 << 12, 1 << 20
+BLOCK_WORDS, AT_ONCE, EVERY, RANGE_WINDOWS = 700_000, 1 << 20, 1 << 12, 1 << 20
 _BREAK = byte_set(*((ord(c), ord(c)) for c in ".,;:!?"), (0x0A, 0x0D))
 _WORD = ~(_BREAK | byte_set((0x20, 0x20), (0x09, 0x09)))
 _BLOCK = pa.schema([("block", pa.int64()), ("size", pa.int64()), ("starts", pa.int64()), ("tokens", pa.binary()), ("words", pa.list_(pa.struct([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())])))])
@@ -116,6 +116,7 @@ def blocks(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
                     out, held = held.row((part << 20) + k, 0 if piece.ended else LENGTH - 1)
                     k += 1
                     yield out
+                    release()
         if held.size:
             yield held.row((part << 20) + k, 0)[0]
 
