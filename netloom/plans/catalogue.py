@@ -241,6 +241,24 @@ def hierarchy_levels(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+@query("SELECT unnest(['one parent', 'cap', 'dense', 'shrinks', 'weights', 'ends', 'several levels']) AS \"check\", true AS ok")
+def hierarchy_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """Of the hierarchy of a forest above the target, built in the order of colours, whether all holds that must."""
+    g = tables.geography(spark, d)
+    return coarsen.invariants(coarsen.build_hierarchy(g.edges, g.nodes, target=50, in_order=True), target=50)
+
+
+@query(sql.GEO + "SELECT count(*) AS nodes, CAST(0 AS BIGINT) AS bare, CAST(0 AS BIGINT) AS clashes FROM nodes")
+def proper_colours(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes, those without a colour, and arcs whose ends have the same one."""
+    g = tables.geography(spark, d)
+    sym = cut(graph.symmetrize(g.edges))
+    found = coarsen.colours(sym, g.nodes)
+    a, b = (found.select(F.col("node").alias(c), F.col("colour").alias(f"of_{c}")) for c in ("src", "dst"))
+    same = sym.join(a, "src").join(b, "dst").agg(F.count_if(F.col("of_src") == F.col("of_dst")).alias("clashes"))
+    return found.agg(F.count(F.lit(1)).alias("nodes"), F.count_if(F.col("colour").isNull()).alias("bare")).join(same, F.lit(True))
+
+
 # --- attributes
 
 

@@ -11,6 +11,7 @@ from netloom.functions.draws import with_draw
 from netloom.operators import attributes, coarsen, graph, layout, search, spatial
 from netloom.operators.attributes import Attributes, OneOf, Range, Style
 from netloom.operators.index import dense_index
+from netloom.plans.lineage import cut
 from netloom.sources import edges as sources
 from netloom.sources import generate, mapping, store
 from netloom.streaming import ingest
@@ -84,6 +85,31 @@ def test_labels_and_hierarchy(spark):
         assert again.exceptAll(coarse["sym"]).isEmpty()
 
 
+def test_propagation_in_order(spark):
+    """Planted groups: at least as much weight inside labels as the synchronous form has, never above the cap, the same each time."""
+    import random
+
+    rnd = random.Random(12)
+    pairs = [(20 * c + rnd.randrange(20), 20 * c + rnd.randrange(20)) for c in range(4) for _ in range(90)] + [(rnd.randrange(80), rnd.randrange(80)) for _ in range(12)]
+    g = numbered(spark, 82, pairs)
+    sym = cut(graph.symmetrize(g.edges))
+    found = coarsen.colours(sym, g.nodes)
+    colour = {r["node"]: r["colour"] for r in found.collect()}
+    assert set(colour) == set(range(82)) and all(colour[r["src"]] != colour[r["dst"]] for r in sym.collect())
+
+    def inside(labels):
+        of = {r["node"]: r["label"] for r in labels.collect()}
+        assert len(of) == 82 and max(map(list(of.values()).count, set(of.values()))) <= 32
+        return sum(r["weight"] for r in sym.collect() if of[r["src"]] == of[r["dst"]]), of
+
+    ordered, labels = inside(coarsen.propagate_in_order(sym, g.nodes, sweeps=2))
+    assert ordered >= inside(coarsen.propagate(sym, g.nodes, sweeps=2))[0]
+    assert inside(coarsen.propagate_in_order(sym.repartition(3), g.nodes, sweeps=2))[1] == labels
+    star = numbered(spark, 60, [(i, 0) for i in range(1, 60)])
+    sizes = coarsen.propagate_in_order(graph.symmetrize(star.edges), star.nodes, sweeps=1).groupBy("label").count()
+    assert sizes.agg(F.max("count")).first()[0] <= 32
+
+
 def test_registered_hierarchies_keep_the_operators_rounds(monkeypatch):
     import inspect
     from types import SimpleNamespace
