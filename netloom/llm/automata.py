@@ -23,6 +23,11 @@ def keys_of(columns: list[np.ndarray]) -> list[np.ndarray]:
     return [a << np.uint64(32) | b, c << np.uint64(32) | d, e]
 
 
+def columns_of(keys: list[np.ndarray]) -> list[np.ndarray]:
+    low = np.uint64(0xFFFFFFFF)
+    return [x.astype(np.int32) for x in (keys[0] >> np.uint64(32), keys[0] & low, keys[1] >> np.uint64(32), keys[1] & low, keys[2])]
+
+
 def sort_order(keys: list[np.ndarray]) -> np.ndarray:
     return np.lexsort(keys[::-1])
 

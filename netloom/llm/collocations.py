@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm.automata import LENGTH, build, cuts, decode, encode, keys_of, sort_order, union
+from netloom.llm.automata import LENGTH, build, columns_of, cuts, decode, encode, keys_of, sort_order, union
 from netloom.llm.blocks import pack, unpack
 from netloom.llm.memory import release, tidy, tidy_group
 from netloom.llm.ranking import first_rows
@@ -181,17 +181,19 @@ def automata_of(rows: DataFrame, shared) -> DataFrame:
         bounds = keys_of(list(np.array(shared.value, np.int64).reshape(-1, LENGTH).T))
         for batch in batches:
             for row in _rows(batch):
-                columns = windows(row)
-                keys = keys_of(columns)
+                keys = keys_of(windows(row))
                 order = sort_order(keys)
-                columns, keys = [c[order] for c in columns], [k[order] for k in keys]
+                keys = [k[order] for k in keys]
                 edges = np.concatenate([[0], cuts(keys, bounds), [len(order)]])
+                columns = columns_of(keys)
+                del keys, order
                 out: dict[str, list] = {c: [] for c in ("range", "sizes", "fan", "label", "weight", "target")}
                 for j in np.flatnonzero(np.diff(edges)).tolist():
                     sizes, parts = encode(build([c[edges[j] : edges[j + 1]] for c in columns]))
                     for c, x in zip(out, (j, sizes, *parts), strict=True):
                         out[c].append(x)
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out.values(), (pa.int32(), pa.list_(pa.int32()), *[pa.binary()] * 4), strict=True)], names=list(out))
+                release()
 
     return rows.mapInArrow(tidy(send), f"range int, sizes array<int>, {PARTS}")
 

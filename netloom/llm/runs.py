@@ -13,6 +13,8 @@ import numpy as np
 
 from netloom.llm.words import _BASE, _LOWER, _RANDOM, mix, utf8
 
+#: Texts of a batch whose bytes are copied together.
+SLICE = 256
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -52,13 +54,18 @@ class Piece:
 
 def pieces(texts, most: int, inside: np.ndarray, rows: int = 1 << 20, lower: bool = False) -> Iterator[Piece]:
     """The texts of a batch in order (null: empty), about ``most`` bytes and at most ``rows`` texts in each piece; ``inside``: the bytes of runs."""
+    for at in range(0, len(texts), SLICE):
+        yield from _pieces(texts.slice(at, SLICE), at, most, inside, rows, lower)
+
+
+def _pieces(texts, at: int, most: int, inside: np.ndarray, rows: int, lower: bool) -> Iterator[Piece]:
     body, offsets = utf8(texts)
     case = (lambda b: _LOWER[b]) if lower else (lambda b: b)
     i, n = 0, len(offsets) - 1
     while i < n:
         j = min(int(np.searchsorted(offsets, offsets[i] + most, side="right")) - 1, i + rows)
         if j > i:
-            yield Piece(i, case(body[offsets[i] : offsets[j]]), offsets[i : j + 1] - offsets[i])
+            yield Piece(at + i, case(body[offsets[i] : offsets[j]]), offsets[i : j + 1] - offsets[i])
             i = j
             continue
         a, end = int(offsets[i]), int(offsets[i + 1])
@@ -71,7 +78,7 @@ def pieces(texts, most: int, inside: np.ndarray, rows: int = 1 << 20, lower: boo
                     far = min(z + most, end)
                     cuts, z = np.flatnonzero(~inside[body[z:far]])[:1] + (z - a), far
                 z = a + int(cuts[-1]) + 1 if len(cuts) else end
-            yield Piece(i, case(body[a:z]), np.array([0, z - a]), a > begin, z == end)
+            yield Piece(at + i, case(body[a:z]), np.array([0, z - a]), a > begin, z == end)
             a = z
         i += 1
 
