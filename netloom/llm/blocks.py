@@ -5,9 +5,10 @@ per key and document would shuffle many times the input. Instead the documents a
 bucketed by block id; each block sends its distinct keys, sorted and delta-coded, one part to each key range; a key range adds up and
 answers each block with the sums in the order asked; the answers are joined to the blocks by bucket, without moving the blocks.
 
-A key appears once per block however often documents repeat it, so a key that a third of all rows hold costs one entry per block. The
-groups of a key range and the blocks are of a size set here, whatever the corpus: the number of ranges follows the bytes of the corpus. A
-block sends a row for each range that it has keys of, and the rows of a few keys are coded together, so that rows and time follow the number of keys.
+A key appears once per block however often documents repeat it, so a key that a third of all rows hold costs one entry per block. The number of
+ranges follows the bytes of the corpus, so a range holds about as many distinct keys at any size; but a range of a key that every block has gets a row from
+every block, and rows get shorter and bytes a key more as ranges grow in number. A block
+sends a row for each range that it has keys of, and the rows of a few keys are coded together, so that rows and time follow the number of keys.
 """
 
 from __future__ import annotations
