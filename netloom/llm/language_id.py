@@ -9,7 +9,8 @@ A softmax spreads over known languages alone, so it is as sure of a text in none
 language chosen: the mean log-probability of a text's n-grams by that language's own frequencies, against the mean of its texts set aside, times the root
 of the number of words (``MOST_WORDS`` at most, as long texts vary too). Each language is left out in turn to see what its texts get under the others.
 Where half of these get less than all but a share of ``LOSS`` of the known texts set aside, the bound lies a quarter of the way from the latter
-to the former (``MARGIN``), and else at the latter.
+to the former (``MARGIN``), and else at the latter. A language learned
+from fewer than ``LEAST_ROWS`` texts rejects none, as its n-grams are too little known, and fewer than so many texts set aside set no bound.
 
 As the mean and the layers are linear, the two are multiplied out into one small table (BUCKETS x languages, of fixed size) for the tasks that
 predict, beside the table of log-probabilities; each distinct word of a batch is looked up once. Whole texts are read.
@@ -181,7 +182,7 @@ def train(rows: pa.Table, seed: int = SEED) -> Languages:
 
 
 def calibrated(held: list, y: np.ndarray, words: np.ndarray, fit: np.ndarray, aside: np.ndarray, logits: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """The log-probabilities of n-grams by language, their mean in its texts, and the bound of the rejection, of the sample's rows (buckets and counts),
+    """The log-probabilities of n-grams by language, their mean in its texts (none where it has too few), and the bound of the rejection, of the sample's rows (buckets and counts),
     their languages, numbers of words and logits. Log-probabilities come from ``fit``, the means and the bound from ``aside``."""
     m = logits.shape[1]
     mass = np.full((BUCKETS, m), 0.5)
@@ -195,8 +196,9 @@ def calibrated(held: list, y: np.ndarray, words: np.ndarray, fit: np.ndarray, as
         own = aside[(y[aside] == k) & some[aside]]
         own = own if len(own) else np.flatnonzero((y == k) & some)
         centre[k] = means[own, k].mean() if len(own) else 0.0
-    known = aside[some[aside] & (logits[aside].argmax(axis=1) == y[aside])]
-    if not len(known):
+    centre[np.bincount(y[fit], minlength=m) < LEAST_ROWS] = -np.inf
+    known = aside[some[aside] & (logits[aside].argmax(axis=1) == y[aside]) & np.isfinite(centre[y[aside]])]
+    if len(known) < LEAST_ROWS:
         return usual, centre, -np.inf
     bound = float(np.quantile(suits(means[known, y[known]], centre[y[known]], words[known]), LOSS, method="lower"))
     strange = []
