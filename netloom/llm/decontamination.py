@@ -8,8 +8,12 @@ of a band with as many hits within a stretch's length is retained, and verified
 of one repeated character is one run of places, a place of the text counts once in a band, and a region is aligned at few of its begins, as
 each distance excludes those near it. Items under q bytes are leaked where their words stand in the text, one after another.
 
+Items often share an opening or an ending. Q-grams of more than ``COMMON`` items are counted for all items of a section at once, and expanded
+for an item only near a q-gram that few items have; regions of common q-grams alone are aligned for their items together, along what
+these have in common and from there on branch by branch, each left where it is above the budget.
+
 The benchmark's q-grams go to every task. They are of bounded size: a benchmark of more than ``MOST_BYTES`` is searched in parts, one after
-another. Each document is handled where it is read, with no shuffle; a text's hits are expanded a stretch at a time.
+another. Each document is handled where it is read, with no shuffle; a text's hits are expanded a stretch and some items at a time.
 
 Null and empty texts leak nothing and null or empty items are not searched for. Repeated rows, ids and items are rows of their own, empty tables
 give an empty result, other columns are ignored or kept as they are. Of several regions of a document that leak an item, one is reported: the
@@ -33,6 +37,8 @@ from netloom.llm.words import _LOWER, _SPACE, Words, mix, utf8, windows
 Q, SPAN, RATE, MOST_BYTES = 12, 80, 0.05, 8 << 20
 #: Hits of a stretch of text that are expanded together.
 MOST_HITS = 1 << 20
+#: A q-gram of more items is common. Items that are aligned together.
+COMMON, HOLDERS = 64, 1 << 14
 _BITS = 22
 #: Bytes of text that a task looks at together.
 AT_ONCE = 1 << 20
@@ -65,38 +71,61 @@ def grams(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return h, ok
 
 
+class _Index:
+    """Where q-grams stand: groups of equal q-grams (``rank``) of one owner (an item, or a section that items share), sorted by both as
+    what it is made of is by rank, owner and place, and ``first:last`` the runs of places ``low`` to ``high`` at which each stands; ``begin:end`` the groups of a q-gram."""
+
+    def __init__(self, rank: np.ndarray, owner: np.ndarray, place: np.ndarray, span: np.ndarray, budget: np.ndarray, n_ranks: int):
+        group, run = np.ones(len(rank), bool), np.ones(len(rank), bool)
+        group[1:] = (rank[1:] != rank[:-1]) | (owner[1:] != owner[:-1])
+        run[1:] = group[1:] | (place[1:] != place[:-1] + 1)
+        runs, group = np.flatnonzero(run), np.flatnonzero(group)
+        self.rank, self.owner = rank[group].astype(np.int64), owner[group].astype(np.int64)
+        self.low, self.high = place[runs].astype(np.int32), place[np.append(runs[1:], len(rank))[: len(runs)] - 1].astype(np.int32)
+        self.first = np.searchsorted(runs, group)
+        self.last = np.append(self.first[1:], len(runs))[: len(group)]
+        self.span, self.budget, self.least = span, budget, np.maximum(span - Q + 1 - Q * budget, 1)
+        bands = (self.high - self.low) // (budget[owner[runs]] + 1) + 2
+        self.cost = (np.add.reduceat(bands, self.first) if len(runs) else bands).astype(np.int64)  # rows that a hit of the group becomes
+        self.begin, self.end = np.searchsorted(self.rank, np.arange(n_ranks)), np.searchsorted(self.rank, np.arange(n_ranks), side="right")
+
+    def costs(self) -> np.ndarray:
+        """Rows that a hit of each q-gram becomes."""
+        total = np.concatenate([[0], np.cumsum(self.cost)])
+        return total[self.end] - total[self.begin]
+
+
 class Benchmark:
-    """Items and their q-grams: ``hash`` and ``item`` of each group of equal q-grams of one item, sorted, ``first:last`` the runs of places
-    ``low`` to ``high`` at which it stands; in front of them a table of bits. Items under q bytes are held as word sequences."""
+    """Items and their q-grams (``gram``: the distinct ones, sorted; in front of them a table of bits). A q-gram of more than ``common`` items
+    is common. What items hold of common q-grams, section by section (sections so far apart that no stretch has both), is kept once for all
+    items with the same section: ``sections`` counts them as if they were items, ``holders`` says which items hold one and where. Items
+    under q bytes are held as word sequences."""
 
-    def __init__(self, item_ids: list, texts: list[str], span: int, rate: float):
+    def __init__(self, item_ids: list, texts: list[str], span: int, rate: float, common: int = COMMON):
         body, offsets = normalised(pa.array(texts, pa.string()))
         self.ids, raw = item_ids, body.tobytes()
         self.items = [raw[a:b].strip() for a, b in zip(offsets, offsets[1:], strict=False)]
         self.body = np.frombuffer(b"".join(self.items), np.uint8)
         self.base = np.concatenate([[0], np.cumsum([len(x) for x in self.items])]).astype(np.int64)
-        self.grams, ok = grams(self.body, self.base)
-        at = np.flatnonzero(ok)
-        item = np.searchsorted(self.base, at, side="right") - 1
-        order = np.lexsort((at, item, self.grams[at]))
-        h, item = self.grams[at][order], item[order]
-        place = at[order] - self.base[item]
-        group, run = np.ones(len(h), bool), np.ones(len(h), bool)
-        group[1:] = (h[1:] != h[:-1]) | (item[1:] != item[:-1])
-        run[1:] = group[1:] | (place[1:] != place[:-1] + 1)
-        runs, group = np.flatnonzero(run), np.flatnonzero(group)
-        self.hash, self.item = h[group], item[group].astype(np.int32)
-        self.low, self.high = place[runs].astype(np.int32), place[np.append(runs[1:], len(h))[: len(runs)] - 1].astype(np.int32)
-        self.first = np.searchsorted(runs, group)
-        self.last = np.append(self.first[1:], len(runs))[: len(group)]
         self.size = np.diff(self.base)
         self.span = np.minimum(self.size, span)
         self.budget = np.minimum((self.span * rate).astype(np.int64), np.maximum(self.span - Q, 0) // Q)
-        bands = (self.high - self.low) // (self.budget[item[runs]] + 1) + 2
-        self.cost = np.add.reduceat(bands, self.first) if len(runs) else bands  # rows that a hit of the group becomes
+        self.grams, ok = grams(self.body, self.base)
+        at = np.flatnonzero(ok)
+        item = np.repeat(np.arange(len(self.items), dtype=np.int32), self.size)[at]
+        order = np.argsort(self.grams[at], kind="stable").astype(np.int32)
+        h = self.grams[at][order]
+        new = np.ones(len(h), bool)
+        new[1:] = h[1:] != h[:-1]
+        self.gram, sorted_rank = h[new], np.cumsum(new, dtype=np.int32) - np.int32(1)
+        rank = np.empty_like(sorted_rank)
+        rank[order] = sorted_rank
         self.bits = np.zeros(1 << _BITS, bool)
-        self.bits[(self.hash >> np.uint64(64 - _BITS)).astype(np.int64)] = True
-        self.least = np.maximum(self.span - Q + 1 - Q * self.budget, 1)
+        self.bits[(self.gram >> np.uint64(64 - _BITS)).astype(np.int64)] = True
+        self.index = _Index(sorted_rank, item[order], (at - self.base[item]).astype(np.int32)[order], self.span, self.budget, len(self.gram))
+        self.key = self.index.rank * len(self.items) + self.index.owner
+        self.common = self.index.end - self.index.begin > common
+        self.share(at[self.common[rank]], item[self.common[rank]], rank[self.common[rank]])
         short = [i for i, x in enumerate(self.items) if 0 < len(x) < Q]
         words = Words(pa.array([self.items[i].decode(errors="replace") for i in short], pa.string()))
         whole, self.short = words.hashes(), {}
@@ -106,6 +135,40 @@ class Benchmark:
             order = np.argsort(h, kind="stable")
             self.short[n] = (h[order], np.array(short, np.int64)[own[order]] if n else order)
 
+    def share(self, at: np.ndarray, item: np.ndarray, rank: np.ndarray) -> None:
+        """Sections from the places of common q-grams. Equal ones are known by their span, length and a 64-bit sum over q-grams and places."""
+        new = np.ones(len(at), bool)
+        new[1:] = (item[1:] != item[:-1]) | (at[1:] - at[:-1] > self.span[item[1:]] - Q)
+        begin = np.flatnonzero(new)
+        size = np.diff(np.append(begin, len(at)))
+        # a section of fewer q-grams than any occurrence shares finds nothing alone
+        full = size >= np.maximum(self.span - Q + 1 - Q * self.budget, 1)[item[begin]]
+        whole = np.repeat(full, size)
+        at, item, rank, size = at[whole], item[whole], rank[whole], size[full]
+        begin = np.cumsum(size) - size
+        owner, start = item[begin], at[begin]
+        place = at - np.repeat(start, size)
+        each = mix(self.gram[rank] ^ mix(place.astype(np.uint64) + np.uint64(1)))
+        total = np.add.reduceat(each, begin) if len(at) else each
+        order = np.lexsort((size, self.span[owner], total))
+        same = np.ones(len(order), bool)
+        for v in (total, self.span[owner], size):
+            same[1:] &= v[order[1:]] == v[order[:-1]]
+        same[:1] = False
+        section = np.empty(len(order), np.int64)
+        section[order] = np.cumsum(~same) - 1
+        n, model = int((~same).sum()), order[~same]
+        own = np.repeat(section, size)
+        # the q-grams of one section of each kind; the places of all, in the order of the text from there on
+        shown = np.repeat(np.isin(np.arange(len(section)), model), size)
+        rank, own, place = rank[shown], own[shown], place[shown]
+        order = np.lexsort((place, own, rank))
+        self.sections = _Index(rank[order], own[order], place[order], self.span[owner[model]], self.budget[owner[model]], len(self.gram))
+        raw = self.body.tobytes()
+        held = sorted(range(len(section)), key=lambda i: (section[i], raw[start[i] : start[i] + 2 * int(self.span[owner[i]])]))
+        self.holders = owner[held], (start - self.base[owner])[held]
+        self.held = np.concatenate([[0], np.cumsum(np.bincount(section, minlength=n))]).astype(np.int64)
+
 
 def spread(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of ranges low:high, one after another: which range, and the number in it."""
@@ -135,29 +198,132 @@ class _Search:
         self.body, self.offsets = normalised(texts)
         self.found: dict[tuple[int, int], tuple] = {}
         self.whole_words(texts)
-        h, ok = grams(self.body, self.offsets)
-        at = np.flatnonzero(bench.bits[(h >> np.uint64(64 - _BITS)).astype(np.int64)] & ok)
-        low, high = np.searchsorted(bench.hash, h[at], side="left"), np.searchsorted(bench.hash, h[at], side="right")
-        which, group = spread(low, high)
-        place, item = at[which], bench.item[group].astype(np.int64)
-        if not len(place):
+        self.h, ok = grams(self.body, self.offsets)
+        at = np.flatnonzero(bench.bits[(self.h >> np.uint64(64 - _BITS)).astype(np.int64)] & ok)
+        if not len(at) or not len(bench.gram):
             return
-        doc = np.searchsorted(self.offsets, place, side="right") - 1
-        self.exact(h, place, doc, item, bench.low[bench.first[group]].astype(np.int64))
-        # what is found needs no more hits
-        n = len(bench.items)
-        known = np.sort(np.array([k * n + x for k, x in self.found], np.int64))
-        key = doc * n + item
-        open_ = ~np.isin(key, known)
-        place, doc, item, group = place[open_], doc[open_], item[open_], group[open_]
-        cost = np.cumsum(bench.cost[group])
+        rank = np.minimum(np.searchsorted(bench.gram, self.h[at]), len(bench.gram) - 1)
+        real = bench.gram[rank] == self.h[at]
+        at, rank = at[real], rank[real]
+        cost = np.cumsum(np.where(bench.common, bench.sections.costs(), bench.index.costs())[rank])
         # stretches of text, overlapping by more than an occurrence is long, whose hits fit in memory
         overlap, r = 2 * int(bench.span.max(initial=0)), 0
-        while r < len(place):
+        while r < len(at):
             most = int(np.searchsorted(cost, (cost[r - 1] if r else 0) + MOST_HITS))
-            end = max(most, int(np.searchsorted(place, place[r] + 4 * overlap)))
-            self.regions(place[r:end], doc[r:end], item[r:end], group[r:end])
-            r = end if end >= len(place) else max(r + 1, int(np.searchsorted(place, place[end - 1] - overlap)))
+            end = max(most, int(np.searchsorted(at, at[r] + 4 * overlap)))
+            self.own(at[r:end], rank[r:end])
+            self.shared(at[r:end], rank[r:end])
+            r = end if end >= len(at) else max(r + 1, int(np.searchsorted(at, at[end - 1] - overlap)))
+
+    def doc(self, place: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.offsets, place, side="right") - 1
+
+    def own(self, at: np.ndarray, rank: np.ndarray) -> None:
+        """Items with a q-gram that is not common in this stretch of text: all their hits near it, some items at a time."""
+        bench, n = self.bench, len(self.bench.items)
+        frequent = bench.common[rank]
+        which, group = spread(bench.index.begin[rank[~frequent]], bench.index.end[rank[~frequent]])
+        place, item = at[~frequent][which], bench.index.owner[group]
+        if not len(place):
+            return
+        pair = self.doc(place) * n + item
+        order = np.lexsort((place, pair))
+        place, item, group, pair = place[order], item[order], group[order], pair[order]
+        # common hits between low and high lie near, each once for a pair
+        commons, ranks = at[frequent], rank[frequent]
+        reach = bench.span[item] + 2 * bench.budget[item]
+        low, high = np.searchsorted(commons, place - reach), np.searchsorted(commons, place + reach, side="right")
+        again = pair[1:] == pair[:-1]
+        low[1:] = np.where(again, np.maximum(low[1:], high[:-1]), low[1:])
+        high = np.maximum(high, low)
+        ends = np.flatnonzero(np.append(~again, True)) + 1
+        cost = np.cumsum(bench.index.cost[group] + 3 * (high - low))[ends - 1]
+        a = 0
+        while a < len(place):
+            spent = cost[np.searchsorted(ends, a, side="right") - 1] if a else 0
+            k = max(int(np.searchsorted(cost, spent + MOST_HITS, side="right")) - 1, int(np.searchsorted(ends, a, side="right")))
+            z = int(ends[k])
+            which, c = spread(low[a:z], high[a:z])
+            key = ranks[c] * n + item[a:z][which]
+            g = np.minimum(np.searchsorted(bench.key, key), len(bench.key) - 1)
+            real = bench.key[g] == key
+            self.pairs(np.concatenate([place[a:z], commons[c[real]]]), np.concatenate([item[a:z], item[a:z][which[real]]]), np.concatenate([group[a:z], g[real]]))
+            a = z
+
+    def pairs(self, place, item, group) -> None:
+        bench, n = self.bench, len(self.bench.items)
+        doc = self.doc(place)
+        inside = (place >= self.offsets[doc]) & (place < self.offsets[doc + 1])
+        self.exact(self.h, place[inside], doc[inside], item[inside], bench.index.low[bench.index.first[group[inside]]].astype(np.int64))
+        # what is found needs no more hits
+        open_ = ~np.isin(doc * n + item, np.array([k * n + x for k, x in self.found], np.int64))
+        doc, x, edge, low, high, shared = self.regions(bench.index, place[open_], doc[open_], item[open_], group[open_])
+        most = bench.size[x] - bench.span[x]
+        self.align(doc, x, edge, np.clip(low, 0, most), np.clip(high, 0, most), shared)
+
+    def shared(self, at: np.ndarray, rank: np.ndarray) -> None:
+        """Regions of common q-grams alone, counted once for all items that hold the section. What each begin of a region has in common is
+        aligned for these items together; items left are aligned by themselves."""
+        bench = self.bench
+        frequent = bench.common[rank]
+        which, group = spread(bench.sections.begin[rank[frequent]], bench.sections.end[rank[frequent]])
+        place = at[frequent][which]
+        if not len(place):
+            return
+        doc, section, edge, low, high, shared = self.regions(bench.sections, place, self.doc(place), bench.sections.owner[group], group)
+        times = np.cumsum(bench.held[section + 1] - bench.held[section])
+        a = 0
+        while a < len(section):
+            z = max(a + 1, int(np.searchsorted(times, (times[a - 1] if a else 0) + HOLDERS, side="right")))
+            first = bench.held[section[a:z]]
+            which, k = spread(first, bench.held[section[a:z] + 1])
+            for b in range(0, len(which), HOLDERS):
+                r, x, at_item = a + which[b : b + HOLDERS], bench.holders[0][k[b : b + HOLDERS]], bench.holders[1][k[b : b + HOLDERS]]
+                most = bench.size[x] - bench.span[x]
+                rows = (doc[r], x, edge[r] - at_item, np.clip(low[r] + at_item, 0, most), np.clip(high[r] + at_item, 0, most), shared[r])
+                kept = self.near(*rows[:5])
+                self.align(*(v[kept] for v in rows))
+            a = z
+
+    def near(self, doc, x, edge, low, high) -> np.ndarray:
+        """Which of these rows may hold an occurrence, by what all stretches from ``low`` to ``high`` contain. Neighbouring rows that begin
+        alike in the same text share the rows of their matrices until they part; rows above the budget are left there."""
+        bench = self.bench
+        length, budget = bench.span[x] - (high - low), bench.budget[x]
+        kept = length <= budget
+        kind = length * (1 << 20) + budget
+        for k in np.unique(kind[~kept]).tolist():
+            own = np.flatnonzero(kind == k)
+            m, most = k >> 20, k & ((1 << 20) - 1)
+            width = 4 * most + 2
+            start = self.offsets[doc[own]] + high[own] + edge[own] - most
+            pattern = np.lib.stride_tricks.sliding_window_view(bench.body, m)[bench.base[x[own]] + high[own]]
+            differ = pattern[1:] != pattern[:-1]
+            alike = np.where(differ.any(axis=1), differ.argmax(axis=1), m)
+            same = (start[1:] == start[:-1]) & (doc[own][1:] == doc[own][:-1])
+            alike = np.concatenate([[0], np.where(same, alike, 0)])
+            low_end, high_end = self.offsets[doc[own]], self.offsets[doc[own] + 1]
+            live, along = np.arange(len(own)), np.arange(width + 1, dtype=np.int16)
+            row = np.zeros((int((alike == 0).sum()), width + 1), np.int16)
+            for i in range(m):
+                lead = alike <= i
+                heads = live[lead]
+                if i:
+                    row = row[(np.cumsum(alike < i) - 1)[lead]]
+                where = (start[heads] + i)[:, None] + np.arange(width)
+                inside = (where >= low_end[heads][:, None]) & (where < high_end[heads][:, None])
+                other = ~inside | (self.body[np.clip(where, 0, len(self.body) - 1)] != pattern[heads, i][:, None])
+                new = row + np.int16(1)
+                new[:, :width] = np.minimum(row[:, :width] + other, row[:, 1:] + np.int16(1))
+                row = np.minimum.accumulate(new - along, axis=1) + along
+                good = row.min(axis=1) <= most
+                if not good.all():
+                    stay = good[np.cumsum(lead) - 1]
+                    row, live, alike = row[good], live[stay], alike[stay]
+                    if not len(live):
+                        break
+            kept[own[live]] = True
+        return np.flatnonzero(kept)
 
     def whole_words(self, texts) -> None:
         bench = self.bench
@@ -194,14 +360,14 @@ class _Search:
             hits = hits[step < ends]
             step += Q
 
-    def regions(self, place, doc, item, group) -> None:
-        """Diagonal bands of these hits; regions with as many shared q-grams as the budget leaves; their alignment."""
-        bench = self.bench
+    def regions(self, index: _Index, place, doc, item, group) -> tuple[np.ndarray, ...]:
+        """Diagonal bands of these hits; regions with as many shared q-grams as the budget leaves:
+        document, owner, the band's first diagonal, begins in the owner from low to high, and how many are shared."""
         place = place - self.offsets[doc]
-        which, run = spread(bench.first[group], bench.last[group])
-        p, half = place[which], bench.budget[item[which]] + 1
+        which, run = spread(index.first[group], index.last[group])
+        p, half = place[which], index.budget[item[which]] + 1
         # bands are 2 * half wide and overlap by half; a place of the text counts once in a band
-        again, b = spread((p - bench.high[run]) // half - 1, (p - bench.low[run]) // half + 1)
+        again, b = spread((p - index.high[run]) // half - 1, (p - index.low[run]) // half + 1)
         which, p = which[again], p[again]
         d, m = doc[which], item[which]
         order = np.lexsort((p, b, m, d))
@@ -212,13 +378,13 @@ class _Search:
         once[1:] |= p[1:] != p[:-1]
         d, m, b, p, new = d[once], m[once], b[once], p[once], new[once]
         held_in = np.cumsum(new)
-        span, budget, least = bench.span[m], bench.budget[m], bench.least[m]
+        span, budget, least = index.span[m], index.budget[m], index.least[m]
         # hit i is the last of an occurrence if the one ``least - 1`` before lies in the same band and near enough
         back = np.arange(len(p)) - least + 1
         i = np.flatnonzero((back >= 0) & (held_in[np.maximum(back, 0)] == held_in))
         i = i[p[i] - p[back[i]] <= (span + budget - Q)[i]]
         if not len(i):
-            return
+            return (np.zeros(0, np.int64),) * 6
         # the occurrence begins in the text between low and high; overlapping ones of a band are one region
         low, high, g = p[i] + Q - span[i] - budget[i], p[back[i]], held_in[i]
         first = np.ones(len(i), bool)
@@ -227,9 +393,8 @@ class _Search:
         last = np.append(at[1:], len(i)) - 1
         shared = np.diff(np.append(at, len(i))) + least[i[at]] - 1
         x, doc = m[i[at]], d[i[at]]
-        edge, width = b[i[at]] * (bench.budget[x] + 1), 2 * (bench.budget[x] + 1)
-        most = bench.size[x] - bench.span[x]
-        self.align(doc, x, edge, np.clip(low[at] - edge - width, 0, most), np.clip(high[last] - edge, 0, most), shared)
+        edge, width = b[i[at]] * (index.budget[x] + 1), 2 * (index.budget[x] + 1)
+        return doc, x, edge, low[at] - edge - width, high[last] - edge, shared
 
     def align(self, doc, x, edge, low, high, shared) -> None:
         """Tries begins in low .. high of each region, the middle first. A stretch that begins d bytes further on has d edits less at the
