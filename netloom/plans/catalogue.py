@@ -619,3 +619,60 @@ def csv_through_ingest(spark: SparkSession, d: str) -> DataFrame:
     path = folder(spark, "csv")
     write_csv(tables.supply(spark, d).edges, path)
     return read_records(spark, path, Mapping(header=False))[0].select("seq", "source", "target")
+
+
+# --- generators of the size of the given graph, stored graphs
+
+
+@query(
+    q(
+        "SELECT seq, src, CASE WHEN dst = src THEN (src + 1) % n ELSE dst END AS dst FROM ends_of",
+        sql.draws("SELECT 3 * seq + unnest([0, 1, 2]) AS k FROM edges", 0x5EED)
+        + """, sized AS (SELECT count(*) AS n, greatest(1, count(*) // 40) AS size FROM nodes),
+homes AS (SELECT e.seq, n, size, CAST(floor(a.u * n) AS BIGINT) AS src, b.u AS v, c.u AS w FROM edges e JOIN u a ON a.k = 3 * e.seq JOIN u b ON b.k = 3 * e.seq + 1 JOIN u c ON c.k = 3 * e.seq + 2, sized),
+widths AS (SELECT *, least(src // size, 39) AS home FROM homes),
+ends_of AS (SELECT seq, n, src, CAST(CASE WHEN w < 0.92 THEN home * size + floor(v * CASE WHEN home = 39 THEN n - 39 * size ELSE size END) ELSE floor(v * n) END AS BIGINT) AS dst FROM widths)
+""",
+    )
+)
+def planted_edges(spark: SparkSession, d: str) -> DataFrame:
+    """A graph of planted communities with as many nodes and edges as the given one."""
+    from netloom.sources.generate import planted
+
+    return planted(spark, tables.supply_nodes(spark, d).count(), tables.supply_rows(spark, d).count())
+
+
+@query(
+    q(
+        """SELECT CASE WHEN i >= n THEN 'ghost' || (i - n) ELSE 'n' || i END AS id, CASE WHEN i >= n THEN 'c0' ELSE 'c' || least(i // size, 11) END AS community,
+round(a.u, 4) AS score, CASE WHEN i >= n THEN 'hub' ELSE ['hub', 'bridge', 'leaf'][CAST(floor(b.u * 3) AS BIGINT) + 1] END AS kind FROM places JOIN u a ON a.k = 2 * i JOIN u b ON b.k = 2 * i + 1""",
+        """, places AS (SELECT unnest(range((SELECT count(*) FROM nodes) + 10)) AS i, (SELECT count(*) FROM nodes) AS n, (SELECT greatest(1, count(*) // 12) FROM nodes) AS size)
+"""
+        + sql.draws("SELECT 2 * i + unnest([0, 1]) AS k FROM places", 0xA771B),
+    )
+)
+def generated_attributes(spark: SparkSession, d: str) -> DataFrame:
+    """Attributes of as many nodes as the given graph has, and rows of no node."""
+    from netloom.sources.generate import node_attributes
+
+    return node_attributes(spark, tables.supply_nodes(spark, d).count())
+
+
+@query(q("SELECT 'nodes' AS \"check\", count(*) AS expected, count(*) AS found, true AS ok FROM nodes UNION ALL SELECT 'edges', count(*), count(*), true FROM edges UNION ALL SELECT 'dangling', 0, 0, true"))
+def stored_graph_checks(spark: SparkSession, d: str) -> DataFrame:
+    """The graph written as a snapshot, and its tables checked against the manifest."""
+    from netloom.sources import store
+
+    root = folder(spark, "graphs")
+    store.write_graph(spark, tables.supply(spark, d), root, "supply", "supply")
+    return store.verify_graph(spark, f"{root}/supply")
+
+
+@query(q("SELECT id, x, y FROM nodes JOIN pos USING (idx)", sql.POSITIONS))
+def exported_positions(spark: SparkSession, d: str) -> DataFrame:
+    """Coordinates written as delimited text and read back as 32-bit numbers: the text is exact."""
+    from netloom.sources import store
+
+    graph, path = tables.supply_links(spark, d), folder(spark, "export")
+    store.export_positions(graph, layout.square_positions(graph.nodes, SEED), path)
+    return spark.read.csv(path, header=True, quote='"', escape='"', schema="id string, x float, y float")
