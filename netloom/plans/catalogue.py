@@ -14,7 +14,7 @@ from netloom.plans.lineage import cut, folder
 from netloom.plans.sql import q
 from netloom.sources import tables
 from netloom.sources.clustered import write_clustered
-from netloom.sources.edges import read_records, validity
+from netloom.sources.edges import from_table, read_records, validity
 from netloom.sources.mapping import Mapping
 
 SEED = 42
@@ -676,3 +676,13 @@ def exported_positions(spark: SparkSession, d: str) -> DataFrame:
     graph, path = tables.supply_links(spark, d), folder(spark, "export")
     store.export_positions(graph, layout.square_positions(graph.nodes, SEED), path)
     return spark.read.csv(path, header=True, quote='"', escape='"', schema="id string, x float, y float")
+
+
+@query(q("SELECT seq + 1 AS seq, 's' || l_suppkey AS source, 'p' || l_partkey AS target, CAST(l_quantity AS DOUBLE) AS weight FROM (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_suppkey, l_partkey, l_quantity) - 1 AS seq FROM lineitem)"))
+def csv_guessed(spark: SparkSession, d: str) -> DataFrame:
+    """Records written under a header in another order and with another delimiter, and read by what the file's beginning says; row 0 is the header."""
+    path = folder(spark, "guessed")
+    edges = from_table(*tables.lines_of(spark, d))
+    lines = edges.select("seq", F.concat_ws(";", "weight", "target", "source").alias("value")).union(spark.createDataFrame([(-1, "Value;to;From")], "seq long, value string"))
+    lines.repartitionByRange("seq").sortWithinPartitions("seq").select("value").write.text(path)
+    return read_records(spark, path)[0].withColumn("weight", F.col("weight").cast("double"))

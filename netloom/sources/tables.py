@@ -13,29 +13,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _lines(spark: SparkSession, sf_dir: str) -> tuple:
+def lines_of(spark: SparkSession, sf_dir: str) -> tuple:
     lines = table(spark, sf_dir, "lineitem")
     return lines, F.concat(F.lit("s"), "l_suppkey"), F.concat(F.lit("p"), "l_partkey"), F.col("l_quantity"), ["l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_quantity"]
 
 
 def supply(spark: SparkSession, sf_dir: str) -> Graph:
     """Suppliers to parts, an edge per line item."""
-    return intern(from_table(*_lines(spark, sf_dir)))
+    return intern(from_table(*lines_of(spark, sf_dir)))
 
 
 def supply_links(spark: SparkSession, sf_dir: str) -> Graph:
     """The same without the numbers of edges, for what doesn't ask for the order of edges."""
-    return intern_unnumbered(*unnumbered(*_lines(spark, sf_dir)))
+    return intern_unnumbered(*unnumbered(*lines_of(spark, sf_dir)))
 
 
 def supply_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Its nodes alone: idx, id, degree."""
-    return first_seen(*unnumbered(*_lines(spark, sf_dir)))
+    return first_seen(*unnumbered(*lines_of(spark, sf_dir)))
 
 
 def supply_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Its records (source, target, weight) alone."""
-    return unnumbered(*_lines(spark, sf_dir))[0].select("source", "target", "weight")
+    return unnumbered(*lines_of(spark, sf_dir))[0].select("source", "target", "weight")
 
 
 def geography(spark: SparkSession, sf_dir: str) -> Graph:
