@@ -239,8 +239,10 @@ def _tells(min_gain: float):
     return add
 
 
-def suffix_tree_scores(spark: SparkSession, docs: DataFrame, depth: int = DEPTH, min_count: int = MIN_COUNT, smooth: float = SMOOTH, min_gain: float = MIN_GAIN) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_in_context (symbols scored in a retained context)."""
+def suffix_tree_scores(spark: SparkSession, docs: DataFrame, depth: int = DEPTH, min_count: int = MIN_COUNT, smooth: float = SMOOTH, min_gain: float = MIN_GAIN, spare_bits: int = 0) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_in_context (symbols scored in a retained context).
+
+    Keys of a context and a word are exact while their numbers have 64 bits together, ``spare_bits`` for each included, and hashes beyond that."""
     scratch = Scratch(spark, "suffix_tree")
     blocks = write_blocks(scratch, docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), block_bytes=BLOCK_BYTES, convert=numbered, deal=False)
     n_ranges, rows = ranges(blocks, RANGE_BYTES), blocks
@@ -259,7 +261,7 @@ def suffix_tree_scores(spark: SparkSession, docs: DataFrame, depth: int = DEPTH,
         found = answers(scratch, rows, n_ranges, model.ask(k), 1, f"round{k}", _count(min_count if k else 0) if counts else _tells(min_gain), 2 if counts else 1, plain)
         if counts:
             n, v, most = found.mapInArrow(tidy(totals), "n long, v long, most long").agg(F.sum("n"), F.sum("v"), F.max("most")).first()
-            model.bits.append(((int(most or 0) + 1) * n_ranges).bit_length())
+            model.bits.append(((int(most or 0) + 1) * n_ranges).bit_length() + spare_bits)
             if k == 0:
                 model.total, model.distinct = int(n or 0), int(v or 0)
         rows = rows.join(found, "block", "left")

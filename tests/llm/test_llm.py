@@ -295,7 +295,7 @@ def test_secret_scan(spark, docs, nothing):
 
 
 def test_suffix_tree(spark, docs, nothing):
-    from netloom.llm.suffix_tree_lm import suffix_tree_scores
+    from netloom.llm.suffix_tree_lm import _low, suffix_tree_scores
 
     rows, smooth, least, gain_least, depth = corpus(), 2.0, 3, 0.5, 3
     texts = [words(r[1], lower=True) + [None] for r in rows]
@@ -328,12 +328,14 @@ def test_suffix_tree(spark, docs, nothing):
                 p = (c[s + (w,)] + smooth * p) / (c[s] + smooth)
             score += math.log10(p)
         expected[r[0]].append((h, len(t), sum(c[(w,)] > 0 for w in t), n, base, score))
-    found = suffix_tree_scores(spark, docs, depth, least, smooth, gain_least).collect()
-    assert len(found) == len(rows)
-    for r in found:
-        e = expected[r["doc_id"]][0]
-        assert tuple(r[1:5]) == e[:4]
-        assert r["base_score"] == pytest.approx(e[4]) and r["score"] == pytest.approx(e[5])
+    for spare in (0, 40):  # exact keys, and hashes
+        assert (_low(10 + spare, 10 + spare, 4) is None) == (spare > 0)
+        found = suffix_tree_scores(spark, docs, depth, least, smooth, gain_least, spare).collect()
+        assert len(found) == len(rows)
+        for r in found:
+            e = expected[r["doc_id"]][0]
+            assert tuple(r[1:5]) == e[:4]
+            assert r["base_score"] == pytest.approx(e[4]) and r["score"] == pytest.approx(e[5])
     assert suffix_tree_scores(spark, nothing).count() == 0
 
 
