@@ -6,9 +6,12 @@ bucketed by block id; each block sends its distinct keys, sorted and delta-coded
 answers each block with the sums in the order asked; the answers are joined to the blocks by bucket, without moving the blocks.
 
 A key appears once per block however often documents repeat it, so a key that a third of all rows hold costs one entry per block. The number of
-ranges follows the bytes of the corpus, so a range holds about as many distinct keys at any size; but a range of a key that every block has gets a row from
-every block, and rows get shorter and bytes a key more as ranges grow in number. A block
-sends a row for each range that it has keys of, and the rows of a few keys are coded together, so that rows and time follow the number of keys.
+ranges follows the bytes of the corpus, so a range holds about as many distinct keys at any size. Where there are more than ``1 << FAN_BITS`` of them,
+keys are added up in stages: blocks send to bundles of blocks, each for some of the highest bits of keys; a bundle sends each key once, with its sum, to a
+bundle of bundles for more of these bits, and so on, until a range has all bits and one bundle; answers come back the same way. Each
+stage has as many groups as there are ranges, of about as many entries as a block. So a sender writes to at most ``1 << FAN_BITS`` groups and a group hears
+from about as many senders whatever the corpus: bytes a key don't grow with the number of ranges, and a range whose key all blocks hold
+isn't told so by every block. A stage moves the keys once more each way.
 """
 
 from __future__ import annotations
@@ -24,9 +27,12 @@ from pyspark.sql import functions as F
 
 from netloom.llm.memory import tidy, tidy_group
 from netloom.llm.scratch import Scratch
+from netloom.llm.words import mix
 
 #: Bytes of text in a block, and of text per range of keys. A longer text is a block of its own.
 BLOCK_BYTES, RANGE_BYTES = 4 << 20, 8 << 20
+#: The most bits of keys by which a stage tells ranges apart.
+FAN_BITS = 10
 #: A row's number is its block's times this, plus its place there; a block has fewer rows.
 ROWS = 1 << 20
 
@@ -185,9 +191,20 @@ def ranges(blocks: DataFrame, range_bytes: int = RANGE_BYTES) -> int:
     return 1 << max(2, (int(total) // range_bytes).bit_length())
 
 
-def asked(keys: np.ndarray, values: list[np.ndarray], block: int, n_ranges: int, plain: int = 0) -> pa.RecordBatch | None:
-    """Rows (range, block, n, keys, v0...) of sorted distinct keys; a key's range is its highest bits. A row for each range that the block has
-    keys of: no more than its keys, however many ranges there are. The lowest ``plain`` bits of keys are written as they are, the rest as steps."""
+def stages(n_ranges: int, fan_bits: int) -> list[int]:
+    """How many of the highest bits of keys are told apart after each stage; the last has those of all ranges."""
+    bits = n_ranges.bit_length() - 1
+    n = max(1, -(-bits // fan_bits))
+    return [bits * (i + 1) // n for i in range(n)]
+
+
+def bundle_of(block: int, n_bundles: int) -> int:
+    return int(mix(np.array([block], np.uint64))[0]) & (n_bundles - 1)
+
+
+def asked(keys: np.ndarray, values: list[np.ndarray], block: int, n_ranges: int, plain: int = 0, bundle: int = 0) -> pa.RecordBatch | None:
+    """Rows (range, block, n, keys, v0...) of sorted distinct keys; a key's range is its highest bits, after those of the bundle. A row for each range that
+    the block has keys of: no more than its keys, however many ranges there are. The lowest ``plain`` bits of keys are written as they are, the rest as steps."""
     if not len(keys):
         return None
     part = range_of(keys, n_ranges)
@@ -197,13 +214,13 @@ def asked(keys: np.ndarray, values: list[np.ndarray], block: int, n_ranges: int,
     steps = np.diff(high, prepend=np.uint64(0))
     steps[begins] = high[begins]
     steps = steps << np.uint64(plain) | keys & np.uint64((1 << plain) - 1)
-    rows = {"range": pa.array(part[begins], pa.int32()), "block": pa.array(np.full(len(begins), block), pa.int64()), "n": pa.array(np.diff(edges), pa.int32()), "keys": parts_of(steps, edges)}
+    rows = {"range": pa.array(part[begins] + bundle * n_ranges, pa.int32()), "block": pa.array(np.full(len(begins), block), pa.int64()), "n": pa.array(np.diff(edges), pa.int32()), "keys": parts_of(steps, edges)}
     return pa.RecordBatch.from_pydict(rows | {f"v{i}": parts_of(signed(v), edges) for i, v in enumerate(values)})
 
 
-def merged(table: pa.Table, n_values: int, merge: Callable, plain: int = 0) -> pa.Table:
-    """Rows (block, range, n, r0...) of the rows that ``asked`` made for one range. They are merged in the order of their blocks, whatever the
-    order they come in, so that a task that runs again says the same."""
+def received(table: pa.Table, n_values: int, plain: int = 0) -> tuple[pa.Table, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """The rows that ``asked`` made for one range, in the order of their blocks, whatever the order they come in, so that a task that runs again says
+    the same; the edges of their entries, and the keys and values of these."""
     table = table.take(np.argsort(table.column("block").to_numpy(), kind="stable"))
     size = np.asarray(table.column("n"), np.int64)
     steps = values_of(table.column("keys"), size)
@@ -211,32 +228,84 @@ def merged(table: pa.Table, n_values: int, merge: Callable, plain: int = 0) -> p
     run = np.cumsum(steps >> np.uint64(plain), dtype=np.uint64)
     before = np.where(edges[:-1] > 0, run[edges[:-1] - 1], np.uint64(0))
     keys = (run - np.repeat(before, size)) << np.uint64(plain) | steps & np.uint64((1 << plain) - 1)
-    results = merge(keys, [unsigned(values_of(table.column(f"v{i}"), size)) for i in range(n_values)])
+    return table, edges, keys, [unsigned(values_of(table.column(f"v{i}"), size)) for i in range(n_values)]
+
+
+def _answer(table: pa.Table, edges: np.ndarray, results: list[np.ndarray]) -> pa.Table:
     return pa.table({"block": table.column("block"), "range": table.column("range"), "n": table.column("n"), **{f"r{i}": parts_of(signed(r), edges) for i, r in enumerate(results)}})
 
 
-def answers(scratch: Scratch, rows: DataFrame, n_ranges: int, ask: Callable, n_values: int, name: str, merge: Callable, n_results: int, plain: int = 0) -> DataFrame:
-    """One round: ``ask(row)`` (a dict of a block's columns) gives sorted distinct uint64 keys and ``n_values`` arrays of integers;
-    ``merge(keys, values)`` gets those of one range from all blocks, one after another, and gives ``n_results`` arrays in that order.
-    ``plain`` as for ``asked``. Returns block, ``name``: the list of answers by range, for ``answered``; bucketed as the blocks are, so that rounds to come don't move
-    them again."""
+def merged(table: pa.Table, n_values: int, merge: Callable, plain: int = 0) -> pa.Table:
+    """Rows (block, range, n, r0...) of the rows that ``asked`` made for one range."""
+    table, edges, keys, values = received(table, n_values, plain)
+    return _answer(table, edges, merge(keys, values))
+
+
+def passed_on(table: pa.Table, n_values: int, told: int, further: int, plain: int = 0) -> pa.RecordBatch:
+    """What a bundle of a stage that tells ``told`` bits apart asks the next, which tells ``further`` ones: each key once, with the sums of its values."""
+    node = table.column("range")[0].as_py()
+    _, _, keys, values = received(table, n_values, plain)
+    order = np.argsort(keys, kind="stable")
+    k = keys[order]
+    begins = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+    return asked(k[begins], [np.add.reduceat(v[order], begins) for v in values], node, 1 << further, plain, node >> further)
+
+
+def passed_back(table: pa.Table, found: pa.Table, n_results: int, share: Callable | None, plain: int = 0) -> pa.Table:
+    """The answers to the senders of a bundle (``table``, as it was received), from those to the bundle (``found``). Senders of a key get the same unless
+    ``share(results, which, first)`` deals it out: ``which`` key each entry has, and the ``first`` entry of each key."""
+    table, edges, keys, _ = received(table, 0, plain)
+    found = found.take(np.argsort(found.column("part").to_numpy(), kind="stable"))
+    size = np.asarray(found.column("n"), np.int64)
+    results = [unsigned(values_of(found.column(f"r{i}"), size)) for i in range(n_results)]
+    _, first, which = distinct(keys)
+    return _answer(table, edges, share(results, which, first) if share else [r[which] for r in results])
+
+
+def _plain_binary(out):
+    return out.cast(pa.schema([f.with_type(pa.binary()) if f.type == pa.large_binary() else f for f in out.schema]))
+
+
+def answers(
+    scratch: Scratch, rows: DataFrame, n_ranges: int, ask: Callable, n_values: int, name: str, merge: Callable, n_results: int, plain: int = 0, share: Callable | None = None
+) -> DataFrame:
+    """One round: ``ask(row)`` (a dict of a block's columns) gives sorted distinct uint64 keys and ``n_values`` arrays of integers, which are added up by key;
+    ``merge(keys, values)`` gets those of one range from all blocks or bundles, one after another, and gives ``n_results`` arrays in that order.
+    ``plain`` as for ``asked``, ``share`` as for ``passed_back``. Returns block, ``name``: the list of answers by range, for ``answered``; bucketed as the
+    blocks are, so that rounds to come don't move them again."""
     values, results = "".join(f", v{i} binary" for i in range(n_values)), "".join(f", r{i} binary" for i in range(n_results))
+    asks, gives = f"range int, block long, n int, keys binary{values}", f"block long, range int, n int{results}"
+    told = stages(n_ranges, FAN_BITS)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in rows_of(batch):
                 keys, found = ask(row)
-                if (out := asked(keys, found, row["block"], n_ranges, plain)) is not None:
-                    yield out.cast(pa.schema([f.with_type(pa.binary()) if f.type == pa.large_binary() else f for f in out.schema]))
+                if (out := asked(keys, found, row["block"], 1 << told[0], plain, bundle_of(row["block"], n_ranges >> told[0]))) is not None:
+                    yield _plain_binary(out)
 
     def add(table: pa.Table) -> pa.Table:
-        out = merged(table, n_values, merge, plain)
-        return out.cast(pa.schema([f.with_type(pa.binary()) if f.type == pa.large_binary() else f for f in out.schema]))
-
-    sent = rows.mapInArrow(tidy(send), f"range int, block long, n int, keys binary{values}")
-    summed = sent.groupBy("range").applyInArrow(tidy_group(add), f"block long, range int, n int{results}")
+        return _plain_binary(merged(table, n_values, merge, plain))
+
+    def up(i: int) -> Callable:
+        return tidy_group(lambda table: _plain_binary(pa.Table.from_batches([passed_on(table, n_values, told[i], told[i + 1], plain)])))
+
+    def down(table: pa.Table, found: pa.Table) -> pa.Table:
+        return _plain_binary(passed_back(table, found, n_results, share, plain))
+
+    sent, bundles = rows.mapInArrow(tidy(send), asks), []
+    for i in range(len(told) - 1):
+        bundles.append(scratch.bucketed(sent, f"{name}_stage{i}", "range"))
+        sent = bundles[-1].groupBy("range").applyInArrow(up(i), asks)
+    summed = sent.groupBy("range").applyInArrow(tidy_group(add), gives)
+    for bundle in reversed(bundles):
+        back = summed.select(F.col("block").cast("int").alias("range"), F.col("range").alias("part"), "n", *(f"r{i}" for i in range(n_results)))
+        summed = bundle.select("range", "block", "n", "keys").groupBy("range").cogroup(back.groupBy("range")).applyInArrow(down, gives)
     each = summed.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("range", "n", *(f"r{i}" for i in range(n_results))))).alias(name))
-    return scratch.bucketed(each, name, "block")
+    out = scratch.bucketed(each, name, "block")
+    for i in range(len(bundles)):
+        scratch.drop(f"{name}_stage{i}")
+    return out
 
 
 def answered(found: pa.StructArray | None, n_results: int) -> list[np.ndarray]:

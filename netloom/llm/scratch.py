@@ -68,6 +68,12 @@ class Scratch:
         self.tables.append(table)
         return self.spark.table(table)
 
+    def drop(self, name: str) -> None:
+        """Removes a bucketed table that is no longer read."""
+        table = f"netloom_{self.id}_{name}"
+        self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+        self.tables.remove(table)
+
     def remove(self, name: str) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

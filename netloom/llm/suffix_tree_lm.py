@@ -225,6 +225,14 @@ def _count(least: int):
     return add
 
 
+def _spoken_for(results: list, which: np.ndarray, first: np.ndarray) -> list:
+    """What ``_count`` told a bundle, for each of its senders' entries: one of those of a key may speak for it where the bundle's may."""
+    whole, number = results
+    out = whole[which] & ~1
+    out[first] = whole
+    return [out, number[which]]
+
+
 def _told(found: pa.StructArray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     both, number = answered(found, 2)
     return both >> 1, both & 1 > 0, number
@@ -258,7 +266,7 @@ def suffix_tree_scores(spark: SparkSession, docs: DataFrame, depth: int = DEPTH,
     for k in range(2 * depth + 1):
         counts = k == 0 or k % 2 == 1
         plain = _low(model.bits[k // 2], model.bits[0], n_ranges) or 0 if k % 2 else 0
-        found = answers(scratch, rows, n_ranges, model.ask(k), 1, f"round{k}", _count(min_count if k else 0) if counts else _tells(min_gain), 2 if counts else 1, plain)
+        found = answers(scratch, rows, n_ranges, model.ask(k), 1, f"round{k}", _count(min_count if k else 0) if counts else _tells(min_gain), 2 if counts else 1, plain, _spoken_for if counts else None)
         if counts:
             n, v, most = found.mapInArrow(tidy(totals), "n long, v long, most long").agg(F.sum("n"), F.sum("v"), F.max("most")).first()
             model.bits.append(((int(most or 0) + 1) * n_ranges).bit_length() + spare_bits)

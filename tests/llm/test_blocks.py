@@ -6,7 +6,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from netloom.llm.blocks import asked, merged, parts_of, signed, summed, unsigned, values_of
+from netloom.llm import blocks, ngram_join, substring_dedup, suffix_tree_lm
+from netloom.llm.blocks import FAN_BITS, asked, bundle_of, merged, parts_of, passed_on, signed, stages, summed, unsigned, values_of
 
 
 @pytest.mark.parametrize("n", [0, 1, 5, 127, 128, 3000])
@@ -44,11 +45,63 @@ def test_low_bits_of_keys_are_left_as_they_are():
     rng = np.random.default_rng(5)
     for plain in (0, 8, 16):
         for n in (1, 100, 5000):
-            blocks = []
+            sent = []
             for block in (3, 1, 2):
                 keys = np.unique(rng.integers(0, 1 << 61, n).astype(np.uint64))  # the highest bits, a range of 8, are 0
-                blocks.append((block, keys, pa.Table.from_batches([asked(keys, [np.ones(len(keys), np.int64)], block, 8, plain)])))
+                sent.append((block, keys, pa.Table.from_batches([asked(keys, [np.ones(len(keys), np.int64)], block, 8, plain)])))
             seen = []
-            out = merged(pa.concat_tables([t for _, _, t in blocks]), 1, lambda k, v, seen=seen: seen.append(k) or [summed(k, v[0])], plain)
+            out = merged(pa.concat_tables([t for _, _, t in sent]), 1, lambda k, v, seen=seen: seen.append(k) or [summed(k, v[0])], plain)
             assert out.column("block").to_pylist() == [1, 2, 3]
-            assert np.array_equal(seen[0], np.concatenate([k for _, k, _ in sorted(blocks, key=lambda x: x[0])]))
+            assert np.array_equal(seen[0], np.concatenate([k for _, k, _ in sorted(sent, key=lambda x: x[0])]))
+
+
+def test_stages_tell_all_ranges_apart():
+    assert stages(4, 10) == [2] and stages(1024, 10) == [10] and stages(8192, 10) == [6, 13] and stages(1 << 24, 10) == [8, 16, 24]
+    for bits in range(2, 31):
+        steps = np.diff([0, *stages(1 << bits, FAN_BITS)])
+        assert steps.sum() == bits and steps.min() >= 1 and steps.max() <= FAN_BITS
+
+
+def test_bytes_a_key_do_not_grow_with_the_ranges():
+    keys = np.unique(np.random.default_rng(1).integers(0, 2**63, size=200_000, dtype=np.uint64) * np.uint64(2))
+    counts = np.ones(len(keys), np.int64)
+    size = {}
+    for bits in (10, 13, 18, 24):  # some 8 GB to 100 TB of text
+        told = stages(1 << bits, FAN_BITS)
+        rows = asked(keys, [counts], 7, 1 << told[0], 0, bundle_of(7, 1 << bits - told[0]))
+        assert len(rows) <= 1 << FAN_BITS
+        size[bits] = rows.nbytes / len(keys)
+    assert max(size.values()) <= 1.01 * size[10] and size[10] < 10
+
+
+@pytest.mark.parametrize("twice", [0, 1, 2])
+def test_a_key_of_every_block_reaches_its_range_from_few_bundles(twice):
+    """Blocks double, and so do ranges: the rows of a hot key's groups stay as they are, and their sums are whole."""
+    bits, fan = 6 + twice, 3
+    told, n = stages(1 << bits, fan), 2 << bits
+    hot = np.array([3, 1 << 40, (1 << 62) + 5], np.uint64)
+    sent = [pa.Table.from_batches([asked(hot, [np.array([1, 2, 3])], b << 20, 1 << told[0], 0, bundle_of(b << 20, 1 << bits - told[0]))]) for b in range(n)]
+    for i, t in enumerate(told):
+        whole = pa.concat_tables(sent).to_pydict()
+        groups = {g: pa.Table.from_pylist([{c: whole[c][j] for c in whole} for j in range(len(whole["range"])) if whole["range"][j] == g], pa.concat_tables(sent).schema) for g in set(whole["range"])}
+        assert max(len(g) for g in groups.values()) <= 6 << fan
+        if i + 1 < len(told):
+            sent = [pa.Table.from_batches([passed_on(g, 1, t, told[i + 1])]) for g in groups.values()]
+    assert set(groups) == {int(k) >> (64 - bits) for k in hot}
+    told_sums = {}
+    for g in groups.values():
+        merged(g, 1, lambda k, v: told_sums.update(zip(k.tolist(), summed(k, v[0]).tolist())) or [v[0]])
+    assert told_sums == {3: n, 1 << 40: 2 * n, (1 << 62) + 5: 3 * n}
+
+
+@pytest.mark.parametrize("name", ["substring_dedup", "ngram_join", "suffix_tree"])
+def test_operators_in_three_stages(spark, monkeypatch, name):
+    """The brute-force tests of the operators again, with 64 ranges told apart two bits at a time and seven blocks."""
+    import test_llm
+
+    monkeypatch.setattr(blocks, "FAN_BITS", 2)
+    for module in (substring_dedup, ngram_join, suffix_tree_lm):
+        monkeypatch.setattr(module, "ranges", lambda *_: 64)
+    docs = spark.createDataFrame(test_llm.corpus(), test_llm.SCHEMA).repartition(7)
+    getattr(test_llm, f"test_{name}")(spark, docs, spark.createDataFrame([], test_llm.SCHEMA))
+    assert not spark.sql("SHOW TABLES").where("tableName LIKE '%stage%'").count()
