@@ -209,14 +209,14 @@ class Model:
         return asked
 
 
-def _count(least: int):
+def _count(least: int | None):
     """Of each entry the sum of its key, doubled, and one more for the one entry of a key that may speak for it; and the number of the key among
-    those of the range that sum up to ``least``, from 1 on, the most frequent first."""
+    those of the range that sum up to ``least``, from 1 on, the most frequent first. Nothing is numbered if that is None."""
 
     def add(keys: np.ndarray, values: list) -> list:
         each, first, which = distinct(keys)
         totals = np.bincount(which, weights=values[0], minlength=len(each)).astype(np.int64) if values[0].sum() < 1 << 53 else summed(keys, values[0])[first]
-        whole, often = totals[which] * 2, totals >= least
+        whole, often = totals[which] * 2, totals >= (np.inf if least is None else least)
         whole[first] += 1
         number = np.zeros(len(each), np.int64)
         number[np.argsort(np.where(often, -totals, 1), kind="stable")[: often.sum()]] = np.arange(often.sum()) + 1
@@ -265,8 +265,9 @@ def suffix_tree_scores(spark: SparkSession, docs: DataFrame, depth: int = DEPTH,
 
     for k in range(2 * depth + 1):
         counts = k == 0 or k % 2 == 1
+        least = 0 if k == 0 else min_count if k < 2 * depth - 1 else None  # the longest n-grams are no contexts and need no numbers
         plain = _low(model.bits[k // 2], model.bits[0], n_ranges) or 0 if k % 2 else 0
-        found = answers(scratch, rows, n_ranges, model.ask(k), 1, f"round{k}", _count(min_count if k else 0) if counts else _tells(min_gain), 2 if counts else 1, plain, _spoken_for if counts else None)
+        found = answers(scratch, rows, n_ranges, model.ask(k), 1, f"round{k}", _count(least) if counts else _tells(min_gain), 2 if counts else 1, plain, _spoken_for if counts else None)
         if counts:
             n, v, most = found.mapInArrow(tidy(totals), "n long, v long, most long").agg(F.sum("n"), F.sum("v"), F.max("most")).first()
             model.bits.append(((int(most or 0) + 1) * n_ranges).bit_length() + spare_bits)
