@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm.blocks import answered, answers, decode, distinct, pack, range_of, ranges, rows_of, summed, unpack, write_blocks
+from netloom.llm.blocks import answered, answers, decode, distinct, encode, pack, range_of, ranges, rows_of, summed, unpack, write_blocks
 from netloom.llm.memory import tidy
 from netloom.llm.scratch import Scratch
 from netloom.llm.words import Words, mix
@@ -57,18 +57,43 @@ def numbered(table: pa.Table) -> pa.Table:
     h = np.full(len(words) + n, _END, np.uint64)
     h[np.arange(len(words)) + words.doc] = words.hashes()
     vocabulary, _, number = distinct(h)
-    order = np.argsort(-np.bincount(number, minlength=len(vocabulary)), kind="stable")
+    often = np.bincount(number, minlength=len(vocabulary))
+    rank = _ranks(often)
+    return pa.table(
+        {
+            "doc_id": table.column("doc_id"),
+            "size": pa.array(np.diff(first)),
+            "symbols": _once(pack(rank[number]), n),
+            "often": _once(pack(often), n),
+            "vocabulary": _once(pack(np.diff(vocabulary, prepend=np.uint64(0))), n),
+        }
+    )
+
+
+def counted_once(payload, n_ranges: int) -> bytes:
+    """A block whose symbols have been counted: of their hashes only the order, which ``often`` tells, and the ranges are needed from now on."""
+    table, tree = decode(payload), _Tree(payload)
+    parts = np.diff(range_of(tree.key[tree.order], n_ranges), prepend=0)
+    return encode(table.drop_columns("vocabulary").append_column("ranges", _once(pack(parts), len(table))))
+
+
+def _once(raw: bytes, n: int) -> pa.Array:
+    """What is the whole block's is held by its first row."""
+    return pa.array([raw] + [b""] * (n - 1), pa.large_binary())
+
+
+def _ranks(often: np.ndarray) -> np.ndarray:
+    """The numbers of symbols sorted by hash: the frequent ones first."""
+    order = np.argsort(-often, kind="stable")
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
-    # what is the whole block's is held by its first row; equally frequent symbols are sorted by their hashes, so steps are small
-    once = lambda raw: pa.array([raw] + [b""] * (n - 1), pa.large_binary())
-    return pa.table({"doc_id": table.column("doc_id"), "size": pa.array(np.diff(first)), "symbols": once(pack(rank[number])), "vocabulary": once(pack(np.diff(vocabulary[order], prepend=np.uint64(0))))})
+    return rank
 
 
 class _Tree:
     """A block's symbols and, level by level, its n-grams with their corpus-wide counts and the contexts that are retained."""
 
-    def __init__(self, payload):
+    def __init__(self, payload, n_ranges: int = 1):
         table = decode(payload)
         self.ids = table.column("doc_id").to_pylist()
         self.first = np.concatenate([[0], np.cumsum(table.column("size").to_numpy())])
@@ -76,8 +101,12 @@ class _Tree:
         self.doc = np.repeat(np.arange(len(self.ids)), np.diff(self.first))
         self.place = np.arange(len(self.number)) - self.first[self.doc]
         self.train = ~held_out(self.ids)[self.doc] if len(self.ids) else np.zeros(0, bool)
-        self.vocabulary = np.cumsum(unpack(table.column("vocabulary")[0].as_py(), int(self.number.max()) + 1), dtype=np.uint64)
-        self.key = self.vocabulary
+        n = int(self.number.max()) + 1
+        self.order = _ranks(unpack(table.column("often")[0].as_py(), n).astype(np.int64))
+        whole = "vocabulary" in table.schema.names
+        key = np.cumsum(unpack(table.column("vocabulary" if whole else "ranges")[0].as_py(), n), dtype=np.uint64)
+        self.key = np.empty(n, np.uint64)
+        self.key[self.order] = key if whole else key << np.uint64(64 - (n_ranges.bit_length() - 1))
         self.gram = self.number  # of each position: the number of the n-gram that ends there, or -1
         self.at = np.arange(len(self.number))
         self.kept = np.ones(len(self.number), bool)  # of each position: its context of this level is retained
@@ -85,7 +114,8 @@ class _Tree:
 
     def keys(self) -> tuple[np.ndarray, np.ndarray]:
         """Sorted keys of the level's n-grams, and how often each occurs here in training."""
-        self.order = np.argsort(self.key)
+        if self.depth:
+            self.order = np.argsort(self.key)
         local = np.bincount(self.gram[self.at], weights=self.train[self.at], minlength=len(self.key))
         return self.key[self.order], local[self.order].astype(np.int64)
 
@@ -176,7 +206,7 @@ class Model:
         self.bits: list[int] = []  # of the numbers of words, and of contexts of each length from 2 on
 
     def grown(self, row: dict, answered_rounds: int) -> _Tree:
-        tree = _Tree(row["payload"])
+        tree = _Tree(row["payload"], self.n_ranges)
         if not answered_rounds:
             return tree
         tree.keys()
@@ -263,6 +293,11 @@ def suffix_tree_scores(spark: SparkSession, docs: DataFrame, depth: int = DEPTH,
                 told = count[credit & (count > 0)]
                 yield pa.RecordBatch.from_pydict({"n": pa.array([int(told.sum())], pa.int64()), "v": pa.array([len(told)], pa.int64()), "most": pa.array([int(number.max(initial=0))], pa.int64())})
 
+    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in rows_of(batch):
+                yield pa.RecordBatch.from_pydict({"block": pa.array([row["block"]], pa.int64()), "payload": pa.array([counted_once(row["payload"], n_ranges)], pa.binary())})
+
     for k in range(2 * depth + 1):
         counts = k == 0 or k % 2 == 1
         least = 0 if k == 0 else min_count if k < 2 * depth - 1 else None  # the longest n-grams are no contexts and need no numbers
@@ -273,6 +308,8 @@ def suffix_tree_scores(spark: SparkSession, docs: DataFrame, depth: int = DEPTH,
             model.bits.append(((int(most or 0) + 1) * n_ranges).bit_length() + spare_bits)
             if k == 0:
                 model.total, model.distinct = int(n or 0), int(v or 0)
+                rows = scratch.bucketed(blocks.mapInArrow(tidy(shorten), "block long, payload binary"), "numbers", "block", deal=False)
+                scratch.drop("blocks")
         rows = rows.join(found, "block", "left")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
