@@ -44,20 +44,22 @@ ONE_BY_ONE = 128
 def pack(a: np.ndarray) -> bytes:
     """Integers, byte by byte of equal weight together, each weight compressed by itself: which weights have bytes other than 0, then for each of
     these its size and its bytes."""
-    planes = np.ascontiguousarray(np.ascontiguousarray(a, np.uint64).view(np.uint8).reshape(len(a), 8).T)
-    used = [k for k in range(8) if planes[k].any()]
-    raw = [pa.compress(planes[k].tobytes(), codec="zstd", asbytes=True) for k in used]
+    a = np.ascontiguousarray(a, np.uint64)
+    held, planes = int(np.bitwise_or.reduce(a)), a.view(np.uint8).reshape(len(a), 8)
+    used = [k for k in range(8) if held >> 8 * k & 255]
+    raw = [pa.compress(planes[:, k].tobytes(), codec="zstd", asbytes=True) for k in used]
     return b"".join([bytes([sum(1 << k for k in used)]), *(len(x).to_bytes(4, "little") + x for x in raw)])
 
 
 def unpack(raw: bytes, n: int) -> np.ndarray:
-    planes, at = np.zeros((8, n), np.uint8), 1
+    out, at = np.zeros(n, np.uint64), 1
+    planes = out.view(np.uint8).reshape(n, 8)
     for k in range(8):
         if raw[0] >> k & 1:
             size = int.from_bytes(raw[at : at + 4], "little")
-            planes[k] = np.frombuffer(pa.decompress(raw[at + 4 : at + 4 + size], n, codec="zstd", asbytes=True), np.uint8)
+            planes[:, k] = np.frombuffer(pa.decompress(raw[at + 4 : at + 4 + size], n, codec="zstd", asbytes=True), np.uint8)
             at += 4 + size
-    return np.ascontiguousarray(planes.T).view(np.uint64).reshape(n)
+    return out
 
 
 def parts_of(values: np.ndarray, edges: np.ndarray) -> pa.LargeBinaryArray:
@@ -231,14 +233,15 @@ def received(table: pa.Table, n_values: int, plain: int = 0) -> tuple[pa.Table,
     return table, edges, keys, [unsigned(values_of(table.column(f"v{i}"), size)) for i in range(n_values)]
 
 
-def _answer(table: pa.Table, edges: np.ndarray, results: list[np.ndarray]) -> pa.Table:
+def _answer(table: pa.Table, edges: np.ndarray, results: list[np.ndarray], code: tuple[Callable, Callable] | None = None) -> pa.Table:
+    results = code[0](results, np.diff(edges)) if code else results
     return pa.table({"block": table.column("block"), "range": table.column("range"), "n": table.column("n"), **{f"r{i}": parts_of(signed(r), edges) for i, r in enumerate(results)}})
 
 
-def merged(table: pa.Table, n_values: int, merge: Callable, plain: int = 0) -> pa.Table:
+def merged(table: pa.Table, n_values: int, merge: Callable, plain: int = 0, code: tuple[Callable, Callable] | None = None) -> pa.Table:
     """Rows (block, range, n, r0...) of the rows that ``asked`` made for one range."""
     table, edges, keys, values = received(table, n_values, plain)
-    return _answer(table, edges, merge(keys, values))
+    return _answer(table, edges, merge(keys, values), code)
 
 
 def passed_on(table: pa.Table, n_values: int, told: int, further: int, plain: int = 0) -> pa.RecordBatch:
@@ -251,15 +254,16 @@ def passed_on(table: pa.Table, n_values: int, told: int, further: int, plain: in
     return asked(k[begins], [np.add.reduceat(v[order], begins) for v in values], node, 1 << further, plain, node >> further)
 
 
-def passed_back(table: pa.Table, found: pa.Table, n_results: int, share: Callable | None, plain: int = 0) -> pa.Table:
+def passed_back(table: pa.Table, found: pa.Table, n_results: int, share: Callable | None, plain: int = 0, code: tuple[Callable, Callable] | None = None) -> pa.Table:
     """The answers to the senders of a bundle (``table``, as it was received), from those to the bundle (``found``). Senders of a key get the same unless
     ``share(results, which, first)`` deals it out: ``which`` key each entry has, and the ``first`` entry of each key."""
     table, edges, keys, _ = received(table, 0, plain)
     found = found.take(np.argsort(found.column("part").to_numpy(), kind="stable"))
     size = np.asarray(found.column("n"), np.int64)
     results = [unsigned(values_of(found.column(f"r{i}"), size)) for i in range(n_results)]
+    results = code[1](results, size) if code else results
     _, first, which = distinct(keys)
-    return _answer(table, edges, share(results, which, first) if share else [r[which] for r in results])
+    return _answer(table, edges, share(results, which, first) if share else [r[which] for r in results], code)
 
 
 def _plain_binary(out):
@@ -267,11 +271,12 @@ def _plain_binary(out):
 
 
 def answers(
-    scratch: Scratch, rows: DataFrame, n_ranges: int, ask: Callable, n_values: int, name: str, merge: Callable, n_results: int, plain: int = 0, share: Callable | None = None
+    scratch: Scratch, rows: DataFrame, n_ranges: int, ask: Callable, n_values: int, name: str, merge: Callable, n_results: int, plain: int = 0, share: Callable | None = None, code: tuple[Callable, Callable] | None = None
 ) -> DataFrame:
     """One round: ``ask(row)`` (a dict of a block's columns) gives sorted distinct uint64 keys and ``n_values`` arrays of integers, which are added up by key;
     ``merge(keys, values)`` gets those of one range from all blocks or bundles, one after another, and gives ``n_results`` arrays in that order.
-    ``plain`` as for ``asked``, ``share`` as for ``passed_back``. Returns block, ``name``: the list of answers by range, for ``answered``; bucketed as the
+    ``plain`` as for ``asked``, ``share`` as for ``passed_back``; ``code``, two functions of the results of some parts and the parts' sizes: what is written
+    instead of these results, and the results from that. Returns block, ``name``: the list of answers by range, for ``answered``; bucketed as the
     blocks are, so that rounds to come don't move them again."""
     values, results = "".join(f", v{i} binary" for i in range(n_values)), "".join(f", r{i} binary" for i in range(n_results))
     asks, gives = f"range int, block long, n int, keys binary{values}", f"block long, range int, n int{results}"
@@ -285,13 +290,13 @@ def answers(
                     yield _plain_binary(out)
 
     def add(table: pa.Table) -> pa.Table:
-        return _plain_binary(merged(table, n_values, merge, plain))
+        return _plain_binary(merged(table, n_values, merge, plain, code))
 
     def up(i: int) -> Callable:
         return tidy_group(lambda table: _plain_binary(pa.Table.from_batches([passed_on(table, n_values, told[i], told[i + 1], plain)])))
 
     def down(table: pa.Table, found: pa.Table) -> pa.Table:
-        return _plain_binary(passed_back(table, found, n_results, share, plain))
+        return _plain_binary(passed_back(table, found, n_results, share, plain, code))
 
     sent, bundles = rows.mapInArrow(tidy(send), asks), []
     for i in range(len(told) - 1):
@@ -308,12 +313,13 @@ def answers(
     return out
 
 
-def answered(found: pa.StructArray | None, n_results: int) -> list[np.ndarray]:
+def answered(found: pa.StructArray | None, n_results: int, code: tuple[Callable, Callable] | None = None) -> list[np.ndarray]:
     """The answers to a block's keys, in the order of its sorted keys."""
     if found is None or not len(found):
         return [np.zeros(0, np.int64) for _ in range(n_results)]
     size = found.field("n").to_numpy()
-    return [unsigned(values_of(found.field(f"r{i}"), size)) for i in range(n_results)]
+    results = [unsigned(values_of(found.field(f"r{i}"), size)) for i in range(n_results)]
+    return code[1](results, size) if code else results
 
 
 def range_of(keys: np.ndarray, n_ranges: int) -> np.ndarray:

@@ -114,8 +114,6 @@ class _Tree:
 
     def keys(self) -> tuple[np.ndarray, np.ndarray]:
         """Sorted keys of the level's n-grams, and how often each occurs here in training."""
-        if self.depth:
-            self.order = np.argsort(self.key)
         local = np.bincount(self.gram[self.at], weights=self.train[self.at], minlength=len(self.key))
         return self.key[self.order], local[self.order].astype(np.int64)
 
@@ -136,33 +134,37 @@ class _Tree:
         ok = self.kept & (before >= 0)
         ok[ok] = self.count[before[ok]] >= min_count
         at = np.flatnonzero(ok)
-        _, index, number = distinct((before[at] << 32) | self.number[at])
-        context = before[at][index]
+        key, index, number = distinct(_joined(self.id[before[at]], self.word[self.number[at]], *bits, n_ranges))
+        context = before[at[index]]
         self.lower_key = _aligned(self.id, n_ranges)
         self.context_of, self.context_count = context, self.count[context]
-        w_below = below[at][index]  # the n-gram of the suffix and the symbol
-        suffix_count = self.suffix_counts[at][index] if self.depth else total
+        w_below = below[at[index]]  # the n-gram of the suffix and the symbol
+        suffix_count = self.suffix_counts[at[index]] if self.depth else total
         self.q = self.count[w_below] / np.maximum(suffix_count, 1)
         suffix_counts = np.zeros(len(below), np.int64)
         suffix_counts[at] = self.count[before[at]]
         self.suffix_counts = suffix_counts  # of each position: how often its context of the new level occurs
-        self.key = _joined(self.id[context], self.word[self.number[at][index]], *bits, n_ranges)
+        self.key, self.order = key, slice(None)
         gram = np.full(len(below), -1)
         gram[at] = number
         self.gram, self.at = gram, at
         self.depth += 1
 
+    def group(self) -> None:
+        """The level's n-grams by their contexts."""
+        held = np.zeros(len(self.lower_key), bool)
+        held[self.context_of] = True
+        self.contexts, self.which = np.flatnonzero(held), (np.cumsum(held) - 1)[self.context_of]
+        self.context_key = self.lower_key[self.contexts]
+        self.context_order = np.argsort(self.context_key)
+
     def gains(self, smooth: float) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted distinct hashes of the contexts, and the gain of what this block has to tell of each."""
-        contexts, _, which = distinct(self.context_of)
+        """Sorted distinct keys of the contexts, and the gain of what this block has to tell of each."""
         tell = np.flatnonzero(self.credit & (self.count > 0))
         c, q, s = self.count[tell], self.q[tell], self.context_count[tell]
         gain = c * (np.log((c - 1 + smooth * q) / (s - 1 + smooth)) - np.log(q))
-        whole = np.bincount(which[tell], weights=np.round(gain * UNIT), minlength=len(contexts)).astype(np.int64)
-        h = self.lower_key[contexts]
-        order = np.argsort(h)
-        self.contexts, self.context_order, self.which = contexts, order, which
-        return h[order], whole[order]
+        whole = np.bincount(self.which[tell], weights=np.round(gain * UNIT), minlength=len(self.contexts)).astype(np.int64)
+        return self.context_key[self.context_order], whole[self.context_order]
 
     def retain(self, found: list) -> None:
         retained = np.empty(len(self.contexts), bool)
@@ -211,20 +213,25 @@ class Model:
             return tree
         tree.keys()
         tree.counted(row["round0"], self.n_ranges)
-        tree.known = tree.count[tree.gram] > 0
-        tree.base = (tree.count[tree.gram] + 1.0) / (self.total + self.distinct + 1)
-        tree.p = tree.base.copy()
-        tree.in_context = np.zeros(len(tree.p), bool)
+        whole = answered_rounds > 2 * self.depth
+        if whole:
+            count = tree.count[tree.gram]
+            tree.known = count > 0
+            tree.base = (count + 1.0) / (self.total + self.distinct + 1)
+            tree.p = tree.base.copy()
+            tree.in_context = np.zeros(len(tree.p), bool)
         for d in range(1, self.depth + 1):
             tree.climb(self.total, self.min_count, (self.bits[d - 1], self.bits[0]), self.n_ranges)
             if answered_rounds < 2 * d:
                 break
             tree.keys()
             tree.counted(row[f"round{2 * d - 1}"], self.n_ranges)
-            tree.gains(self.smooth)
+            tree.group()
             if answered_rounds < 2 * d + 1:
                 break
             tree.retain(row[f"round{2 * d}"])
+            if not whole:
+                continue
             at = np.flatnonzero(tree.kept)
             tree.in_context[at] = True
             tree.p[at] = (tree.count[tree.gram[at]] + self.smooth * tree.p[at]) / (tree.suffix_counts[at] + self.smooth)
@@ -263,8 +270,47 @@ def _spoken_for(results: list, which: np.ndarray, first: np.ndarray) -> list:
     return [out, number[which]]
 
 
+def _by_count(whole: np.ndarray, size: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the numbered entries (``some``) of some parts in which their numbers ascend: by part, then the most frequent first, then by key;
+    and where the first of each part stands."""
+    part, count = np.repeat(np.arange(len(size)), size)[some], whole[some] >> 1
+    width = int(count.max(initial=0)).bit_length()
+    if width + len(size).bit_length() < 63:
+        order = np.argsort((part << width) + ((1 << width) - 1 - count), kind="stable")
+    else:
+        order = np.lexsort((-count, part))
+    return some[order], np.flatnonzero(np.diff(part, prepend=-1))
+
+
+def _steps(results: list, size: np.ndarray) -> list:
+    """Instead of the numbers of ``_count`` their steps in the order in which they ascend: a byte or two, where a number has three. In a part that
+    holds several ranges, told apart in a later stage, steps may go down or stay; 0 is no number, so these are one less."""
+    whole, number = results
+    order, first = _by_count(whole, size, np.flatnonzero(number))
+    ascending = number[order]
+    step = np.diff(ascending, prepend=0)
+    step[first] = ascending[first]
+    out = np.zeros(len(number), np.int64)
+    out[order] = step - (step <= 0)
+    return [whole, out]
+
+
+def _numbers(results: list, size: np.ndarray) -> list:
+    """The numbers of their steps."""
+    whole, step = results
+    order, first = _by_count(whole, size, np.flatnonzero(step))
+    run = np.cumsum(step[order] + (step[order] < 0))
+    before = np.where(first > 0, run[first - 1], 0)
+    out = np.zeros(len(step), np.int64)
+    out[order] = run - np.repeat(before, np.diff([*first, len(run)]))
+    return [whole, out]
+
+
+_CODE = (_steps, _numbers)
+
+
 def _told(found: pa.StructArray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    both, number = answered(found, 2)
+    both, number = answered(found, 2, _CODE) if found is not None and len(found) else answered(found, 2)
     return both >> 1, both & 1 > 0, number
 
 
@@ -302,7 +348,7 @@ def suffix_tree_scores(spark: SparkSession, docs: DataFrame, depth: int = DEPTH,
         counts = k == 0 or k % 2 == 1
         least = 0 if k == 0 else min_count if k < 2 * depth - 1 else None  # the longest n-grams are no contexts and need no numbers
         plain = _low(model.bits[k // 2], model.bits[0], n_ranges) or 0 if k % 2 else 0
-        found = answers(scratch, rows, n_ranges, model.ask(k), 1, f"round{k}", _count(least) if counts else _tells(min_gain), 2 if counts else 1, plain, _spoken_for if counts else None)
+        found = answers(scratch, rows, n_ranges, model.ask(k), 1, f"round{k}", _count(least) if counts else _tells(min_gain), 2 if counts else 1, plain, _spoken_for if counts else None, _CODE if counts else None)
         if counts:
             n, v, most = found.mapInArrow(tidy(totals), "n long, v long, most long").agg(F.sum("n"), F.sum("v"), F.max("most")).first()
             model.bits.append(((int(most or 0) + 1) * n_ranges).bit_length() + spare_bits)
