@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netloom.llm.blocks import slices
-from netloom.llm.memory import release, tidy
+from netloom.llm.memory import forget, release, tidy
 from netloom.llm.sampling import bounded_by_class
 from netloom.llm.words import Words, mix
 
@@ -40,7 +40,7 @@ EPOCHS, BATCH, RATE, SEED = 12, 16, 20.0, 7
 #: Share of the known texts set aside that the rejection may cost, and how far the bound goes from there to what texts of unknown languages get; words that count for how sure it is; languages learned.
 LOSS, MARGIN, MOST_WORDS, MOST_LANGUAGES = 0.001, 0.25, 50, 400
 #: Bytes of text that a task looks at together.
-AT_ONCE = 1 << 20
+AT_ONCE = 1 << 18
 _K = np.uint64(0x9E3779B97F4A7C15)
 RESULTS = ["lang_pred", "score", "rejected"]
 
@@ -236,6 +236,7 @@ def guessed(model: Languages):
 
     @F.arrow_udf("struct<lang_pred:string,score:double,rejected:boolean>")
     def guess(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        forget()
         for texts in batches:
             pieces = [piece(x.column(0)) for x in slices(pa.RecordBatch.from_arrays([texts], ["text"]), "text", AT_ONCE)]
             release()

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netloom.llm.blocks import slices
-from netloom.llm.memory import tidy, tidy_group
+from netloom.llm.memory import remembered, tidy, tidy_group
 from netloom.llm.token_counts import load_tokenizer, tokenizer_path
 from netloom.llm.words import Words
 
@@ -40,8 +40,6 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 class WordIds:
     """The ids of words by their hash, encoded when first met."""
 
-    _of: dict[str, WordIds] = {}
-
     def __init__(self, path: str):
         self.model = load_tokenizer(path)
         encode = lambda text: self.model.encode(text, add_special_tokens=False).ids
@@ -51,9 +49,7 @@ class WordIds:
 
     @classmethod
     def of(cls, path: str) -> WordIds:
-        if path not in cls._of:
-            cls._of[path] = cls(path)
-        return cls._of[path]
+        return remembered(("ids of words", path), lambda: cls(path))
 
     def forget(self) -> None:
         self.hash, self.first, self.size, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint32)
@@ -107,7 +103,7 @@ def tokenised(docs: DataFrame, path: str, shards: int) -> DataFrame:
     # rows that are equal in all are told apart by where they are read
     shard = F.pmod(F.xxhash64(F.col("doc_id"), F.xxhash64("text"), F.spark_partition_id()), F.lit(shards)).cast("int")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("shard", shard)
-    return rows.mapInArrow(tidy(encode), "shard int, doc_id long, width int, ids binary")
+    return rows.mapInArrow(tidy(encode, remembers=True), "shard int, doc_id long, width int, ids binary")
 
 
 class Windows:

@@ -440,3 +440,17 @@ def test_long_texts_and_blocks(spark):
     blocks = write_blocks(Scratch(spark, "t"), spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), block_bytes=64)
     found = [r for b in blocks.collect() for r in decode(b["payload"]).to_pylist()]
     assert sorted((r["doc_id"], r["text"]) for r in found if r["text"] is not None) == rows[:-1] and len(found) == 13 and blocks.count() >= 4
+
+
+def test_what_a_worker_remembers_goes_with_tasks_of_another_kind():
+    """A worker outlives its tasks: the tokenizer and the words of packing counted against the executor of every stage after it."""
+    from netloom.llm import memory
+    from netloom.llm.packing import WordIds
+    from netloom.llm.token_counts import tokenizer_path
+
+    path = tokenizer_path("word_bpe_49k.json")
+    ids = WordIds.of(path)
+    assert list(memory.tidy(lambda batches: iter([WordIds.of(path)]), remembers=True)(iter([])))[0] is ids
+    assert list(memory.tidy(lambda batches: batches)(iter([1]))) == [1] and not memory._remembered
+    WordIds.of(path)
+    assert memory.tidy_group(lambda table: table)(None) is None and not memory._remembered
