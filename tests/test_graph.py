@@ -14,6 +14,7 @@ from netloom.operators.index import dense_index
 from netloom.plans.lineage import cut
 from netloom.sources import edges as sources
 from netloom.sources import generate, mapping, store
+from netloom.sources.clustered import files_read
 from netloom.streaming import ingest
 
 
@@ -238,6 +239,22 @@ def test_read_records(spark):
     assert [tuple(r)[1:3] for r in sources.read_records(spark, f"{folder}/q.csv", mapping.Mapping())[0].orderBy("seq").collect()] == [('5" pipe', "c"), ("d", "e")]
 
 
+def test_mapping_is_guessed_from_the_first_file(spark):
+    """Scans take the largest files first: neither these nor an empty file are the beginning."""
+    folder = f"{tempfile.mkdtemp()}/a dir [1]%41"
+    os.mkdir(folder)
+    for name, text in (("part-0", ""), ("part-1 +", "w;to;from\n1;b;a\n"), ("part-2", "2;d;c\n" * 5000), ("part-3", "3;f;e\n" * 9000)):
+        with open(f"{folder}/{name}.csv", "w") as f:
+            f.write(text)
+    path = folder.replace("[", "\\[").replace("]", "\\]")
+    assert sources.guess_mapping(spark, path) == mapping.Mapping(";", True, 2, 1, 0)
+    first = sources.beginning(spark.read.text(path), next(f for f in spark.read.text(path).inputFiles() if "part-1" in f))
+    assert [r["value"] for r in first.collect()] == ["w;to;from", "1;b;a"] and files_read(first)[0] == 1
+    records, counts = sources.read_records(spark, path)
+    assert tuple(counts.first()) == (14_001, 0)
+    assert [tuple(r) for r in records.where("seq in (1, 2, 5001, 5002, 14001)").orderBy("seq").collect()] == [(1, "a", "b", 1.0), (2, "c", "d", 2.0), (5001, "c", "d", 2.0), (5002, "e", "f", 3.0), (14001, "e", "f", 3.0)]
+
+
 def test_attributes_from_csv(spark):
     folder = tempfile.mkdtemp()
     with open(f"{folder}/a.csv", "w") as f:
