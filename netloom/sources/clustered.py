@@ -7,9 +7,8 @@ opened, and its intervals, so that row groups and pages of those files are passe
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netloom.plans.joins import small
@@ -39,6 +38,16 @@ def merged(intervals: list[tuple[int, int]], most: int = MOST_INTERVALS) -> list
     return out
 
 
+def within(key: Column, intervals: list[tuple[int, int]]) -> Column:
+    """Whether ``key`` lies in one of the intervals, which are in order. They are halved again and again, each half behind a test of its whole span: a row
+    is tested against a few, where a plain chain of hundreds tests all in code too long to be compiled. Scans prune by it as by a chain."""
+    if len(intervals) == 1:
+        return key.between(*intervals[0])
+    half = len(intervals) // 2
+    inner = within(key, intervals[:half]) | within(key, intervals[half:])
+    return key.between(intervals[0][0], intervals[-1][1]) & inner if len(intervals) > 2 else inner
+
+
 @dataclass(frozen=True)
 class Clustered:
     """``table`` with its band; ``key`` is its key column, whose bits above ``shift`` are the band."""
@@ -52,17 +61,23 @@ class Clustered:
         return self.table.drop(BAND)
 
     def between(self, intervals: list[tuple[int, int]]) -> DataFrame:
-        """The rows whose key lies in one of the inclusive intervals. Of very many intervals neighbours are read as one and told apart by a filter."""
+        """The rows whose key lies in one of the inclusive intervals. Of very many intervals neighbours are read as one and told apart by a join, in
+        which a row meets the intervals of its own band alone."""
         asked = merged(intervals, len(intervals))
         if not asked:
             return self.rows.where("false")
         read = merged(asked)
-        bands = sorted({b for x, y in read for b in range(max(x, 0) >> self.shift, (max(y, 0) >> self.shift) + 1)} if sum((y >> self.shift) - (x >> self.shift) + 1 for x, y in read) <= 4 * MOST_BANDS else set())
-        found = self.table.where(F.col(BAND).isin(bands)) if bands else self.table
-        found = found.where(reduce(lambda p, q: p | q, [F.col(self.key).between(x, y) for x, y in read]))
+        touched = lambda x, y: range(max(x, 0) >> self.shift, (max(y, 0) >> self.shift) + 1)
+        banded = sum(len(touched(x, y)) for x, y in read) <= 4 * MOST_BANDS
+        found = self.table.where(F.col(BAND).isin(sorted({b for x, y in read for b in touched(x, y)}))) if banded else self.table
+        found = found.where(within(F.col(self.key), read))
         if len(read) < len(asked):
-            spans = self.table.sparkSession.createDataFrame(asked, "_from long, _to long")
-            found = found.join(F.broadcast(spans), F.col(self.key).between(F.col("_from"), F.col("_to")), "left_semi")
+            inside = F.col(self.key).between(F.col("_from"), F.col("_to"))
+            if banded:
+                spans = [(b, x, y) for x, y in asked for b in touched(x, y)]
+                found = found.join(F.broadcast(self.table.sparkSession.createDataFrame(spans, "_of int, _from long, _to long")), (F.col(BAND) == F.col("_of")) & inside, "left_semi")
+            else:
+                found = found.join(F.broadcast(self.table.sparkSession.createDataFrame(asked, "_from long, _to long")), inside, "left_semi")
         return found.drop(BAND)
 
     def among(self, keys: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from netloom.functions.permutation import Permutation, sides
 from netloom.operators import adjacency, graph, layout, sampling, search, search_index, spatial, spatial_index
 from netloom.operators.attributes import Attributes
 from netloom.sources import store
-from netloom.sources.clustered import files_read, merged, write_clustered
+from netloom.sources.clustered import files_read, merged, within, write_clustered
 
 
 def rows(df):
@@ -154,6 +154,26 @@ def test_beginnings_of_orders_are_samples(spark):
     assert hits.min() > 60  # about 100 each
 
 
+def test_many_intervals_are_read_without_a_test_of_each(spark):
+    """More intervals than a filter names: a row meets those of its band, and not one after another."""
+    m = 30_000
+    table = write_clustered(spark.range(m).select(F.col("id").alias("seq")), f"{tempfile.mkdtemp()}/e", "seq", m - 1, m, band_rows=500)
+    rnd = random.Random(4)
+    asked = [(x, x + rnd.randrange(4)) for x in rnd.sample(range(-5, m), 700)] + [(9_000, 11_000)]
+    found = table.between(asked)
+    assert rows(found) == rows(spark.createDataFrame(sorted({(x,) for a, b in asked for x in range(max(a, 0), min(b, m - 1) + 1)}), "seq long"))
+    drawn = sampling.first_places(table, m, 500)
+    assert {r["place"]: r["seq"] for r in drawn.collect()} == dict(enumerate(Permutation(m).walked(np.arange(500), back=True).tolist()))
+    for df in (found, drawn):
+        assert "NestedLoop" not in df._jdf.queryExecution().executedPlan().toString()
+    far = 1 << 40  # beyond the bands
+    assert table.between([(2 * x, 2 * x) for x in range(300)] + [(m - 2, far), (far + 9, 2 * far)]).count() == 302
+    inside = [(i, i + i % 3) for i in range(0, 600, 5)]
+    for k in (1, 2, 3, 7, 120):
+        hit = spark.range(-3, 610).where(within(F.col("id"), inside[:k]))
+        assert [r["id"] for r in hit.orderBy("id").collect()] == [x for a, b in inside[:k] for x in range(a, b + 1)]
+
+
 def test_swapped_samples(spark):
     assert sorted(sampling.swapped(50, 50, 3)) == list(range(50)) == sorted(sampling.swapped(50, 99, 3))
     assert sampling.swapped(10**12, 300, 3)[:40] == sampling.swapped(10**12, 40, 3)
