@@ -234,6 +234,42 @@ def test_pairs_within(spark, monkeypatch):
         assert sorted((r["a"], r["b"]) for r in spatial.pairs_within(table, 3.0).collect()) == expected
 
 
+def _rows_dealt(plan):
+    """Rows that the shuffles of a collected query wrote."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return _rows_dealt(plan.executedPlan())
+    if kind.endswith("QueryStageExec"):
+        return _rows_dealt(plan.plan())
+    own = plan.metrics().get("shuffleRecordsWritten") if kind == "ShuffleExchangeExec" else None
+    children = plan.children()
+    return (own.get().value() if own is not None and own.isDefined() else 0) + sum(_rows_dealt(children.apply(i)) for i in range(children.size()))
+
+
+def test_pairs_within_deals_few_copies(spark, monkeypatch):
+    """Pairs at exactly the radius, across tiles and in batches of a few rows; of each position less than two rows are dealt."""
+    n, expected = 40, set()
+    for dx, dy in ((1, 0), (0, 1), (1, 1), (-1, 1), (2, 0), (0, 2)):
+        expected |= {tuple(sorted((y * n + x, (y + dy) * n + x + dx))) for x in range(n) for y in range(n) if 0 <= x + dx < n and 0 <= y + dy < n}
+    table = spark.range(n * n).select(F.col("id").alias("idx"), (F.col("id") % n - 7.0).alias("x"), (F.floor(F.col("id") / n) - 7.0).alias("y"))
+    for most, batch in ((2000, 10_000), (2000, 7), (2, 50)):
+        monkeypatch.setattr(spatial, "CELL_ROWS", most)
+        monkeypatch.setattr(spatial, "MOST_MET", batch)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        try:
+            found = spatial.pairs_within(table, 2.0)
+            pairs = [(r["a"], r["b"]) for r in found.collect()]
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert len(pairs) == len(set(pairs)) and set(pairs) == expected
+        if most == 2000:
+            assert n * n <= _rows_dealt(found._jdf.queryExecution().executedPlan()) < 2 * n * n
+    points = [(i, 1e300 * (i % 3 - 1), 1e17 + 9 * i) for i in range(9)] + [(9, 0.0, 0.0), (10, 3.0, 0.0)]
+    near = sorted((a, b) for a, x, y in points for b, u, v in points if a < b and (x - u) * (x - u) + (y - v) * (y - v) <= 16)
+    huge = spark.createDataFrame(points, "idx long, x double, y double")
+    assert sorted((r["a"], r["b"]) for r in spatial.pairs_within(huge, 4.0).collect()) == near
+
+
 def test_mean_distance_is_bounded(spark):
     rnd = random.Random(9)
     points = [(rnd.gauss(0, 1) * 9 + 100 * (i % 3), rnd.random() * 50) for i in range(400)] + [(1.0, 1.0)] * 5
